@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
 from strandline.llm.common import fresh
 
@@ -222,15 +223,15 @@ def _slices(texts: list[str], most: int = 1 << 21) -> Iterator[tuple[int, int]]:
 
 
 def encode(df: DataFrame, vocabulary: str, text: str = "text", ids: str = "ids", keep_text: bool = False) -> DataFrame:
-    """Adds ``ids`` (array of int) to every row; with ``keep_text=False`` the text column goes.
+    """Adds ``ids`` (array of int), ``n_tokens`` (long) and ``decoded_sha256`` (of the text that the ids decode to) to every row.
+
+    With ``keep_text=False`` the text column goes; columns named like the new ones are replaced.
 
     A null text counts as empty and gives no ids. Special tokens that a text spells out become their ids, as the
     tokenizers library does by default. Equal rows give equal ids; an empty table gives none. The vocabulary, of
     fixed size, is read by the driver and broadcast.
     """
-    from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
-
-    columns = [c for c in df.columns if keep_text or c != text]
+    columns = [c for c in df.columns if (keep_text or c != text) and c.lower() not in {ids.lower(), "n_tokens", "decoded_sha256"}]
     (hidden,) = fresh(df, "bpe_text")
     model = df.sparkSession.sparkContext.broadcast(Vocabulary(vocabulary))
 
@@ -239,12 +240,16 @@ def encode(df: DataFrame, vocabulary: str, text: str = "text", ids: str = "ids",
         for batch in batches:
             texts = batch.column(hidden).to_pylist()
             for a, b in _slices(texts):
-                got = [np.frombuffer(x, "<u4").astype(np.int32) for x in encoder.encode_batch(texts[a:b])]
+                packed = encoder.encode_batch(texts[a:b])
+                decoded = pa.array([hashlib.sha256(encoder.decode(x).encode()).hexdigest() for x in packed])
+                got = [np.frombuffer(x, "<u4").astype(np.int32) for x in packed]
+                counts = pa.array(map(len, got), pa.int64())
                 offsets = np.concatenate([[0], np.cumsum([len(x) for x in got])]).astype(np.int32)
                 values = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(got) if got else np.zeros(0, np.int32)))
-                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(a, b - a) for c in columns), values], names=[*columns, ids])
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(a, b - a) for c in columns), values, counts, decoded], names=[*columns, ids, "n_tokens", "decoded_sha256"])
 
-    schema = StructType([*(df.schema[c] for c in columns), StructField(ids, ArrayType(IntegerType(), False))])
+    new = [StructField(ids, ArrayType(IntegerType(), False)), StructField("n_tokens", LongType()), StructField("decoded_sha256", StringType())]
+    schema = StructType([*(df.schema[c] for c in columns), *new])
     return df.select(*columns, F.coalesce(F.col(text), F.lit("")).alias(hidden)).mapInArrow(run, schema)
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("q_mixing", "q_warc", "q_quality_model", "q_bpe", "q_chat", "q_sharding", "q_minhash", "q_simhash", "q_rules")
+MODULES = ("q_mixing", "q_warc", "q_quality_model", "q_substrings", "q_bpe", "q_chat", "q_sharding", "q_minhash", "q_simhash", "q_rules")
 
 
 def _merged(name: str) -> dict:
