@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 #: Query modules of this package; each has QUERIES and ORACLES.
-MODULES: tuple[str, ...] = ()
+MODULES: tuple[str, ...] = ("q_evidence",)
 
 
 def _merged(name: str) -> dict:
