@@ -43,8 +43,9 @@ class MinHasher:
         if len(self.known) > CACHE_WORDS:
             self.known.clear()
         known, words = self.known, text.encode("utf-8", "surrogatepass").split()
-        for w in set(words) - known.keys():
-            known[w] = int.from_bytes(hashlib.blake2b(w, digest_size=8).digest(), "little")
+        for w in set(words):
+            if w not in known:
+                known[w] = int.from_bytes(hashlib.blake2b(w, digest_size=8).digest(), "little")
         return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
 
     def shingles(self, hashes: np.ndarray) -> np.ndarray:

@@ -47,8 +47,9 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     parts, starts = [], np.zeros(len(texts) + 1, np.int64)
     for i, t in enumerate(texts):
         words = t.split()
-        for w in set(words) - _known.keys():
-            _known[w] = int.from_bytes(hashlib.blake2b(w, digest_size=8).digest(), "little")
+        for w in set(words):
+            if w not in _known:
+                _known[w] = int.from_bytes(hashlib.blake2b(w, digest_size=8).digest(), "little")
         parts.append(np.fromiter(map(_known.__getitem__, words), np.uint64, len(words)))
         starts[i + 1] = starts[i] + len(words)
     return np.concatenate(parts) if parts else np.zeros(0, np.uint64), starts
