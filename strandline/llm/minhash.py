@@ -16,16 +16,17 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType
 
 from strandline.llm.common import materialize
+from strandline.llm.hashing import word_hashes, words_of
 
-WORDS, PERMUTATIONS, PRIME = 5, 128, (1 << 31) - 1
+WORDS, PERMUTATIONS = 5, 128
+#: Signature entry of a text without words, and the factor that spreads an entry before it is cut down to 16 bits.
+NOTHING, SPREAD = (1 << 64) - 1, 0x9E3779B97F4A7C15
 #: Bands of the signature for the candidate search: at a similarity of 0.8 a pair shares one with probability 1 - 4e-8.
 BANDS = 32
 SIMILAR = 0.8
 #: Text of about so many bytes is handled together.
 BLOCK_BYTES = 4 << 20
 SEED = 20240607
-#: Word hashes that a worker keeps before it starts anew.
-CACHE_WORDS = 1_000_000
 
 
 class MinHasher:
@@ -34,19 +35,14 @@ class MinHasher:
     def __init__(self, permutations: int = PERMUTATIONS, words: int = WORDS, seed: int = SEED):
         draw = np.random.default_rng(seed)
         self.words, self.permutations = words, permutations
-        self.a = draw.integers(1, PRIME, (permutations, 1), dtype=np.uint64)
-        self.b = draw.integers(0, PRIME, (permutations, 1), dtype=np.uint64)
+        # x -> a x + b modulo 2**64 with odd a: universal, and a permutation of the 64-bit integers
+        self.a = draw.integers(0, 1 << 63, (permutations, 1), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+        self.b = draw.integers(0, 1 << 64, (permutations, 1), dtype=np.uint64)
         self.factors = draw.integers(0, 1 << 63, words, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-        self.known: dict[bytes, int] = {}
 
     def word_hashes(self, text: str) -> np.ndarray:
-        if len(self.known) > CACHE_WORDS:
-            self.known.clear()
-        known, words = self.known, text.encode("utf-8", "surrogatepass").split()
-        for w in set(words):
-            if w not in known:
-                known[w] = int.from_bytes(hashlib.blake2b(w, digest_size=8).digest(), "little")
-        return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+        raw = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
+        return word_hashes(raw, *words_of(raw))
 
     def shingles(self, hashes: np.ndarray) -> np.ndarray:
         """64-bit hashes of all runs of 5 words; shorter texts are one shingle, texts without words have none."""
@@ -59,14 +55,16 @@ class MinHasher:
             out ^= out >> np.uint64(29)
         return out
 
-    def signature(self, shingles: np.ndarray, step: int = 2048) -> np.ndarray:
-        """Least hash of each function; PRIME without shingles."""
-        least, prime = np.full(self.permutations, PRIME, np.uint64), np.uint64(PRIME)
-        x = shingles % prime
-        for i in range(0, len(x), step):
-            y = self.a * x[i : i + step] + self.b
-            y = (y & prime) + (y >> np.uint64(31))
-            np.minimum(least, np.minimum(y, y - prime).min(1), out=least)
+    def signature(self, shingles: np.ndarray, step: int = 512) -> np.ndarray:
+        """Least value of each function; NOTHING without shingles."""
+        least = np.full(self.permutations, NOTHING, np.uint64)
+        room = np.empty((self.permutations, min(step, max(1, len(shingles)))), np.uint64)
+        for i in range(0, len(shingles), step):
+            x = shingles[i : i + step]
+            y = room[:, : len(x)]
+            np.multiply(self.a, x, out=y)
+            np.add(y, self.b, out=y)
+            np.minimum(least, y.min(1), out=least)
         return least
 
     def pair(self, text: str, edited: str) -> tuple[np.ndarray, np.ndarray]:
@@ -83,8 +81,8 @@ class MinHasher:
 
 
 def digest(signature: np.ndarray) -> np.ndarray:
-    """The low 16 bits of each least hash."""
-    return (signature & np.uint64(0xFFFF)).astype(np.uint16)
+    """16 bits of each least value."""
+    return (signature * np.uint64(SPREAD) >> np.uint64(48)).astype(np.uint16)
 
 
 def to_text(d: np.ndarray) -> str:

@@ -14,7 +14,6 @@ Documents are dealt into blocks. Three passes over the blocks, whose texts are s
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandline.llm.common import fresh
+from strandline.llm.hashing import BASES, mixed, word_hashes, words_of
 
 WINDOW = 50
 #: Rows of the sketch, and counters in a row for each expected anchor.
@@ -31,33 +31,7 @@ DEPTH, COUNTERS = 2, 4
 BLOCK_BYTES, ANCHOR_BYTES = (4 << 20, 64 << 20), 80
 #: Counters, and bytes of text, for each range that is merged at once; and most ranges.
 RANGE_COUNTERS, RANGE_BYTES, MOST_RANGES = 1 << 20, 8 << 20, 4096
-CACHE_WORDS = 1_000_000
 NO_KEY = np.iinfo(np.int64).max
-#: Odd factors for polynomial hashes and for mixing; any others would do.
-BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
-MIXERS = (0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xFF51AFD7ED558CCD)
-
-_known: dict[bytes, int] = {}
-
-
-def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of all words of all texts, and where each text's words start (one more at the end)."""
-    if len(_known) > CACHE_WORDS:
-        _known.clear()
-    parts, starts = [], np.zeros(len(texts) + 1, np.int64)
-    for i, t in enumerate(texts):
-        words = t.split()
-        for w in set(words):
-            if w not in _known:
-                _known[w] = int.from_bytes(hashlib.blake2b(w, digest_size=8).digest(), "little")
-        parts.append(np.fromiter(map(_known.__getitem__, words), np.uint64, len(words)))
-        starts[i + 1] = starts[i] + len(words)
-    return np.concatenate(parts) if parts else np.zeros(0, np.uint64), starts
-
-
-def _mixed(h: np.ndarray, k: int = 0) -> np.ndarray:
-    h = (h ^ h >> np.uint64(32)) * np.uint64(MIXERS[k])
-    return h ^ h >> np.uint64(29)
 
 
 def rolling(hashes: np.ndarray, size: int, base: int) -> np.ndarray:
@@ -70,7 +44,7 @@ def rolling(hashes: np.ndarray, size: int, base: int) -> np.ndarray:
             out = here if out is None else out[: len(here)] * np.uint64(factor) + here[: len(out)]
             done += length
         if done == size:
-            return _mixed(out)
+            return mixed(out)
         if len(power) <= length:
             return np.zeros(0, np.uint64)
         power = power[:-length] * np.uint64(factor) + power[length:]
@@ -112,7 +86,11 @@ class Block:
 
     def __init__(self, keys: np.ndarray, texts: list[bytes], window: int):
         self.keys, self.window = keys, window
-        self.hashes, self.starts = word_hashes(texts)
+        self.raw = np.frombuffer(b"\n".join(texts), np.uint8)
+        self.words = words_of(self.raw)
+        self.hashes = word_hashes(self.raw, *self.words)
+        ends = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1)
+        self.starts = np.concatenate([[0], np.searchsorted(self.words[0], ends)])
         n, sizes = len(self.hashes), np.diff(self.starts)
         document = np.repeat(np.arange(len(texts)), sizes)
         room = np.repeat(self.starts[1:], sizes) - np.arange(n)
@@ -133,7 +111,7 @@ class Block:
 
     def counters(self, row: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
         """The counters that the anchors touch in a row of the sketch, sorted, and which anchor each stands for."""
-        cells = (_mixed(self.anchors, row + 1) >> np.uint64(64 - bits)).astype(np.int64)
+        cells = (mixed(self.anchors, row + 1) >> np.uint64(64 - bits)).astype(np.int64)
         order = np.argsort(cells, kind="stable")
         return cells[order], order
 
@@ -153,7 +131,10 @@ class Block:
     def entries(self, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Both hashes and the least key of each different window among the chosen, sorted by hash; and the entry of each chosen window."""
         start = self.at[chosen]
-        h1, h2 = (rolling(self.hashes, self.window, b)[start] if len(start) else np.zeros(0, np.uint64) for b in BASES)
+        h1 = h2 = np.zeros(0, np.uint64)
+        if len(start):
+            h1 = rolling(self.hashes, self.window, BASES[0])[start]
+            h2 = rolling(word_hashes(self.raw, *self.words, BASES[1]), self.window, BASES[1])[start]
         key = self.keys[self.document[chosen]]
         order = np.lexsort((key, h2, h1))
         a, b = h1[order], h2[order]
