@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -37,3 +39,15 @@ def first_of(columns: list[str]) -> Column:
 
 def is_true(column: Column) -> Column:
     return F.coalesce(column, F.lit(False))
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Binds a value to a variable, so that it is computed once however often the body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def pinned(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """Adds or replaces columns that later expressions use often; a generator keeps the optimiser from repeating their computation."""
+    kept = [c for c in df.columns if c not in columns]
+    row = F.explode(F.array(F.struct(*(v.alias(k) for k, v in columns.items())))).alias("_pinned")
+    return df.select(*kept, row).select(*kept, *(F.col(f"_pinned.{k}").alias(k) for k in columns))
