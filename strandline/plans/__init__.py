@@ -1 +1 @@
-
+"""Registered queries, their test views and SQL oracles."""

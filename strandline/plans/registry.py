@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 #: Query modules of this package; each has QUERIES and ORACLES.
-MODULES: tuple[str, ...] = ("q_evidence", "q_facets", "q_statistics", "q_peptides", "q_intervals")
+MODULES: tuple[str, ...] = ("q_evidence", "q_facets", "q_statistics", "q_peptides", "q_intervals", "q_sources")
 
 
 def _merged(name: str) -> dict:

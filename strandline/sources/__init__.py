@@ -1 +1 @@
-
+"""Readers and writers of tables and text formats."""

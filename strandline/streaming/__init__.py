@@ -1 +1 @@
-
+"""No operator of this library is a stream: every source is a set of files that is read whole. The package is kept for readers who look for one."""
