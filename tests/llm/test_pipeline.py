@@ -20,7 +20,17 @@ def test_stages(spark, docs, rows, sf_dir):
         assert n >= 50 and 100 * repeat <= 50 * n
     kept = corpus_pipeline.simhash_dedup(spark, plain, sf_dir)
     groups = {r.doc_id: r.component_id for r in near_duplicates(plain).collect() if r.doc_id is not None}
-    assert Counter(r.doc_id for r in kept.collect() if r.doc_id is not None) == Counter(set(groups.values()))
+    texts = {r.doc_id: r.text or "" for r in plain.collect() if r.doc_id is not None}
+    grams = lambda t: (lambda w: {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())(t.encode().split())
+    like = lambda a, b: len(grams(texts[a]) & grams(texts[b])) / max(1, len(grams(texts[a]) | grams(texts[b])))
+    stay, heads = [r.doc_id for r in kept.collect() if r.doc_id is not None], set(groups.values())
+    assert len(stay) == len(set(stay)) and set(stay) <= heads
+    for gone in heads - set(stay):  # only for a near copy with a smaller id
+        assert max(like(gone, h) for h in heads if h < gone) > 0.7
+    assert not [(a, b) for a in stay for b in stay if a < b and like(a, b) > 0.9]
+    # the hand-made copies with one more word are gone
+    edited = [i for i, t in texts.items() if t.endswith(" end") and len(t.split()) > 60 and texts.get(i - 3) == t[:-4]]
+    assert edited and not set(edited) & set(stay)
     cut = {r.doc_id: r.text for r in corpus_pipeline.substring_dedup(spark, kept, sf_dir).collect()}
     left = [(r.doc_id, r.text) for r in kept.collect()]
     for (i, n, gone, text), _ in brute_substrings(left).items():
