@@ -93,7 +93,7 @@ def _sums(values: DataFrame, groups: tuple[str, str]) -> DataFrame:
         of = lambda c: F.when(at, c)  # noqa: E731, B023
         x, y, n = of(F.col("x")), of(F.col("y")), F.count_if(at)
         by_group += [
-            n.alias(f"n{i}"), F.avg(x).alias(f"x{i}"), F.avg(y).alias(f"y{i}"), (F.var_pop(x) * n).alias(f"sxx{i}"), (F.var_pop(y) * n).alias(f"syy{i}"), (F.covar_pop(x, y) * n).alias(f"sxy{i}"), F.corr(x, y).alias(f"r{i}"),
+            n.alias(f"n{i}"), F.avg(x).alias(f"x{i}"), F.avg(y).alias(f"y{i}"), (F.var_pop(x) * n).alias(f"sxx{i}"), (F.var_pop(y) * n).alias(f"syy{i}"), (F.covar_pop(x, y) * n).alias(f"sxy{i}"), correlation(x, y).alias(f"r{i}"),
         ]
     n = F.count("*")
     return both.groupBy("smorf_id", "main_id").agg(*by_group, n.alias("n"), (F.var_pop("x") * n).alias("sxx"), (F.var_pop("y") * n).alias("syy"), (F.covar_pop("x", "y") * n).alias("sxy"))
@@ -103,6 +103,13 @@ def _known(r: Column) -> Column:
     return r.isNotNull() & ~F.isnan(r)
 
 
+def correlation(x: Column, y: Column) -> Column:
+    """Pearson correlation over the rows that have both; null, not an error, where one doesn't vary."""
+    both = x.isNotNull() & y.isNotNull()
+    a, b = F.when(both, x), F.when(both, y)
+    return F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))
+
+
 def coexpression(values: DataFrame, groups: tuple[str, str], apart: float = 0.1) -> DataFrame:
     """Correlation of each pair in both groups, their difference, and whether the pair is coupled; pairs with under 3 values or without a correlation go."""
     s = _sums(values, groups).filter((F.col("n1") >= 3) & (F.col("n2") >= 3) & _known(F.col("r1")) & _known(F.col("r2")))
@@ -111,9 +118,10 @@ def coexpression(values: DataFrame, groups: tuple[str, str], apart: float = 0.1)
 
 
 def fisher_z(r1: Column, r2: Column, n1: Column, n2: Column) -> Column:
-    """z of the difference of two independent correlations."""
-    turned = lambda r: 0.5 * F.ln((1 + r) / (1 - r))
-    return F.abs(turned(r1) - turned(r2)) / F.sqrt(1 / (n1 - 3) + 1 / (n2 - 3))
+    """z of the difference of two independent correlations; null for perfect ones and for groups of 3."""
+    turned = lambda r: 0.5 * F.ln(F.try_divide(1 + r, 1 - r))
+    one = F.lit(1.0)
+    return F.abs(turned(r1) - turned(r2)) / F.sqrt(F.try_divide(one, n1 - 3) + F.try_divide(one, n2 - 3))
 
 
 def nested_models(values: DataFrame, groups: tuple[str, str], with_p: bool = True) -> DataFrame:
@@ -144,7 +152,7 @@ def nested_models(values: DataFrame, groups: tuple[str, str], with_p: bool = Tru
 def correlated_with(matrix: DataFrame, target: str) -> DataFrame:
     """Correlation of every other feature with one, over the samples that both have; strongest first."""
     wanted = matrix.filter(F.col("feature") == target).select("sample", F.col("value").alias("_t"))
-    r = matrix.filter(F.col("feature") != target).join(wanted, "sample").groupBy("feature").agg(F.corr("value", "_t").alias("correlation"))
+    r = matrix.filter(F.col("feature") != target).join(wanted, "sample").groupBy("feature").agg(correlation(F.col("value"), F.col("_t")).alias("correlation"))
     return r.filter(_known(F.col("correlation"))).withColumn("abs_corr", F.abs("correlation")).orderBy(F.desc("abs_corr"), "feature")
 
 

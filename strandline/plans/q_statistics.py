@@ -194,7 +194,7 @@ G = "g AS (SELECT feature, grp, count(*) AS n, avg(value) AS m, coalesce(var_sam
 
 @book.query(
     "sta1_t_test", "v_matrix", "v_samples",
-    sql=f"WITH {G} SELECT a.feature, a.m - b.m AS estimate, (a.m - b.m) / sqrt(((a.n - 1) * a.v + (b.n - 1) * b.v) / (a.n + b.n - 2) * (1.0 / a.n + 1.0 / b.n)) AS t, a.n + b.n - 2 AS df FROM g a JOIN g b ON a.feature = b.feature AND a.grp = 'AD' AND b.grp = 'Control'",
+    sql=f"WITH {G} SELECT coalesce(a.feature, b.feature) AS feature, a.m - b.m AS estimate, (a.m - b.m) / nullif(sqrt(((a.n - 1) * a.v + (b.n - 1) * b.v) / nullif(a.n + b.n - 2, 0) * (1.0 / a.n + 1.0 / b.n)), 0) AS t, a.n + b.n - 2 AS df FROM (SELECT * FROM g WHERE grp = 'AD') a FULL JOIN (SELECT * FROM g WHERE grp = 'Control') b ON a.feature = b.feature",
 )
 def _(m, s):
     return testing.t_test(grouped(m, s), "AD", "Control", with_p=False)
@@ -262,7 +262,7 @@ def _(m, s):
 
 PAIRS = """pairs AS (SELECT DISTINCT feature AS smorf_id, 'F' || CAST((CAST(substr(feature, 2) AS BIGINT) * 7 + 1) % 400 AS VARCHAR) AS main_id FROM v_matrix),
 pv AS (SELECT smorf_id, main_id, y.sample, grp, x.value AS x, y.value AS y FROM pairs JOIN v_matrix y ON y.feature = smorf_id JOIN v_matrix x ON x.feature = main_id AND x.sample = y.sample JOIN v_samples s ON s.sample = y.sample)"""
-R = "r AS (SELECT smorf_id, main_id, corr(y, x) FILTER (grp = 'Control') AS r1, corr(y, x) FILTER (grp = 'AD') AS r2, count(*) FILTER (grp = 'Control') AS n1, count(*) FILTER (grp = 'AD') AS n2 FROM pv GROUP BY 1, 2)"
+R = "r AS (SELECT smorf_id, main_id, CASE WHEN min(x) FILTER (grp = 'Control') < max(x) FILTER (grp = 'Control') AND min(y) FILTER (grp = 'Control') < max(y) FILTER (grp = 'Control') THEN corr(y, x) FILTER (grp = 'Control') END AS r1, CASE WHEN min(x) FILTER (grp = 'AD') < max(x) FILTER (grp = 'AD') AND min(y) FILTER (grp = 'AD') < max(y) FILTER (grp = 'AD') THEN corr(y, x) FILTER (grp = 'AD') END AS r2, count(*) FILTER (grp = 'Control') AS n1, count(*) FILTER (grp = 'AD') AS n2 FROM pv GROUP BY 1, 2)"
 
 
 def paired(m, s):
@@ -281,7 +281,7 @@ def _(m, s):
     return testing.coexpression(paired(m, s), GROUPS)
 
 
-@book.query("sta11_fisher_z", "v_matrix", "v_samples", sql=f"WITH {PAIRS}, {R} SELECT smorf_id, main_id, abs(atanh(r1) - atanh(r2)) / sqrt(1.0 / (n1 - 3) + 1.0 / (n2 - 3)) AS fisher_z FROM r WHERE n1 >= 3 AND n2 >= 3 AND NOT isnan(r1) AND NOT isnan(r2) AND smorf_id <> main_id")
+@book.query("sta11_fisher_z", "v_matrix", "v_samples", sql=f"WITH {PAIRS}, {R} SELECT smorf_id, main_id, CASE WHEN abs(r1) < 1 AND abs(r2) < 1 THEN abs(atanh(r1) - atanh(r2)) END / sqrt(1.0 / nullif(n1 - 3, 0) + 1.0 / nullif(n2 - 3, 0)) AS fisher_z FROM r WHERE n1 >= 3 AND n2 >= 3 AND NOT isnan(r1) AND NOT isnan(r2) AND smorf_id <> main_id")
 def _(m, s):
     return testing.nested_models(paired(m, s), GROUPS, with_p=False).filter("smorf_id <> main_id").select("smorf_id", "main_id", "fisher_z")
 
@@ -291,8 +291,8 @@ def _(m, s):
     sql=f"""WITH {PAIRS}, g AS (SELECT smorf_id, main_id, grp, count(*) AS n, avg(x) AS mx, avg(y) AS my, count(*) * var_pop(x) AS sxx, count(*) * var_pop(y) AS syy, count(*) * covar_pop(x, y) AS sxy FROM pv WHERE grp IN ('Control', 'AD') GROUP BY ALL),
     o AS (SELECT smorf_id, main_id, count(*) AS n, count(*) * var_pop(x) AS sxx, count(*) * var_pop(y) AS syy, count(*) * covar_pop(x, y) AS sxy FROM pv WHERE grp IN ('Control', 'AD') GROUP BY ALL),
     j AS (SELECT o.*, a.n AS n1, b.n AS n2, b.mx - a.mx AS gx, b.my - a.my AS gy, a.sxx + b.sxx AS wxx, a.sxy + b.sxy AS wxy, a.syy + b.syy AS wyy, b.sxy / b.sxx - a.sxy / a.sxx AS bi, a.sxx AS ax, b.sxx AS bx, a.syy - a.sxy * a.sxy / a.sxx + b.syy - b.sxy * b.sxy / b.sxx AS ri
-        FROM o JOIN g a ON a.smorf_id = o.smorf_id AND a.grp = 'Control' JOIN g b ON b.smorf_id = o.smorf_id AND b.grp = 'AD')
-    SELECT smorf_id, main_id, round((syy - sxy * sxy / sxx - (wyy - wxy * wxy / wxx)) / ((wyy - wxy * wxy / wxx) / (n - 3)), 4) AS add_f, round((wyy - wxy * wxy / wxx - ri) / (ri / (n - 4)), 4) AS int_f, round(gy - wxy / wxx * gx, 4) AS add_b,
+        FROM o JOIN g a ON a.smorf_id = o.smorf_id AND a.grp = 'Control' JOIN g b ON b.smorf_id = o.smorf_id AND b.grp = 'AD' WHERE a.n >= 3 AND b.n >= 3 AND a.sxx > 1e-12 AND b.sxx > 1e-12 AND a.syy > 1e-12 AND b.syy > 1e-12)
+    SELECT smorf_id, main_id, round((syy - sxy * sxy / sxx - (wyy - wxy * wxy / wxx)) / ((wyy - wxy * wxy / wxx) / (n - 3)), 4) AS add_f, CASE WHEN ri > 0 THEN round((wyy - wxy * wxy / wxx - ri) / (ri / (n - 4)), 4) END AS int_f, round(gy - wxy / wxx * gx, 4) AS add_b,
         round(sqrt((wyy - wxy * wxy / wxx) / (n - 3) * (1.0 / n1 + 1.0 / n2 + gx * gx / wxx)), 4) AS add_se, round(bi, 4) AS int_b, round(sqrt(ri / (n - 4) * (1 / ax + 1 / bx)), 4) AS int_se FROM j WHERE smorf_id <> main_id""",
 )
 def _(m, s):
