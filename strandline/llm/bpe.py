@@ -13,6 +13,7 @@ import hashlib
 import heapq
 import json
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -179,6 +180,12 @@ class Vocabulary:
         return tokens, int(failed.sum())
 
 
+@lru_cache(maxsize=2)
+def load(path: str) -> Vocabulary:
+    """A file's vocabulary, built once by the driver."""
+    return Vocabulary(path)
+
+
 class Encoder:
     """Encodes texts with a vocabulary; remembers words."""
 
@@ -233,7 +240,7 @@ def encode(df: DataFrame, vocabulary: str, text: str = "text", ids: str = "ids",
     """
     columns = [c for c in df.columns if (keep_text or c != text) and c.lower() not in {ids.lower(), "n_tokens", "decoded_sha256"}]
     (hidden,) = fresh(df, "bpe_text")
-    model = df.sparkSession.sparkContext.broadcast(Vocabulary(vocabulary))
+    model = df.sparkSession.sparkContext.broadcast(load(vocabulary))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(model.value)
@@ -255,7 +262,7 @@ def encode(df: DataFrame, vocabulary: str, text: str = "text", ids: str = "ids",
 
 def round_trip(df: DataFrame, vocabulary: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Encodes and decodes every text: ``doc_id``, ``n_tokens``, ``ids_sha256`` and ``decoded_sha256``. Nulls and repeats as in :func:`encode`."""
-    model = df.sparkSession.sparkContext.broadcast(Vocabulary(vocabulary))
+    model = df.sparkSession.sparkContext.broadcast(load(vocabulary))
     kind = df.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
