@@ -12,8 +12,7 @@ from pyspark.sql import functions as F
 
 from strandline.llm.bpe import encode
 from strandline.llm.common import fresh, materialize, table
-from strandline.llm.components import components
-from strandline.llm.minhash import leader_links
+from strandline.llm.minhash import near_groups
 from strandline.llm.mixing import mix
 from strandline.llm.q_bpe import vocabulary_path
 from strandline.llm.rules import judge
@@ -31,16 +30,14 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the smallest id of each group of near-duplicates. Of rows with one id, one stays; rows without an id stay.
 
-    Groups are SimHash components (fingerprints within 2 bits). Copies with a few edited words are mostly farther apart than that, and a
-    wider budget would make the trie join visit most pairs; so the groups' heads are also grouped with the heads that they share
-    four fifths of their 5-word shingles with.
+    Documents are linked by SimHash (fingerprints within 2 bits), and where they share four fifths of their 5-word shingles: copies with a
+    few edited words are mostly farther apart than 2 bits, and a wider budget would make the trie join visit most pairs. A group is what
+    links of both kinds connect, over all documents.
     """
     known = docs.select("doc_id", "text").filter("doc_id is not null")
-    found = near_duplicates(known)
-    heads = materialize(found.filter("doc_id = component_id").select("doc_id").distinct(), "heads")
-    edited = components(leader_links(known, only=heads)).filter("node <> component").select(F.col("node").alias("doc_id"))
-    heads = heads.join(edited, "doc_id", "left_anti")
-    kept = docs.join(heads, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    found = near_duplicates(known).filter("doc_id <> component_id").select(F.col("doc_id").alias("a"), F.col("component_id").alias("b"))
+    gone = near_groups(known, links=found).filter("node <> component").select(F.col("node").alias("doc_id"))
+    kept = docs.filter("doc_id is not null").join(gone, "doc_id", "left_anti").dropDuplicates(["doc_id"])
     return kept.unionByName(docs.filter("doc_id is null")).select(*docs.columns)
 
 

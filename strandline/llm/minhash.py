@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType
 
 from strandline.llm.common import materialize
+from strandline.llm.components import components
 from strandline.llm.hashing import word_hashes, words_of
 
 WORDS, PERMUTATIONS = 5, 128
@@ -24,6 +25,8 @@ NOTHING, SPREAD = (1 << 64) - 1, 0x9E3779B97F4A7C15
 #: Bands of the signature for the candidate search: at a similarity of 0.8 a pair shares one with probability 1 - 4e-8.
 BANDS = 32
 SIMILAR = 0.8
+#: Rows of a band bucket that a task pairs with the whole bucket.
+SPLIT = 1024
 #: Text of about so many bytes is handled together.
 BLOCK_BYTES = 4 << 20
 SEED = 20240607
@@ -204,43 +207,80 @@ def similar(df: DataFrame, key: str = "doc_id", text: str = "text", least: float
     return scored.filter(F.col("jaccard") >= least), members
 
 
-def leader_links(df: DataFrame, key: str = "doc_id", text: str = "text", least: float = SIMILAR, only: DataFrame | None = None) -> DataFrame:
-    """Links ``a`` > ``b`` of each row with the smallest key of each band bucket it is in, if their fingerprints agree in at least ``least`` of their entries.
-
-    That is one candidate for each row and band, however large a bucket is: enough to group copies with what they were made from, not to list all pairs.
-    The similarity is the fingerprints' estimate (standard error 0.035 at 0.8). ``only`` cuts the rows down to keys in its column ``key``.
-    Rows without a key or without words are left out; an empty table gives no links.
-    """
+def _prints(docs: DataFrame) -> DataFrame:
+    """``k``, ``content`` (digest of the shingle set), ``n`` (its size) and ``bands`` of every row (``k``, ``t``) with words; different bands have different values."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, width = MinHasher(), PERMUTATIONS // BANDS
-        mix = np.random.default_rng(SEED + 1).integers(0, 1 << 63, width, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+        draw = np.random.default_rng(SEED + 1)
+        mix, apart = (draw.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1) for n in (width, BANDS))
         for batch in batches:
-            keys, prints, bands = [], [], []
+            keys, contents, sizes, bands = [], [], [], []
             for k, t in zip(batch.column(0), batch.column(1)):
-                shingles = hasher.shingles(hasher.word_hashes(t.as_py()))
+                shingles = np.unique(hasher.shingles(hasher.word_hashes(t.as_py())))
                 if not len(shingles):
                     continue
-                signature = hasher.signature(shingles)
                 keys.append(k.as_py())
-                prints.append(digest(signature).tobytes())
-                bands.append((signature.reshape(BANDS, width) * mix).sum(1, dtype=np.uint64).view(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(prints, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], names=["k", "print", "bands"])
+                contents.append(hashlib.blake2b(shingles.tobytes(), digest_size=16).digest())
+                sizes.append(len(shingles))
+                bands.append(((hasher.signature(shingles).reshape(BANDS, width) * mix).sum(1, dtype=np.uint64) + apart).view(np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(contents, pa.binary()), pa.array(sizes, pa.int32()), pa.array(bands, pa.list_(pa.int64()))], names=["k", "content", "n", "bands"])
+
+    return docs.mapInArrow(run, "k long, content binary, n int, bands array<long>")
 
-    def agree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _grams(docs: DataFrame) -> DataFrame:
+    """``k`` and ``grams`` (different 64-bit hashes of its shingles) of rows (``k``, ``t``)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher = MinHasher()
         for batch in batches:
-            x, y = (np.array([np.frombuffer(v.as_py(), np.uint16) for v in batch.column(c)]).reshape(batch.num_rows, -1) for c in ("x", "y"))
-            near = (x == y).mean(1) >= least if batch.num_rows else np.zeros(0, bool)
-            yield pa.RecordBatch.from_arrays([batch.column("a").filter(pa.array(near)), batch.column("b").filter(pa.array(near))], names=["a", "b"])
+            grams = [np.unique(hasher.shingles(hasher.word_hashes(t.as_py()))).view(np.int64) for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(grams, pa.list_(pa.int64()))], names=["k", "grams"])
+
+    return docs.mapInArrow(run, "k long, grams array<long>")
 
+
+def near_groups(df: DataFrame, key: str = "doc_id", text: str = "text", least: float = SIMILAR, links: DataFrame | None = None) -> DataFrame:
+    """``node`` and ``component`` (its smallest key) of all keys that are linked to another one.
+
+    Two keys are linked if their texts share a band and the Jaccard similarity of their shingle sets, computed from the sets, is ``least`` or more,
+    or if ``links`` (``a``, ``b``) says so. All pairs of a band bucket count. Texts with one set of shingles are one class. Each class is first
+    compared with the smallest and the largest key of its buckets; then pairs that this left in different components are compared, except where
+    the sizes alone rule out the similarity. A pair inside a component can't change the result. Large buckets are split over tasks.
+    Rows without a key or without words have no links of their own; an empty table gives none.
+    """
     docs = df.select(F.col(key).cast("long").alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t")).filter("k is not null")
-    found = docs.mapInArrow(run, "k long, print binary, bands array<long>")
-    if only is not None:
-        found = found.join(only.select(F.col(key).alias("k")).distinct(), "k", "left_semi")
-    found = materialize(found, "leaders")
-    placed = found.select("k", F.posexplode("bands").alias("band", "value"))
-    heads = placed.groupBy("band", "value").agg(F.min("k").alias("b"), F.max("k").alias("most")).filter("most > b").drop("most")
-    pairs = placed.join(heads, ["band", "value"]).filter("k > b").select(F.col("k").alias("a"), "b").distinct()
-    prints = found.select("k", "print").dropDuplicates(["k"])
-    both = pairs.join(prints.select(F.col("k").alias("a"), F.col("print").alias("x")), "a").join(prints.select(F.col("k").alias("b"), F.col("print").alias("y")), "b")
-    return both.mapInArrow(agree, "a long, b long")
+    found = materialize(_prints(docs), "prints")
+    classes = materialize(found.groupBy("content").agg(F.min("k").alias("c"), F.first("n").alias("n"), F.first("bands").alias("bands")), "classes")
+    same = found.select("k", "content").join(classes.select("content", "c"), "content").filter("k <> c").select(F.col("k").alias("a"), F.col("c").alias("b"))
+    known = same if links is None else same.unionByName(links.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")))
+    placed = classes.select("c", "n", F.explode("bands").alias("bucket"))
+    shared = placed.groupBy("bucket").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter("low < high")
+    placed = materialize(placed.join(shared, "bucket"), "buckets")
+    involved = placed.select(F.col("c").alias("k")).distinct()
+    grams = materialize(_grams(docs.join(involved, "k", "left_semi").dropDuplicates(["k", "t"]).select("k", "t")), "grams")
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        sets = pairs.join(grams.select(F.col("k").alias("a"), F.col("grams").alias("x")), "a").join(grams.select(F.col("k").alias("b"), F.col("grams").alias("y")), "b")
+        sets = sets.filter((F.size("x") >= least * F.size("y")) & (F.size("y") >= least * F.size("x")))
+        both = F.size(F.array_intersect("x", "y"))
+        return sets.filter(both / (F.size("x") + F.size("y") - both) >= least).select("a", "b").distinct()
+
+    ends = placed.select("c", F.explode(F.array("low", "high")).alias("end")).filter("c <> end")
+    near = verified(ends.select(F.greatest("c", "end").alias("a"), F.least("c", "end").alias("b")).distinct())
+    groups = materialize(components(near.unionByName(known)), "groups")
+    # what is left of each bucket: its pairs with the smallest and the largest key are done
+    inner = placed.filter("c <> low and c <> high").join(groups, F.col("c") == F.col("node"), "left").select("bucket", "c", "n", F.coalesce("component", "c").alias("component"))
+    inner = materialize(inner, "inner")
+    open_ = inner.groupBy("bucket").agg(F.count("*").alias("rows"), F.min("component").alias("first"), F.max("component").alias("last")).filter("first < last")
+    rest = inner.join(open_.select("bucket", F.ceil(F.col("rows") / SPLIT).cast("int").alias("pieces")), "bucket")
+    side = lambda name: [F.col("c").alias(name), F.col("n").alias(f"n_{name}"), F.col("component").alias(f"component_{name}")]
+    left = rest.select("bucket", F.pmod(F.xxhash64("c"), "pieces").cast("int").alias("piece"), *side("a"))
+    right = rest.select("bucket", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("piece"), *side("b"))
+    fits = (F.col("n_a") >= least * F.col("n_b")) & (F.col("n_b") >= least * F.col("n_a"))
+    pairs = left.join(right, ["bucket", "piece"]).filter("a > b and component_a <> component_b").filter(fits).select("a", "b").distinct()
+    more = materialize(verified(pairs), "more")
+    if more.isEmpty():
+        return groups
+    return components(groups.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
