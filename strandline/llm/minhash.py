@@ -25,7 +25,7 @@ NOTHING, SPREAD = (1 << 64) - 1, 0x9E3779B97F4A7C15
 #: Bands of the signature for the candidate search: at a similarity of 0.8 a pair shares one with probability 1 - 4e-8.
 BANDS = 32
 SIMILAR = 0.8
-#: Rows of a band bucket that a task pairs with the whole bucket.
+#: Rows of a piece of a band bucket, about; a task compares two pieces.
 SPLIT = 1024
 #: Text of about so many bytes is handled together.
 BLOCK_BYTES = 4 << 20
@@ -208,25 +208,24 @@ def similar(df: DataFrame, key: str = "doc_id", text: str = "text", least: float
 
 
 def _prints(docs: DataFrame) -> DataFrame:
-    """``k``, ``content`` (digest of the shingle set), ``n`` (its size) and ``bands`` of every row (``k``, ``t``) with words; different bands have different values."""
+    """``k``, ``content`` (digest of the shingle set) and ``bands`` of every row (``k``, ``t``) with words; different bands have different values."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, width = MinHasher(), PERMUTATIONS // BANDS
         draw = np.random.default_rng(SEED + 1)
         mix, apart = (draw.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1) for n in (width, BANDS))
         for batch in batches:
-            keys, contents, sizes, bands = [], [], [], []
+            keys, contents, bands = [], [], []
             for k, t in zip(batch.column(0), batch.column(1)):
                 shingles = np.unique(hasher.shingles(hasher.word_hashes(t.as_py())))
                 if not len(shingles):
                     continue
                 keys.append(k.as_py())
                 contents.append(hashlib.blake2b(shingles.tobytes(), digest_size=16).digest())
-                sizes.append(len(shingles))
                 bands.append(((hasher.signature(shingles).reshape(BANDS, width) * mix).sum(1, dtype=np.uint64) + apart).view(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(contents, pa.binary()), pa.array(sizes, pa.int32()), pa.array(bands, pa.list_(pa.int64()))], names=["k", "content", "n", "bands"])
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(contents, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], names=["k", "content", "bands"])
 
-    return docs.mapInArrow(run, "k long, content binary, n int, bands array<long>")
+    return docs.mapInArrow(run, "k long, content binary, bands array<long>")
 
 
 def _grams(docs: DataFrame) -> DataFrame:
@@ -241,6 +240,42 @@ def _grams(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "k long, grams array<long>")
 
 
+def _unconnected(table: pa.Table, least: float) -> pa.Table:
+    """Links that connect the components of a bucket's rows, or of two of its pieces, as far as their similarity does.
+
+    Pairs that are connected by now, that share an earlier band or whose sizes rule out the similarity are passed over.
+    """
+    key, component, upper = (table.column(c).to_numpy() for c in ("c", "component", "upper"))
+    across, bucket = table.column("i")[0].as_py() != table.column("j")[0].as_py(), table.column("bucket")[0].as_py()
+    bands = table.column("bands").combine_chunks().flatten().to_numpy().reshape(-1, BANDS)
+    lists = table.column("grams").combine_chunks()
+    size = lists.value_lengths().to_numpy().astype(np.int64)
+    known, flat = np.unique(lists.flatten().to_numpy(), return_inverse=True)
+    start = np.append(0, np.cumsum(size))
+    group, mine, out = np.unique(component, return_inverse=True)[1], np.zeros(len(known), bool), []
+    place = np.arange(len(key))
+    for x in np.flatnonzero(~upper) if across else place:
+        able = (group != group[x]) & (key != key[x]) & (upper if across else place > x) & (size >= least * size[x]) & (size[x] >= least * size)
+        rows = np.flatnonzero(able)
+        if len(rows):
+            equal = bands[rows] == bands[x]
+            rows = rows[equal.any(1) & (bands[x][equal.argmax(1)] == bucket)]
+        if not len(rows):
+            continue
+        own = flat[start[x] : start[x + 1]]
+        mine[own] = True
+        if 8 * len(rows) < len(key):
+            both = np.array([mine[flat[start[y] : start[y + 1]]].sum() for y in rows])
+        else:
+            both = np.add.reduceat(mine[flat], start[:-1], dtype=np.int64)[rows]
+        mine[own] = False
+        for y in rows[both / (size[x] + size[rows] - both) >= least]:
+            if group[y] != group[x]:
+                out.append((max(key[x], key[y]), min(key[x], key[y])))
+                group[group == group[y]] = group[x]
+    return pa.table({"a": pa.array([a for a, _ in out], pa.int64()), "b": pa.array([b for _, b in out], pa.int64())})
+
+
 def near_groups(df: DataFrame, key: str = "doc_id", text: str = "text", least: float = SIMILAR, links: DataFrame | None = None) -> DataFrame:
     """``node`` and ``component`` (its smallest key) of all keys that are linked to another one.
 
@@ -252,10 +287,10 @@ def near_groups(df: DataFrame, key: str = "doc_id", text: str = "text", least: f
     """
     docs = df.select(F.col(key).cast("long").alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t")).filter("k is not null")
     found = materialize(_prints(docs), "prints")
-    classes = materialize(found.groupBy("content").agg(F.min("k").alias("c"), F.first("n").alias("n"), F.first("bands").alias("bands")), "classes")
+    classes = materialize(found.groupBy("content").agg(F.min("k").alias("c"), F.first("bands").alias("bands")), "classes")
     same = found.select("k", "content").join(classes.select("content", "c"), "content").filter("k <> c").select(F.col("k").alias("a"), F.col("c").alias("b"))
     known = same if links is None else same.unionByName(links.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")))
-    placed = classes.select("c", "n", F.explode("bands").alias("bucket"))
+    placed = classes.select("c", F.explode("bands").alias("bucket"))
     shared = placed.groupBy("bucket").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter("low < high")
     placed = materialize(placed.join(shared, "bucket"), "buckets")
     involved = placed.select(F.col("c").alias("k")).distinct()
@@ -271,16 +306,14 @@ def near_groups(df: DataFrame, key: str = "doc_id", text: str = "text", least: f
     near = verified(ends.select(F.greatest("c", "end").alias("a"), F.least("c", "end").alias("b")).distinct())
     groups = materialize(components(near.unionByName(known)), "groups")
     # what is left of each bucket: its pairs with the smallest and the largest key are done
-    inner = placed.filter("c <> low and c <> high").join(groups, F.col("c") == F.col("node"), "left").select("bucket", "c", "n", F.coalesce("component", "c").alias("component"))
+    inner = placed.filter("c <> low and c <> high").join(groups, F.col("c") == F.col("node"), "left").select("bucket", "c", F.coalesce("component", "c").alias("component"))
     inner = materialize(inner, "inner")
     open_ = inner.groupBy("bucket").agg(F.count("*").alias("rows"), F.min("component").alias("first"), F.max("component").alias("last")).filter("first < last")
     rest = inner.join(open_.select("bucket", F.ceil(F.col("rows") / SPLIT).cast("int").alias("pieces")), "bucket")
-    side = lambda name: [F.col("c").alias(name), F.col("n").alias(f"n_{name}"), F.col("component").alias(f"component_{name}")]
-    left = rest.select("bucket", F.pmod(F.xxhash64("c"), "pieces").cast("int").alias("piece"), *side("a"))
-    right = rest.select("bucket", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("piece"), *side("b"))
-    fits = (F.col("n_a") >= least * F.col("n_b")) & (F.col("n_b") >= least * F.col("n_a"))
-    pairs = left.join(right, ["bucket", "piece"]).filter("a > b and component_a <> component_b").filter(fits).select("a", "b").distinct()
-    more = materialize(verified(pairs), "more")
+    piece, other = F.pmod(F.xxhash64("c"), "pieces").cast("int"), F.explode(F.sequence(F.lit(0), F.col("pieces") - 1))
+    rest = rest.withColumn("piece", piece).withColumn("other", other).select("bucket", "c", "component", F.least("piece", "other").alias("i"), F.greatest("piece", "other").alias("j"), (F.col("piece") > F.col("other")).alias("upper"))
+    sent = rest.join(grams.withColumnRenamed("k", "c"), "c").join(classes.select("c", "bands"), "c")
+    more = materialize(sent.groupBy("bucket", "i", "j").applyInArrow(lambda table: _unconnected(table, least), "a long, b long").distinct(), "more")
     if more.isEmpty():
         return groups
     return components(groups.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
