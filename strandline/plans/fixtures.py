@@ -50,7 +50,7 @@ VIEWS = {
             'chr' || CAST(1 + l_suppkey % 5 AS STRING) AS chrom, CASE WHEN l_returnflag = 'A' THEN '+' ELSE '-' END AS strand,
             l_partkey * 10 + l_linenumber AS start_pos, l_partkey * 10 + l_linenumber + CAST(l_quantity AS BIGINT) AS end_pos,
             CASE WHEN l_linenumber = 7 THEN 'exon' ELSE 'CDS' END AS feature
-        FROM {lineitem} WHERE l_linestatus = 'F' AND l_discount < 0.02""",
+        FROM {lineitem}""",
     "v_interval_b": """
         SELECT p_partkey AS ref_pos, 'G' || CAST(p_partkey % 211 AS STRING) AS gene_id, 'X' || CAST(p_partkey % 701 AS STRING) AS transcript_id,
             CASE WHEN p_partkey % 211 % 10 = 0 THEN NULL ELSE 'NAME' || CAST(p_partkey % 211 AS STRING) END AS gene_name,
