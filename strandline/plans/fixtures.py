@@ -103,7 +103,7 @@ VIEWS = {
             || CASE WHEN page_id % 3 = 0 THEN '/P' || CAST(page_id % 60 AS STRING) || '_2z_' || CAST(page_id AS STRING) ELSE '/GENE' || CAST(page_id % 50 AS STRING) || '_chr3_' || CAST(page_id % 40 AS STRING) || '-900' END
             || CASE WHEN page_id % 5 = 4 THEN '.pdf' ELSE '.png' END AS path, length(url) AS size
         FROM {pages}""",
-    "v_src_a": "SELECT 'D' || CAST(doc_id % 300 AS STRING) AS sequence, lang AS gene_name, source AS database, n_chars AS protein_length, doc_id AS row_id FROM {documents} WHERE doc_id % 3 < 2",
+    "v_src_a": "SELECT 'D' || CAST(doc_id % 300 AS STRING) AS sequence, lang AS gene_name, source AS database, n_chars AS protein_length, doc_id AS row_id FROM {documents}",
     "v_src_b": "SELECT 'D' || CAST(doc_id % 400 AS STRING) AS sequence, CASE WHEN quality = 1 THEN 'Swiss-Prot' END AS database, toxic, doc_id AS row_id FROM {labels}",
     "v_src_c": "SELECT 'D' || CAST(page_id AS STRING) AS sequence, url AS ucsc, CASE WHEN page_id % 2 = 0 THEN '12' ELSE 'n/a' END AS length_text, page_id AS row_id FROM {pages}",
 }
