@@ -25,8 +25,48 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/strandline/{name}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Writes a DataFrame as Parquet below the shared folder and reads it back: cuts the lineage, and survives lost executors."""
+def delete(spark: SparkSession, path: str) -> None:
+    """Deletes a path, in whatever file system it is."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def _stored(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     path = scratch(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """Writes a DataFrame as Parquet below the shared folder and reads it back: cuts the lineage, and survives lost executors."""
+    return _stored(df, name)[0]
+
+
+class Latest:
+    """The table that each round of an iteration stores in place of the one before, which is deleted once its successor is written."""
+
+    def __init__(self, name: str):
+        self.name, self.path = name, None
+
+    def put(self, df: DataFrame) -> DataFrame:
+        before = self.path
+        out, self.path = _stored(df, self.name)
+        if before:
+            delete(df.sparkSession, before)
+        return out
+
+
+class Shelf:
+    """Tables that an operation stores for itself alone, and deletes when what it returns no longer reads them."""
+
+    def __init__(self):
+        self.paths = []
+
+    def put(self, df: DataFrame, name: str) -> DataFrame:
+        out, path = _stored(df, name)
+        self.paths.append((df.sparkSession, path))
+        return out
+
+    def clear(self) -> None:
+        while self.paths:
+            delete(*self.paths.pop())
