@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from strandline.sources.storage import materialize, scratch, shared_dir
+from strandline.sources.storage import Latest, Shelf, materialize, scratch, shared_dir
 
-__all__ = ["WORD", "fresh", "materialize", "ordered_positions", "scratch", "shared_dir", "table"]
+__all__ = ["Latest", "Shelf", "WORD", "fresh", "materialize", "ordered_positions", "scratch", "shared_dir", "table"]
 
 #: A word: a longest run of characters other than the ASCII blanks. ``bytes.split()`` cuts at the same places.
 WORD = r"[^\x20\x09-\x0D]+"

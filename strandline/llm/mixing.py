@@ -15,7 +15,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandline.llm.common import WORD, materialize, ordered_positions
+from strandline.llm.common import WORD, Latest, materialize, ordered_positions
 
 #: Weights of the sources in order, repeating.
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -63,65 +63,65 @@ def balance(cells: DataFrame, wanted: DataFrame, cap: int = CAP) -> DataFrame:
     """The multiplier of each source: ``source``, ``source_size``, ``target``, ``scale``, ``multiplier``.
 
     cells: ``source``, ``size``, ``n``. ``scale`` is the mean size that sizes are divided by. Each step is one aggregation of the
-    cells; the state, a row for each source, is stored between steps.
+    cells; the state, a row for each source, is stored in place of the one before. All rates lie on one side of the target's share of
+    the source at the multiplier that gives this share to the least size, and on the other side at the one for the largest size: they bracket
+    the solution. The first guess gives it to the mean size. A step that would leave the bracket halves it.
     """
-    spread = cells.filter("size > 0").groupBy("source").agg((F.sum(F.col("n") * F.col("size") * F.col("size")) / F.sum(F.col("n") * F.col("size"))).alias("scale"), F.min("size").alias("least"))
-    top = math.log(cap)
-    state = wanted.join(spread, wanted["source"].eqNullSafe(spread["source"]), "left").drop(spread["source"])
-    # all at the cap where the multiplier times the least size is its logarithm; nothing is left where it falls far below zero
-    state = state.select("source", "source_size", "target", F.coalesce("scale", F.lit(1.0)).alias("scale"), F.lit(0.0).alias("multiplier"), F.lit(-1e6).alias("low"), F.coalesce(top * F.col("scale") / F.col("least"), F.lit(0.0)).alias("high"))
-    state = state.withColumn("done", (F.col("source_size") == 0) | (F.col("target") >= cap * F.col("source_size") * (1 - 1e-12)))
-    state = materialize(state.withColumn("multiplier", F.when(F.col("done"), F.col("high")).otherwise(F.col("multiplier"))), "balance")
+    weighted = F.sum(F.col("n") * F.col("size") * F.col("size")) / F.sum(F.col("n") * F.col("size"))
+    facts = cells.filter("size > 0").groupBy("source").agg(weighted.alias("scale"), F.min("size").alias("least"), F.max("size").alias("most"))
+    state = wanted.join(facts, wanted["source"].eqNullSafe(facts["source"]), "left").drop(facts["source"])
+    full = (F.col("source_size") == 0) | (F.col("target") >= cap * F.col("source_size") * (1 - 1e-12))
+    share = F.when(full, math.log(cap)).otherwise(F.log(F.col("target") / F.col("source_size")))
+    ends = [share * F.col("scale") / F.col(c) for c in ("least", "most")]
+    known = F.col("scale").isNotNull()
+    state = state.select(
+        "source", "source_size", "target", F.coalesce("scale", F.lit(1.0)).alias("scale"), F.when(known, F.when(full, ends[0]).otherwise(share)).otherwise(0.0).alias("multiplier"),
+        F.when(known, F.least(*ends)).otherwise(0.0).alias("low"), F.when(known, F.greatest(*ends)).otherwise(0.0).alias("high"), (full | ~known).alias("done"),
+    )
+    kept, top = Latest("balance"), math.log(cap)
+    state = kept.put(state)
     for _ in range(STEPS):
         if state.filter(~F.col("done")).isEmpty():
             break
-        open_ = state.filter(~F.col("done"))
-        at = cells.join(open_.select("source", "multiplier", "scale"), cells["source"].eqNullSafe(open_["source"])).drop(open_["source"])
+        carried = [c for c in state.columns if c != "source"]
+        at = cells.join(state, cells["source"].eqNullSafe(state["source"])).drop(state["source"])
         scaled = F.col("size") / F.col("scale")
-        rate = _rate(F.col("multiplier"), scaled, cap)
-        words = F.col("n") * F.col("size")
-        sums = at.groupBy("source").agg(F.sum(words * rate).alias("taken"), F.sum(F.when(F.col("multiplier") * scaled < top, words * scaled * rate).otherwise(0.0)).alias("slope"))
-        sums = sums.withColumnRenamed("source", "_source")
-        step = state.join(sums, state["source"].eqNullSafe(sums["_source"]), "left").drop("_source")
+        words = F.col("n") * F.col("size") * _rate(F.col("multiplier"), scaled, cap)
+        slope = F.when(F.col("multiplier") * scaled < top, words * scaled).otherwise(0.0)
+        step = at.groupBy("source").agg(F.sum(words).alias("taken"), F.sum(slope).alias("slope"), *(F.first(c).alias(c) for c in carried))
         over = F.col("taken") - F.col("target")
         low = F.when(over < 0, F.col("multiplier")).otherwise(F.col("low"))
         high = F.when(over > 0, F.col("multiplier")).otherwise(F.col("high"))
         newton = F.col("multiplier") - F.when(F.col("slope") > 0, over / F.col("slope"))
-        inside = F.coalesce((newton > low) & (newton < high), F.lit(False))
-        moved = F.when(inside, newton).otherwise((low + high) / 2)
-        close = F.abs(over) <= F.greatest(F.lit(0.25), CLOSE * F.col("target"))
-        done = F.col("done") | F.coalesce(close, F.lit(True))
-        state = materialize(
-            step.select("source", "source_size", "target", "scale", F.when(done, F.col("multiplier")).otherwise(moved).alias("multiplier"), F.when(F.col("done"), F.col("low")).otherwise(low).alias("low"), F.when(F.col("done"), F.col("high")).otherwise(high).alias("high"), done.alias("done")),
-            "balance",
-        )
+        moved = F.when(F.coalesce((newton > low) & (newton < high), F.lit(False)), newton).otherwise((low + high) / 2)
+        done = F.col("done") | (F.abs(over) <= F.greatest(F.lit(0.25), CLOSE * F.col("target")))
+        new = {"multiplier": F.when(done, F.col("multiplier")).otherwise(moved), "low": low, "high": high, "done": done}
+        state = kept.put(step.select("source", *((new[c].alias(c) if c in new else F.col(c)) for c in carried)))
     return state.select("source", "source_size", "target", "scale", "multiplier")
 
 
-def copies_by_cell(cells: DataFrame, state: DataFrame, cap: int = CAP, rounds: int = 6) -> DataFrame:
-    """``source``, ``size``, ``n``, ``copies`` (of all documents of the cell together), ``rate``, ``source_size``, ``target``."""
+def copies_by_cell(cells: DataFrame, state: DataFrame, cap: int = CAP, rounds: int = 4) -> DataFrame:
+    """``source``, ``size``, ``n``, ``copies`` (of all documents of the cell together), ``rate``, ``source_size``, ``target``.
+
+    Rates are rounded along falling size. In each round what a source still misses, or has too much, goes to copies of its largest size
+    that fits into it. All windows lie over the cells of a source, a row for each of its different sizes, and share one shuffle.
+    """
     at = cells.join(state, cells["source"].eqNullSafe(state["source"])).drop(state["source"])
     at = at.withColumn("rate", _rate(F.col("multiplier"), F.col("size") / F.col("scale"), cap))
-    along = Window.partitionBy("source").orderBy(F.desc("size")).rowsBetween(Window.unboundedPreceding, 0)
-    upto = F.sum(F.col("n") * F.col("rate")).over(along)
-    at = at.withColumn("upto", upto)
+    whole = Window.partitionBy("source")
+    along = whole.orderBy(F.desc("size")).rowsBetween(Window.unboundedPreceding, 0)
+    at = at.withColumn("upto", F.sum(F.col("n") * F.col("rate")).over(along))
     last = F.floor(F.col("upto") + 0.5 + 1e-9)
     first = F.floor(F.col("upto") - F.col("n") * F.col("rate") + 0.5 + 1e-9)
     at = at.select("source", "size", "n", "rate", "source_size", "target", F.least(F.greatest(last - first, F.lit(0)), cap * F.col("n")).cast("long").alias("copies"))
-    at = materialize(at, "copies")
     for _ in range(rounds):
-        # each source's remaining error goes to copies of its largest size that fits into it
-        error = at.groupBy("source").agg((F.max("target") - F.sum(F.col("size") * F.col("copies"))).alias("error")).withColumnRenamed("source", "_source")
-        with_error = at.join(error, at["source"].eqNullSafe(error["_source"])).drop("_source")
+        at = at.withColumn("error", F.col("target") - F.sum(F.col("size") * F.col("copies")).over(whole))
         room = F.when(F.col("error") > 0, cap * F.col("n") - F.col("copies")).otherwise(F.col("copies"))
         fits = (F.col("size") > 0) & (F.col("size") <= F.abs("error")) & (room > 0)
-        best = with_error.filter(fits).groupBy("source").agg(F.max("size").alias("_best")).withColumnRenamed("source", "_source")
-        if best.isEmpty():
-            break
-        with_error = with_error.join(best, with_error["source"].eqNullSafe(best["_source"]) & (with_error["size"] == best["_best"]), "left")
+        at = at.withColumn("best", F.max(F.when(fits, F.col("size"))).over(whole))
         change = F.least(F.floor(F.abs("error") / F.col("size")), room) * F.signum("error")
-        at = materialize(with_error.select("source", "size", "n", "rate", "source_size", "target", (F.col("copies") + F.when(F.col("_best").isNotNull(), change).otherwise(0)).cast("long").alias("copies")), "copies")
-    return at
+        at = at.withColumn("copies", (F.col("copies") + F.when(F.col("size") == F.col("best"), change).otherwise(0)).cast("long")).drop("error", "best")
+    return materialize(at, "copies")
 
 
 def mix(df: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text", weights: tuple[float, ...] = WEIGHTS, cap: int = CAP) -> DataFrame:
