@@ -1,26 +1,27 @@
 """SimHash near-duplicates: fingerprints of word shingles, joined with themselves along a binary trie.
 
-The trie of all different fingerprints is cut at a depth that leaves few fingerprints below each of its nodes. Spark pairs the
-nodes at the cut whose prefixes are within the error budget; a task then walks one pair of subtrees, both sides together, adds up the
-bits in which the paths differ and leaves a pair of nodes as soon as they are more than the budget.
+A fingerprint is put into one trie for each of budget + 1 rotations of its bits. Two fingerprints within the budget agree in all bits of at least
+one of so many parts, and so share the first nodes of the trie whose bits begin with that part: Spark deals the tries by a node of this
+cut, and no pair of nodes across the cut needs a visit. A task then walks a subtree with itself, both sides together, adds up the
+bits in which the paths differ and leaves a pair of nodes as soon as they are more than the budget. A subtree with very many
+fingerprints is dealt into pieces, and tasks walk pairs of pieces.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandline.llm.common import fresh, materialize
 from strandline.llm.components import components
 
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
-#: Fingerprints below a node of the cut, about; and the deepest cut.
-SUBTREE, DEEPEST = 32768, 20
+#: Most fingerprints of a subtree, about, that a task walks whole; and how many it should have at least where that leaves enough tasks.
+SUBTREE, LEAST_SUBTREE = 32768, 64
 #: Pairs of trie nodes that a task holds at a time.
 NODE_PAIRS = 1 << 18
 
@@ -134,57 +135,61 @@ def _forest(pairs: Iterator[tuple[np.ndarray, np.ndarray]], a: np.ndarray, b: np
 def links(values: DataFrame, budget: int = 2, subtree: int = SUBTREE) -> DataFrame:
     """Links ``a``, ``b`` between different fingerprints (column ``fp``, each once) that connect all within ``budget`` differing bits.
 
-    Any two fingerprints within the budget are connected by the links returned, directly or over others within it. The
-    trie takes the bits in the order of how evenly they split the fingerprints; the cut is where no node has more than
-    ``subtree`` fingerprints, or the deepest allowed, where subtrees are larger but walked in pieces. No values, no links.
+    Any two fingerprints within the budget are connected by the links returned, directly or over others within it. Each is sent
+    budget + 1 times. The cut is as deep as the fingerprints and the shuffle partitions ask for; a node that still has more than ``subtree``
+    fingerprints, however alike they are, is split into pieces of that size. No values, no links.
     """
-    ones = values.agg(F.count("*").alias("n"), *(F.coalesce(F.sum(F.shiftrightunsigned("fp", i).bitwiseAND(F.lit(1))), F.lit(0)).alias(f"b{i}") for i in range(64))).first()
-    order = sorted(range(64), key=lambda i: (abs(2 * ones[f"b{i}"] - ones["n"]), i))  # the first is the trie's root
-    bits = [F.shiftrightunsigned("fp", i).bitwiseAND(F.lit(1)) for i in order[:DEEPEST]]
-    prefix = F.lit(0).cast("long")
-    for k, one in enumerate(bits):
-        prefix = prefix + F.shiftleft(one, DEEPEST - 1 - k)
-    keyed = materialize(values.select("fp", prefix.alias("prefix")), "trie")
-    depth = 0
-    if ones["n"] > subtree:
-        # nodes at the deepest cut: at most 2**DEEPEST rows, reduced level by level to one figure each
-        nodes = materialize(keyed.groupBy("prefix").count(), "nodes")
-        for depth in range(1, DEEPEST + 1):
-            most = nodes.groupBy(F.shiftright("prefix", DEEPEST - depth)).agg(F.sum("count").alias("n")).agg(F.max("n")).first()[0]
-            if most <= subtree:
-                break
-    flips = [0]
-    for k in range(1, min(budget, depth) + 1):
-        flips += [sum(1 << i for i in chosen) for chosen in combinations(range(depth), k)]
-    node = F.shiftright("prefix", DEEPEST - depth)
-    # a pair of nodes (low, high) gets the fingerprints of both
-    other = F.explode(F.transform(F.lit(flips), lambda f: node.bitwiseXOR(f.cast("long"))))
-    sent = keyed.select("fp", node.alias("node"), other.alias("other")).select("fp", F.least("node", "other").alias("low"), F.greatest("node", "other").alias("high"), (F.col("node") > F.col("other")).alias("upper"))
-    sources, shifts = np.array(order, np.uint64), np.arange(63, -1, -1).astype(np.uint64)
-
-    def reorder(fp: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(fp), np.uint64)
-        for source, shift in zip(sources, shifts):
-            out |= (fp >> source & np.uint64(1)) << shift
+    turns = budget + 1
+    part, count = 64 // turns, values.count()
+    tasks = int(values.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    deep = lambda x: max(0, int(np.ceil(np.log2(max(x, 1)))))
+    depth = min(part, max(deep(2 * count / subtree), min(deep(2 * tasks / turns), deep(count / LEAST_SUBTREE))))
+    turned = F.transform(F.sequence(F.lit(0), F.lit(turns - 1)), lambda t: F.struct(t.alias("turn"), _rotated(F.col("fp"), t * part).alias("path")))
+    keyed = values.select(F.inline(turned)).withColumn("node", F.expr(f"shiftrightunsigned(path, {64 - depth})") if depth else F.lit(0).cast("long"))
+    large = keyed.groupBy("turn", "node").count().filter(F.col("count") > subtree).withColumn("pieces", F.ceil(F.col("count") / subtree).cast("int"))
+    split = keyed.join(large.drop("count"), ["turn", "node"], "left").withColumn("pieces", F.coalesce("pieces", F.lit(1)))
+    split = split.withColumns({"piece": F.pmod(F.xxhash64("path"), F.col("pieces")).cast("int"), "other": F.explode(F.sequence(F.lit(0), F.col("pieces") - 1))})
+    sent = split.select("turn", "node", "path", F.least("piece", "other").alias("low"), F.greatest("piece", "other").alias("high"), (F.col("piece") > F.col("other")).alias("upper"))
+
+    def unturned(path: np.ndarray, turn: int) -> np.ndarray:
+        k = turn * part
+        return path if not k else path >> np.uint64(k) | path << np.uint64(64 - k)
+
+    def agree_before(x: np.ndarray, turn: int) -> np.ndarray:
+        """Whether the differences leave out all bits of an earlier turn's cut: the pair was found there."""
+        out = np.zeros(len(x), bool)
+        for t in range(turn if depth else 0):
+            out |= (x << np.uint64(t * part)) >> np.uint64(64 - depth) == 0
         return out
 
     def run(table: pa.Table) -> pa.Table:
-        low, high = table.column("low")[0].as_py(), table.column("high")[0].as_py()
-        fp, upper = table.column("fp").to_numpy().view(np.uint64), table.column("upper").to_numpy()
-        bound = []
-        for part in (fp[~upper], fp[upper]):
-            turned = reorder(part)
-            by = turned.argsort()
-            bound.append((turned[by], part[by].view(np.int64)))
-        (a, own_a), (b, own_b) = bound
+        turn, within = table.column("turn")[0].as_py(), table.column("low")[0].as_py() == table.column("high")[0].as_py()
+        path, upper = table.column("path").to_numpy().view(np.uint64), table.column("upper").to_numpy()
+        a, b = np.sort(path[~upper]), np.sort(path[upper])
+        if within:
+            b = a
+        own_a, own_b = unturned(a, turn), unturned(b, turn)
         found = []
-        if low == high:
-            found = _forest(_walk(a, a, depth, budget, True), own_a, own_a) if len(a) > 1 else []
-        elif len(a) and len(b):
-            found = _forest(_walk(a, b, depth, budget, False), own_a, own_b)
+        if len(a) and len(b) and (not within or len(a) > 1):
+            pairs = ((i[new], j[new]) for i, j in _walk(a, b, depth, budget, within) for new in [~agree_before(own_a[i] ^ own_b[j], turn)])
+            found = _forest(pairs, own_a.view(np.int64), own_b.view(np.int64))
         return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([y for _, y in found], pa.int64())})
 
-    return sent.groupBy("low", "high").applyInArrow(run, "a long, b long")
+    return sent.groupBy("turn", "node", "low", "high").applyInArrow(run, "a long, b long")
+
+
+def _rotated(fp: Column, bits: Column) -> Column:
+    """The 64 bits turned to the left."""
+    return F.call_function("shiftleft", fp, bits).bitwiseOR(F.when(bits == 0, F.lit(0).cast("long")).otherwise(F.call_function("shiftrightunsigned", fp, 64 - bits)))
+
+
+def _by_fingerprint(df: DataFrame, key: str, text: str, words: int, budget: int) -> tuple[DataFrame, DataFrame, DataFrame, str]:
+    """The rows with ``fp``; the different fingerprints with their smallest key; the links between them; the name of that key. All stored."""
+    columns = [c for c in df.columns if c.lower() not in {"fp", "component_id"}]
+    (name,) = fresh(df, "simhash_key")
+    rows = materialize(fingerprints(df.select(*[c for c in columns if c != text], text), text, words), "fingerprints")
+    values = materialize(rows.groupBy("fp").agg(F.min(key).alias(name)), "different")
+    return rows, values, links(values.select("fp"), budget), name
 
 
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", words: int = 3, budget: int = 2) -> DataFrame:
@@ -194,12 +199,18 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", word
     null keys are never a component's id unless it has no other (then it is null); repeated rows stay; an empty table gives no rows.
     Copies meet as one fingerprint; only different fingerprints are joined. Fingerprints without texts are stored once.
     """
-    columns = [c for c in df.columns if c.lower() not in {"fp", "component_id"}]
-    (name,) = fresh(df, "simhash_key")
-    rows = materialize(fingerprints(df.select(*[c for c in columns if c != text], text), text, words), "fingerprints")
-    values = materialize(rows.groupBy("fp").agg(F.min(key).alias(name)), "different")
-    found = components(links(values.select("fp"), budget))
+    rows, values, found, name = _by_fingerprint(df, key, text, words, budget)
+    found = components(found)
     least = found.join(values, found["node"] == values["fp"]).groupBy("component").agg(F.min(name).alias("_least"))
     named = found.join(least, "component").select(F.col("node").alias("fp"), "_least")
     ids = values.join(named, "fp", "left").select("fp", F.coalesce("_least", name).alias("component_id"))
     return rows.join(ids, "fp")
+
+
+def duplicate_links(df: DataFrame, key: str = "doc_id", text: str = "text", words: int = 3, budget: int = 2) -> DataFrame:
+    """Links ``a``, ``b`` of keys that connect what :func:`near_duplicates` puts into one component, for use with other links. Null keys have none."""
+    rows, values, found, name = _by_fingerprint(df.select(key, text), key, text, words, budget)
+    copies = rows.join(values, "fp").filter(F.col(key) != F.col(name)).select(F.col(key).alias("a"), F.col(name).alias("b"))
+    ends = [values.select(F.col("fp").alias(e), F.col(name).alias(f"key_{e}")) for e in "ab"]
+    near = found.join(ends[0], "a").join(ends[1], "b").select(F.col("key_a").alias("a"), F.col("key_b").alias("b")).dropna()
+    return copies.unionByName(near)
