@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
 import numpy as np
 
-#: Odd factors of the polynomial hashes, and of the mixing after them; others would do.
+#: Odd factors of polynomial hashes over word hashes, and of the mixing; others would do.
 BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 MIXERS = (0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xFF51AFD7ED558CCD)
-#: Bytes that are hashed at a time.
-PIECE = 1 << 20
+#: Words above so many 8-byte pieces are hashed one by one.
+LANES = 8
 
 _BLANK = np.zeros(256, bool)
 _BLANK[[9, 10, 11, 12, 13, 32]] = True
-_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+#: Masks that keep the first 0 to 8 bytes of a little-endian integer.
+_FIRST = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
 def mixed(h: np.ndarray, k: int = 0) -> np.ndarray:
@@ -20,17 +23,11 @@ def mixed(h: np.ndarray, k: int = 0) -> np.ndarray:
     return h ^ h >> np.uint64(29)
 
 
-def _power_tables(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse modulo 2**64."""
-    if base not in _powers or len(_powers[base][0]) < n:
-        n = max(n, 1 << 16)
-        tables = []
-        for factor in (base, pow(base, -1, 1 << 64)):
-            steps = np.full(n, factor, np.uint64)
-            steps[0] = 1
-            tables.append(np.cumprod(steps))
-        _powers[base] = (tables[0], tables[1])
-    return _powers[base]
+def _strong(h: np.ndarray) -> np.ndarray:
+    """A permutation of the 64-bit integers in which every bit depends on all bits."""
+    h = (h ^ h >> np.uint64(30)) * np.uint64(MIXERS[0])
+    h = (h ^ h >> np.uint64(27)) * np.uint64(MIXERS[1])
+    return h ^ h >> np.uint64(31)
 
 
 def words_of(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -44,16 +41,45 @@ def words_of(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return edge[::2], edge[1::2]
 
 
-def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int = BASES[0]) -> np.ndarray:
-    """Hash of each word: a polynomial over its bytes and its length, mixed. Bytes are taken in pieces cut between words."""
-    out, first = np.zeros(len(starts), np.uint64), 0
-    while first < len(starts):
-        last = max(first + 1, int(np.searchsorted(ends, starts[first] + PIECE, side="right")))
-        low, high = int(starts[first]), int(ends[last - 1])
-        powers, inverse = _power_tables(base, high - low + 1)
-        sums = np.zeros(high - low + 1, np.uint64)
-        np.cumsum((raw[low:high].astype(np.uint64) + np.uint64(1)) * powers[: high - low], out=sums[1:])
-        a, b = starts[first:last] - low, ends[first:last] - low
-        out[first:last] = (sums[b] - sums[a]) * inverse[a] + (b - a).astype(np.uint64) * np.uint64(MIXERS[2])
-        first = last
-    return mixed(out)
+def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
+    """Hash of each word under a seed.
+
+    A word's pieces of 8 bytes are each mixed under a key of their place, added up with the length and mixed again: unlike a polynomial over
+    the bytes this is not linear in them, so that no pattern of bytes makes different words alike under every key. Longer words get XXH64.
+    """
+    from xxhash import xxh64_intdigest
+
+    keys = _strong(np.arange(1, LANES + 2, dtype=np.uint64) * np.uint64(BASES[0]) + np.uint64(seed))
+    eights = np.ndarray(len(raw) + 1, "<u8", np.concatenate([raw, np.zeros(8, np.uint8)]), strides=(1,))  # the 8 bytes from each place on
+    size = ends - starts
+    total = size.astype(np.uint64) * np.uint64(MIXERS[2]) + keys[LANES]
+    long = np.flatnonzero(size > 8 * LANES)
+    at = slice(None)
+    for lane in range(LANES):
+        total[at] += _strong(eights[starts[at] + 8 * lane] & _FIRST[np.minimum(size[at] - 8 * lane, 8)] ^ keys[lane])
+        at = np.flatnonzero(size > 8 * lane + 8)
+        if not len(at):
+            break
+    for i in long.tolist():
+        total[i] = xxh64_intdigest(raw[starts[i] : ends[i]].tobytes(), seed)
+    return _strong(total)
+
+
+def text_hashes(texts: Iterable[bytes], most: int = 1 << 20) -> Iterator[np.ndarray]:
+    """The word hashes of each text; texts of about so many bytes are hashed together."""
+
+    def hashed(held: list[bytes]) -> list[np.ndarray]:
+        raw = np.frombuffer(b"\n".join(held), np.uint8)
+        starts, ends = words_of(raw)
+        cuts = np.searchsorted(starts, np.cumsum([len(t) + 1 for t in held]))[:-1]
+        return np.split(word_hashes(raw, starts, ends), cuts)
+
+    held, size = [], 0
+    for t in texts:
+        held.append(t)
+        size += len(t)
+        if size >= most:
+            yield from hashed(held)
+            held, size = [], 0
+    if held:
+        yield from hashed(held)

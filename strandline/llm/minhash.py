@@ -6,18 +6,18 @@ Fingerprints of edited texts share the work: shingles of the words before the fi
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType
 
-from strandline.llm.common import materialize
+from strandline.llm.common import Shelf, materialize
 from strandline.llm.components import components
-from strandline.llm.hashing import word_hashes, words_of
+from strandline.llm.hashing import text_hashes
 
 WORDS, PERMUTATIONS = 5, 128
 #: Signature entry of a text without words, and the factor that spreads an entry before it is cut down to 16 bits.
@@ -27,8 +27,8 @@ BANDS = 32
 SIMILAR = 0.8
 #: Rows of a piece of a band bucket, about; a task compares two pieces.
 SPLIT = 1024
-#: Text of about so many bytes is handled together.
-BLOCK_BYTES = 4 << 20
+#: Text that is handled together: the corpus over 5000, within these bounds, so that the bounds of all blocks stay few.
+BLOCK_BYTES = (4 << 20, 64 << 20)
 SEED = 20240607
 
 
@@ -43,10 +43,6 @@ class MinHasher:
         self.b = draw.integers(0, 1 << 64, (permutations, 1), dtype=np.uint64)
         self.factors = draw.integers(0, 1 << 63, words, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
-    def word_hashes(self, text: str) -> np.ndarray:
-        raw = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
-        return word_hashes(raw, *words_of(raw))
-
     def shingles(self, hashes: np.ndarray) -> np.ndarray:
         """64-bit hashes of all runs of 5 words; shorter texts are one shingle, texts without words have none."""
         n, k = len(hashes), min(self.words, len(hashes))
@@ -70,9 +66,8 @@ class MinHasher:
             np.minimum(least, y.min(1), out=least)
         return least
 
-    def pair(self, text: str, edited: str) -> tuple[np.ndarray, np.ndarray]:
-        """Signatures of a text and of an edit of it."""
-        a, b = self.word_hashes(text), self.word_hashes(edited)
+    def pair(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Signatures of a text and of an edit of it, from their word hashes."""
         n = min(len(a), len(b))
         differ = np.flatnonzero(a[:n] != b[:n])
         same = int(differ[0]) if len(differ) else n
@@ -83,6 +78,10 @@ class MinHasher:
         return rest[0], rest[1]
 
 
+def _hashes(texts: Iterable[str]) -> Iterator[np.ndarray]:
+    return text_hashes(t.encode("utf-8", "surrogatepass") for t in texts)
+
+
 def digest(signature: np.ndarray) -> np.ndarray:
     """16 bits of each least value."""
     return (signature * np.uint64(SPREAD) >> np.uint64(48)).astype(np.uint16)
@@ -113,7 +112,7 @@ def fingerprint_edits(df: DataFrame, key: str = "doc_id", text: str = "text") ->
     body = F.coalesce(F.col(text), F.lit(""))
     docs = df.select(F.col(key).cast("long").alias("doc_id"), body.alias("text"))
     total, first = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.min("doc_id")).first()
-    bounds = _bounds(docs.select("doc_id"), -(-total // BLOCK_BYTES))
+    bounds = _bounds(docs.select("doc_id"), -(-total // min(BLOCK_BYTES[1], max(BLOCK_BYTES[0], total // 5000))))
     last, shared = len(bounds), df.sparkSession.sparkContext.broadcast(bounds)
 
     @F.pandas_udf(IntegerType())
@@ -139,15 +138,19 @@ def fingerprint_edits(df: DataFrame, key: str = "doc_id", text: str = "text") ->
         own = [r for r in rows if r[0] == 0]
         after = next((r for r in rows if r[0]), own[0] if own else None)
         hasher, out, digests = MinHasher(), [], []
-        for i, (_, doc_id, doc) in enumerate(own):
-            follower = own[i + 1] if i + 1 < len(own) else after
-            quarter = len(doc) // 4
-            edited = doc[: len(doc) - quarter] + follower[2][:quarter]
-            a, b = map(digest, hasher.pair(doc, edited))
+
+        def edits() -> Iterator[str]:
+            for i, (_, _, doc) in enumerate(own):
+                follower, quarter = own[i + 1] if i + 1 < len(own) else after, len(doc) // 4
+                yield doc[: len(doc) - quarter] + follower[2][:quarter]
+
+        for (_, doc_id, doc), edited, *hashes in zip(own, edits(), _hashes(r[2] for r in own), _hashes(edits())):
+            a, b = map(digest, hasher.pair(*hashes))
             digests.append(a)
             out.append((doc_id, len(doc), hashlib.sha256(edited.encode()).hexdigest(), to_text(a), to_text(b), float((a == b).mean())))
         if own:
-            digests.append(digest(hasher.signature(hasher.shingles(hasher.word_hashes(after[2])))))
+            (last_hashes,) = _hashes([after[2]])
+            digests.append(digest(hasher.signature(hasher.shingles(last_hashes))))
         near_next = [float((x == y).mean()) for x, y in zip(digests, digests[1:])]
         columns = [*zip(*out)] if out else [[]] * 6
         kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64()]
@@ -158,55 +161,6 @@ def fingerprint_edits(df: DataFrame, key: str = "doc_id", text: str = "text") ->
     return sent.groupBy("block").applyInArrow(run, schema)
 
 
-def signatures(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc_id``, ``fingerprint`` (hex), ``bands`` (array of long) and ``shingles`` (sorted different 64-bit hashes) of every text."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, width = MinHasher(), PERMUTATIONS // BANDS
-        mix = np.random.default_rng(SEED + 1).integers(0, 1 << 63, width, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-        for batch in batches:
-            prints, bands, grams = [], [], []
-            for t in batch.column(1):
-                shingles = np.unique(hasher.shingles(hasher.word_hashes(t.as_py())))
-                signature = hasher.signature(shingles)
-                prints.append(to_text(digest(signature)))
-                bands.append((signature.reshape(BANDS, width) * mix).sum(1, dtype=np.uint64).view(np.int64))
-                grams.append(shingles.view(np.int64))
-            lists = pa.list_(pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints), pa.array(bands, lists), pa.array(grams, lists)], names=["doc_id", "fingerprint", "bands", "shingles"])
-
-    docs = df.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    return docs.mapInArrow(run, "doc_id long, fingerprint string, bands array<long>, shingles array<long>")
-
-
-def similar(df: DataFrame, key: str = "doc_id", text: str = "text", least: float = SIMILAR) -> tuple[DataFrame, DataFrame]:
-    """Links between different texts, and who holds each text: (``a``, ``b``, ``jaccard``) with a < b, and (``doc_id``, ``class_id``).
-
-    A class is the rows with one set of shingles, named by its smallest key. Classes that share a band are candidates, each pair in
-    the first band it shares only; the Jaccard similarity of their shingle sets decides. Texts without words form one class without
-    links. Null keys are left out; an empty table gives none.
-    """
-    found = signatures(df.select(F.col(key), F.col(text)), key, text).filter("doc_id is not null")
-    content = F.sha2(F.concat_ws(",", "shingles"), 256)
-    found = materialize(found.withColumn("content", content), "signatures")
-    classes = found.groupBy("content").agg(F.min("doc_id").alias("class_id"))
-    members = found.select("doc_id", "content").join(classes, "content").select("doc_id", "class_id")
-    heads = materialize(found.join(classes, "content").filter("doc_id = class_id and size(shingles) > 0").dropDuplicates(["class_id"]).select("class_id", "bands", "shingles"), "classes")
-
-    def side(name: str) -> DataFrame:
-        return heads.select(F.col("class_id").alias(name), F.col("bands").alias(f"bands_{name}"), F.posexplode("bands").alias("band", "value"))
-
-    def first_shared(a: Column, b: Column) -> Column:
-        return F.array_position(F.zip_with(a, b, lambda x, y: x == y), True) - 1
-
-    pairs = side("a").join(side("b"), ["band", "value"]).filter("a < b").filter(first_shared(F.col("bands_a"), F.col("bands_b")) == F.col("band")).select("a", "b")
-    grams = heads.select("class_id", "shingles")
-    pairs = pairs.join(grams.select(F.col("class_id").alias("a"), F.col("shingles").alias("x")), "a").join(grams.select(F.col("class_id").alias("b"), F.col("shingles").alias("y")), "b")
-    both = F.size(F.array_intersect("x", "y"))
-    scored = pairs.select("a", "b", (both / (F.size("x") + F.size("y") - both)).alias("jaccard"))
-    return scored.filter(F.col("jaccard") >= least), members
-
-
 def _prints(docs: DataFrame) -> DataFrame:
     """``k``, ``content`` (digest of the shingle set) and ``bands`` of every row (``k``, ``t``) with words; different bands have different values."""
 
@@ -216,8 +170,8 @@ def _prints(docs: DataFrame) -> DataFrame:
         mix, apart = (draw.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1) for n in (width, BANDS))
         for batch in batches:
             keys, contents, bands = [], [], []
-            for k, t in zip(batch.column(0), batch.column(1)):
-                shingles = np.unique(hasher.shingles(hasher.word_hashes(t.as_py())))
+            for k, hashes in zip(batch.column(0), _hashes(t.as_py() for t in batch.column(1))):
+                shingles = np.unique(hasher.shingles(hashes))
                 if not len(shingles):
                     continue
                 keys.append(k.as_py())
@@ -234,7 +188,7 @@ def _grams(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = MinHasher()
         for batch in batches:
-            grams = [np.unique(hasher.shingles(hasher.word_hashes(t.as_py()))).view(np.int64) for t in batch.column(1)]
+            grams = [np.unique(hasher.shingles(h)).view(np.int64) for h in _hashes(t.as_py() for t in batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(grams, pa.list_(pa.int64()))], names=["k", "grams"])
 
     return docs.mapInArrow(run, "k long, grams array<long>")
@@ -285,16 +239,17 @@ def near_groups(df: DataFrame, key: str = "doc_id", text: str = "text", least: f
     the sizes alone rule out the similarity. A pair inside a component can't change the result. Large buckets are split over tasks.
     Rows without a key or without words have no links of their own; an empty table gives none.
     """
+    own = Shelf()
     docs = df.select(F.col(key).cast("long").alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t")).filter("k is not null")
-    found = materialize(_prints(docs), "prints")
-    classes = materialize(found.groupBy("content").agg(F.min("k").alias("c"), F.first("bands").alias("bands")), "classes")
+    found = own.put(_prints(docs), "prints")
+    classes = own.put(found.groupBy("content").agg(F.min("k").alias("c"), F.first("bands").alias("bands")), "classes")
     same = found.select("k", "content").join(classes.select("content", "c"), "content").filter("k <> c").select(F.col("k").alias("a"), F.col("c").alias("b"))
     known = same if links is None else same.unionByName(links.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")))
     placed = classes.select("c", F.explode("bands").alias("bucket"))
     shared = placed.groupBy("bucket").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter("low < high")
-    placed = materialize(placed.join(shared, "bucket"), "buckets")
+    placed = own.put(placed.join(shared, "bucket"), "buckets")
     involved = placed.select(F.col("c").alias("k")).distinct()
-    grams = materialize(_grams(docs.join(involved, "k", "left_semi").dropDuplicates(["k", "t"]).select("k", "t")), "grams")
+    grams = own.put(_grams(docs.join(involved, "k", "left_semi").dropDuplicates(["k", "t"]).select("k", "t")), "grams")
 
     def verified(pairs: DataFrame) -> DataFrame:
         sets = pairs.join(grams.select(F.col("k").alias("a"), F.col("grams").alias("x")), "a").join(grams.select(F.col("k").alias("b"), F.col("grams").alias("y")), "b")
@@ -307,13 +262,14 @@ def near_groups(df: DataFrame, key: str = "doc_id", text: str = "text", least: f
     groups = materialize(components(near.unionByName(known)), "groups")
     # what is left of each bucket: its pairs with the smallest and the largest key are done
     inner = placed.filter("c <> low and c <> high").join(groups, F.col("c") == F.col("node"), "left").select("bucket", "c", F.coalesce("component", "c").alias("component"))
-    inner = materialize(inner, "inner")
+    inner = own.put(inner, "inner")
     open_ = inner.groupBy("bucket").agg(F.count("*").alias("rows"), F.min("component").alias("first"), F.max("component").alias("last")).filter("first < last")
     rest = inner.join(open_.select("bucket", F.ceil(F.col("rows") / SPLIT).cast("int").alias("pieces")), "bucket")
     piece, other = F.pmod(F.xxhash64("c"), "pieces").cast("int"), F.explode(F.sequence(F.lit(0), F.col("pieces") - 1))
     rest = rest.withColumn("piece", piece).withColumn("other", other).select("bucket", "c", "component", F.least("piece", "other").alias("i"), F.greatest("piece", "other").alias("j"), (F.col("piece") > F.col("other")).alias("upper"))
     sent = rest.join(grams.withColumnRenamed("k", "c"), "c").join(classes.select("c", "bands"), "c")
-    more = materialize(sent.groupBy("bucket", "i", "j").applyInArrow(lambda table: _unconnected(table, least), "a long, b long").distinct(), "more")
-    if more.isEmpty():
-        return groups
-    return components(groups.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
+    more = own.put(sent.groupBy("bucket", "i", "j").applyInArrow(lambda table: _unconnected(table, least), "a long, b long").distinct(), "more")
+    if not more.isEmpty():
+        groups = components(groups.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
+    own.clear()
+    return groups

@@ -6,8 +6,8 @@ Documents are dealt into blocks. Three passes over the blocks, whose texts are s
    A block's count-min sketch of its anchors (by document) is sparse: the sorted list of the counters it touches, gaps coded in
    about ten bits. Sketches are merged by ranges of counters, and each block is told which of its counters reached two. No window that
    occurs in two documents is lost, as its anchor counts at least as often.
-2. *Exact count.* A block lists its windows whose anchor is estimated repeated: a 128-bit hash and the smallest document, once for each
-   different window. Ranges of hashes are merged, and each block is told where another block has a smaller document. A window that very
+2. *Exact count.* A block lists its windows whose anchor is estimated repeated: a 128-bit hash (two polynomials over word hashes of two
+   seeds) and the smallest document, once for each different window. Ranges of hashes are merged, and each block is told where another block has a smaller document. A window that very
    many documents share comes once from each block.
 3. *Removal.* The block marks the covered words.
 """
@@ -29,8 +29,8 @@ WINDOW = 50
 DEPTH, COUNTERS = 2, 4
 #: Bytes of text for each block: the corpus over 5000, within these bounds; bytes of text for each anchor, about.
 BLOCK_BYTES, ANCHOR_BYTES = (4 << 20, 64 << 20), 80
-#: Counters, and bytes of text, for each range that is merged at once; and most ranges.
-RANGE_COUNTERS, RANGE_BYTES, MOST_RANGES = 1 << 20, 8 << 20, 4096
+#: Anchors, and bytes of text, for each range that is merged at once: the first figure up to MANY_RANGES, the second beyond. They bound a task's memory.
+RANGE_ANCHORS, RANGE_BYTES, MANY_RANGES = (1 << 18, 1 << 23), (8 << 20, 32 << 20), 4096
 NO_KEY = np.iinfo(np.int64).max
 
 
@@ -134,7 +134,7 @@ class Block:
         h1 = h2 = np.zeros(0, np.uint64)
         if len(start):
             h1 = rolling(self.hashes, self.window, BASES[0])[start]
-            h2 = rolling(word_hashes(self.raw, *self.words, BASES[1]), self.window, BASES[1])[start]
+            h2 = rolling(word_hashes(self.raw, *self.words, seed=1), self.window, BASES[1])[start]
         key = self.keys[self.document[chosen]]
         order = np.lexsort((key, h2, h1))
         a, b = h1[order], h2[order]
@@ -156,12 +156,17 @@ def _power_of_two(n: float) -> int:
     return 1 << max(0, int(np.ceil(np.log2(max(1.0, n)))))
 
 
-def _pieces(values: np.ndarray, ranges: int, shift: int) -> Iterator[tuple[int, slice]]:
+def _ranges(amount: float, each: tuple[int, int]) -> int:
+    """A power of two: so many ranges that each has about the first figure; beyond MANY_RANGES they grow to the second, and no further."""
+    return max(min(MANY_RANGES, _power_of_two(amount / each[0])), _power_of_two(amount / each[1]))
+
+
+def _pieces(values: np.ndarray, shift: int) -> Iterator[tuple[int, slice]]:
     """Runs of the sorted values by range (their bits above the shift)."""
     which = (values >> values.dtype.type(shift)).astype(np.int64) if shift < 64 else np.zeros(len(values), np.int64)
-    edges = np.searchsorted(which, np.arange(ranges + 1))
-    for r in np.unique(which):
-        yield int(r), slice(edges[r], edges[r + 1])
+    starts = np.flatnonzero(np.diff(which, prepend=-1))
+    for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(which)]):
+        yield int(which[a]), slice(a, b)
 
 
 def _bits_in_order(rows: list[tuple[int, bytes, int]]) -> np.ndarray:
@@ -183,9 +188,9 @@ def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", windo
     total = df.agg(F.coalesce(F.sum(F.octet_length(F.col(text))), F.lit(0))).first()[0]
     blocks = max(1, -(-total // min(BLOCK_BYTES[1], max(BLOCK_BYTES[0], total // 5000))))
     bits = _power_of_two(COUNTERS * total / ANCHOR_BYTES + 1024).bit_length() - 1
-    ranges = min(MOST_RANGES, _power_of_two((1 << bits) / RANGE_COUNTERS))
+    ranges = _ranges((1 << bits) / COUNTERS, RANGE_ANCHORS)
     shift = bits - (ranges.bit_length() - 1)
-    parts = min(MOST_RANGES, _power_of_two(total / RANGE_BYTES))
+    parts = _ranges(total, RANGE_BYTES)
     hash_shift = 64 - (parts.bit_length() - 1)
     blocked = df.select(
         *names,
@@ -202,7 +207,7 @@ def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", windo
         number = table.column(b_name)[0].as_py()
         for row in range(DEPTH):
             cells, _ = block.counters(row, bits)
-            for r, run in _pieces(cells, ranges, shift):
+            for r, run in _pieces(cells, shift):
                 out.append((number, row, r, pack(cells[run] - (r << shift))))
         columns = zip(*out) if out else [[]] * 4
         return pa.table([pa.array(c, k) for c, k in zip(columns, (pa.int32(), pa.int32(), pa.int32(), pa.binary()))], names=["block", "row", "range", "cells"])
@@ -227,7 +232,7 @@ def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", windo
             block = read(table)[0]
             number = table.column(b_name)[0].as_py()
             h1, h2, least, _ = block.entries(flagged(block, told.to_pylist()))
-            out = [(number, r, h1[s].tobytes(), h2[s].tobytes(), least[s].tobytes()) for r, s in _pieces(h1, parts, hash_shift)]
+            out = [(number, r, h1[s].tobytes(), h2[s].tobytes(), least[s].tobytes()) for r, s in _pieces(h1, hash_shift)]
         columns = zip(*out) if out else [[]] * 5
         kinds = (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
         return pa.table([pa.array(c, k) for c, k in zip(columns, kinds)], names=["block", "range", "h1", "h2", "least"])
