@@ -91,3 +91,18 @@ def test_four_fifths_on_both_sides(spark):
             texts |= {len(texts): " ".join(base), len(texts) + 1: copy}
             gone |= {len(texts) - 1} if near >= 0.8 else set()
     assert stay(spark, texts) == set(texts) - gone
+
+
+def test_recall_of_known_queries(spark):
+    """Documents whose id is divisible by 20, against all rows of sf0.01: every partner at 0.8 or more is in their group."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    sets = {r.doc_id: grams(r.text or "") if (r.text or "").split() else set() for r in docs.collect()}
+    of = {r.node: r.component for r in minhash.near_groups(docs).collect()}
+    want = [(q, i) for q in sets if q % 20 == 0 and sets[q] for i in sets if i != q and len(sets[q] & sets[i]) >= 0.8 * len(sets[q] | sets[i])]
+    found = [(q, i) for q, i in want if of.get(q, q) == of.get(i, i)]
+    assert want and len(found) / len(want) >= 0.9
+
+
+def test_nothing_to_group(spark):
+    docs = spark.createDataFrame([(1, "a b c d e f"), (2, None), (None, "a b c d e f"), (3, "g h i j k l m")], "doc_id long, text string")
+    assert minhash.near_groups(docs).count() == 0 and minhash.near_groups(docs.filter("false")).count() == 0

@@ -48,3 +48,30 @@ def test_run(spark, sf_dir):
     out = corpus_pipeline.run(spark, sf_dir)
     assert {"doc_id", "ids", "n_tokens", "decoded_sha256"} <= set(out.columns) and "text" not in out.columns
     assert all(len(r.ids) == r.n_tokens for r in out.collect()) and out.count() > 0
+
+
+def test_columns_and_rows_that_clash(spark, docs, sf_dir):
+    """Input columns named like an operator's own come back unchanged; of rows with one id a fixed one stays."""
+    from pyspark.sql import functions as F
+
+    new = {c: F.lit(f"own {c}") for c in ("quality", "kept", "n_words", "n_removed", "n_symbols", "base_failed", "copies", "fp", "component_id", "size", "taken", "node")}
+    odd = docs.select("doc_id", "text", "lang", "source", "n_chars").withColumns(new)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, odd, sf_dir)
+        assert out.columns == odd.columns, name
+        got = out.collect()
+        assert got and all(r[c] == f"own {c}" for r in got for c in new), name
+    words = [" ".join(f"{w}{k}" for w in range(60)) for k in "abc"]
+    rows = [(1, words[1], "x"), (1, words[0], "y"), (1, words[0], "x"), (2, words[2], "z"), (None, words[2], "z"), (None, words[2], "z")]
+    repeated = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    want = sorted([(1, words[0], "x"), (2, words[2], "z"), (None, words[2], "z"), (None, words[2], "z")], key=str)
+    for parts in (1, 4):
+        assert sorted(map(tuple, corpus_pipeline.simhash_dedup(spark, repeated.repartition(parts), sf_dir).collect()), key=str) == want
+
+
+def test_empty_tables_and_nulls(spark, empty, sf_dir):
+    nothing = spark.createDataFrame([(None, None, None, None, None), (1, None, None, None, None), (2, "", None, None, None)], empty.schema)
+    kept = {"quality_rules": 0, "simhash_dedup": 2, "substring_dedup": 3, "mixing": 3, "bpe": 3}
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, empty, sf_dir).count() == 0
+        assert stage(spark, nothing, sf_dir).count() == kept[name], name
