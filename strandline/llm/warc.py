@@ -24,6 +24,8 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "1970-01-01T00:00:00Z"
 #: Characters a header line can't hold, and their escapes.
 UNSAFE = {"\r": "%0D", "\n": "%0A", "\t": "%09", " ": "%20"}
+#: Bytes of records in a file, on average; bytes that are unpacked at a time.
+FILE_BYTES, STEP = 64 << 20, 1 << 14
 
 
 def _http(size: Column) -> Column:
@@ -56,7 +58,7 @@ def write_archive(pages: DataFrame, path: str, key: str = "page_id", url: str =
     others are revisits of it; smaller payloads are responses all. A null payload is empty, a null url too; rows with null keys
     refer to others but are not referred to; repeated rows give repeated records; other columns are ignored; an empty table
     gives an archive without records. Payloads are shuffled once, by key; what is grouped by payload are digests, which Spark
-    can split where many rows share one.
+    can split where many rows share one. A file holds so many records that it has about FILE_BYTES of them.
     """
     safe = F.coalesce(F.col(url), F.lit(""))
     for char, code in UNSAFE.items():
@@ -84,45 +86,53 @@ def write_archive(pages: DataFrame, path: str, key: str = "page_id", url: str =
     more = [F.lit(f"WARC-Profile: {PROFILE}{CRLF}WARC-Refers-To: "), _urn(F.col("refers_to")), F.lit(CRLF)]
     short = headers.filter("record_type = 'revisit'").select(F.concat(_header("revisit", row, more, F.octet_length(http)), http).alias("value"))
     # a WARC record ends with two line ends: the text writer's separator
-    full.unionByName(short).write.option("lineSep", CRLF + CRLF).option("compression", "gzip").option("maxRecordsPerFile", 20_000).text(f"{path}/records")
+    mean = facts.agg(F.avg("bytes")).first()[0] or 0.0
+    each = max(1, int(FILE_BYTES / (mean + 500)))
+    full.unionByName(short).write.option("lineSep", CRLF + CRLF).option("compression", "gzip").option("maxRecordsPerFile", each).text(f"{path}/records")
 
 
 def _records(chunks: Iterator[bytes]) -> Iterator[tuple[bytes, bytes]]:
-    """Headers and blocks of the records in a stream of bytes."""
-    held = b""
+    """Headers and blocks of the records in a stream of bytes. What is read is left behind by an offset, and dropped now and then."""
+    held, at = bytearray(), 0
     for chunk in chunks:
+        if at > 1 << 20 or at == len(held):
+            del held[:at]
+            at = 0
         held += chunk
         while True:
-            start = len(held) - len(held.lstrip(b"\r\n"))
-            end = held.find(b"\r\n\r\n", start)
+            while at < len(held) and held[at] in b"\r\n":
+                at += 1
+            if len(held) - at >= 5 and held[at : at + 5] != b"WARC/":
+                raise ValueError(f"no WARC record: {bytes(held[at : at + 80])!r}")
+            end = held.find(b"\r\n\r\n", at)
             if end < 0:
                 break
-            head = held[start:end]
+            head = bytes(held[at:end])
             size = next((int(x.split(b":", 1)[1]) for x in head.split(b"\r\n")[1:] if x.lower().startswith(b"content-length:")), None)
-            if not head.startswith(b"WARC/") or size is None:
-                raise ValueError(f"no WARC record: {head[:80]!r}")
+            if size is None:
+                raise ValueError(f"a WARC record without a length: {head[:80]!r}")
             if len(held) < end + 4 + size:
                 break
-            yield head, held[end + 4 : end + 4 + size]
-            held = held[end + 4 + size :]
-    if held.strip(b"\r\n"):
-        raise ValueError(f"a WARC file ends within a record: {held[:80]!r}")
+            at = end + 4 + size
+            yield head, bytes(held[end + 4 : at])
+    if at < len(held):
+        raise ValueError(f"a WARC file ends within a record: {bytes(held[at : at + 80])!r}")
 
 
-def _unzipped(content: bytes, step: int = 1 << 20) -> Iterator[bytes]:
+def _unzipped(content: bytes, step: int = STEP) -> Iterator[bytes]:
     """The bytes of a file of gzip members, or of a plain one, in pieces."""
+    view, at = memoryview(content), 0
     if content[:2] != b"\x1f\x8b":
-        yield content
+        yield from (view[i : i + (1 << 20)] for i in range(0, len(view), 1 << 20))
         return
-    while content:
-        unzip, at = zlib.decompressobj(31), 0
-        while not unzip.eof and at < len(content):
-            piece = content[at : at + step]
-            at += len(piece)
-            yield unzip.decompress(piece)
+    while at < len(view):
+        unzip = zlib.decompressobj(31)
+        while not unzip.eof and at < len(view):
+            out = unzip.decompress(view[at : at + step])
+            at = min(len(view), at + step) - len(unzip.unused_data)
+            yield out
         if not unzip.eof:
             raise ValueError("a gzip member is cut short")
-        content = unzip.unused_data + content[at:]
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:

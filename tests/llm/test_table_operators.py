@@ -6,6 +6,8 @@ from collections import Counter, defaultdict
 
 import numpy as np
 
+import pytest
+
 from strandline.llm import components, mixing, quality_model, sharding, warc
 from strandline.llm.common import ordered_positions, scratch
 from strandline.llm.registry import queries
@@ -173,3 +175,29 @@ def test_components(spark):
     want = {i: 1 for i in (1, 2, 3, 4)} | {i: 7 for i in (7, 8, 9)} | {i: 20 for i in (20, 21, 22)} | {i: 100 for i in range(100, 141)} | {i: 500 for i in range(500, 560)}
     assert got == want
     assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def _warc_file(members, size=600):
+    record = lambda i: (f"WARC/1.1\r\nWARC-Type: resource\r\nWARC-Record-ID: <urn:{i}>\r\nContent-Length: {size}\r\n\r\n" + (f"{i:09d}" * size)[:size] + "\r\n\r\n").encode()
+    return [record(i) for i in range(members)]
+
+
+def test_reading_warc_is_linear():
+    """20 000 records, as gzip members and plain, take seconds; every record comes back; damaged files are told."""
+    import gzip
+    import time
+
+    from strandline.llm import warc
+
+    records = _warc_file(20_000)
+    for content in (b"".join(map(gzip.compress, records)), b"".join(records), gzip.compress(b"".join(records))):
+        start = time.time()
+        got = [(head, block) for head, block in warc._records(warc._unzipped(content))]
+        assert len(got) == 20_000 and time.time() - start < 30
+        assert all(block == r[-604:-4] for (_, block), r in zip(got, records))
+    long = _warc_file(3, 5_000_000)
+    assert [len(b) for _, b in warc._records(warc._unzipped(b"".join(map(gzip.compress, long))))] == [5_000_000] * 3
+    for bad in (records[0][:100], b"no record at all", gzip.compress(records[0])[:-20]):
+        with pytest.raises(ValueError):
+            list(warc._records(warc._unzipped(bad)))
+    assert list(warc._records(warc._unzipped(b""))) == []

@@ -132,6 +132,23 @@ def test_chats_come_back(spark, sf_dir):
     assert odd.n_turns == 2 and odd.loss_sha256 == hashlib.sha256(b"</s>[INST] ok [/INST]").hexdigest()
 
 
+def test_chats_of_odd_rows(spark):
+    """Null conversations, turns and roles, clashing columns, a long text and a long conversation; a mask that doesn't fit is told."""
+    from pyspark.sql import functions as F
+
+    long = "word </s> " * 100_000
+    rows = [(None, 0, "user", "lost"), (None, None, None, None), (1, 0, "assistant", long), (1, 1, "assistant", "<|end|>"), *((2, i, "assistant" if i % 3 else "user", f"t{i}") for i in range(2000))]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumns({c: F.lit("clash") for c in ("formatted", "loss_mask", "turns", "one", "blocks")})
+    formatted = chat.format_chats(df)
+    back = {r.conv_id: r for r in chat.read_chats(formatted).collect()}
+    assert [(t.role, t.text) for t in back[None].turns] == [("", ""), ("user", "lost")] and list(back[None].loss_texts) == []
+    assert list(back[1].loss_texts) == [long, "<|end|>"] and back[1].formatted.count(chat.BEGIN) == 1
+    assert [t.text for t in back[2].turns] == [f"t{i}" for i in range(2000)] and list(back[2].loss_texts) == [f"t{i}" for i in range(2000) if i % 3]
+    shifted = formatted.filter("conv_id = 2").withColumn("formatted", F.concat("formatted", F.lit("x")))
+    with pytest.raises(Exception, match="doesn't fit"):
+        chat.read_chats(shifted).collect()
+
+
 def brute_fingerprint(text, words=3):
     import xxhash
 
