@@ -115,5 +115,10 @@ def p_from_range(q: Column, groups: Column, df: Column) -> Column:
     return _apply(range_tail, q, groups, df)
 
 
+def normal_below(z: np.ndarray) -> np.ndarray:
+    """Probability of a standard normal value of at most z."""
+    return _ERFC(-z / math.sqrt(2)) / 2
+
+
 def normal_cdf(x: Column) -> Column:
-    return _apply(lambda v: _ERFC(-v / math.sqrt(2)) / 2, x)
+    return _apply(normal_below, x)

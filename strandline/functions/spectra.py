@@ -109,15 +109,17 @@ def tier(rating: Column, coverage: Column) -> Column:
     )
 
 
+# Residues that carry a modification in the library, and how it writes them; no name holds a later residue.
+RESIDUE_NAMES = {"C": "C[UNIMOD:4]", "K": "K[UNIMOD:737]", "m": "M[UNIMOD:35]"}
+
+
 def library_notation(modified: Column) -> Column:
     """The spectral library's notation of a modified peptide; null for an acetylated N-terminus."""
     bare = F.regexp_replace(F.trim(modified), r"^n\[\d+\]", "")
     out = F.regexp_replace(bare, r"M\[147(?:\.\d*)?\]", "m")  # a lower-case letter stands for the oxidised residue while other masses go
     out = F.regexp_replace(out, r"\[[^\]]*\]", "")
-    for residue, name in (("C", "C[UNIMOD:4]"), ("K", "K[UNIMOD:737]"), ("m", "M[UNIMOD:35]")):
-        out = F.replace(out, F.lit(residue), F.lit(name.replace("C[UNIMOD", "\x01[\x02").replace("K[UNIMOD", "\x03[\x02").replace("M[UNIMOD", "\x04[\x02")))
-    for mark, text in (("\x01", "C"), ("\x03", "K"), ("\x04", "M"), ("\x02", "UNIMOD")):
-        out = F.replace(out, F.lit(mark), F.lit(text))
+    for residue, name in RESIDUE_NAMES.items():
+        out = F.regexp_replace(out, residue, F.lit(name))
     return F.when(~F.trim(modified).rlike(r"^n\[43\]."), F.concat(F.lit("[UNIMOD:737]-"), out))
 
 

@@ -103,10 +103,29 @@ def along_list(df: DataFrame, key: str, text: str, metrics: DataFrame, names: li
     return lists.select(key, *(F.transform("_rows", lambda r: r[n]).alias(n) for n in names))
 
 
-def mentioned(df: DataFrame, text: str, ids: DataFrame, keep: list[str], token: str = r"[A-Za-z0-9_.]+") -> DataFrame:
-    """A row for each different id that a text mentions. Ids are tokens, so that texts are cut up and joined instead of searched for every id."""
-    words = F.explode(F.array_distinct(F.regexp_extract_all(F.col(text), F.lit(f"({token})"), F.lit(1))))
-    return df.select(*keep, words.alias("gene_id")).join(ids.select("gene_id").distinct(), "gene_id")
+def _placed(df: DataFrame, text: str, lengths: DataFrame, name: str) -> DataFrame:
+    """Every substring of the text that has the length of some id: its place (from 1) and the substring. As many rows as places and lengths."""
+    listed = lengths.agg(F.sort_array(F.collect_set("n")).alias("_lengths"))  # one row of the ids' different lengths
+    cut = df.join(F.broadcast(listed)).withColumn("_n", F.explode("_lengths")).filter(F.length(text) >= F.col("_n"))
+    cut = cut.withColumn("at", F.explode(F.sequence(F.lit(1), F.length(text) - F.col("_n") + 1)))
+    return cut.withColumn(name, F.substring(F.col(text), F.col("at"), F.col("_n"))).drop("_lengths", "_n")
+
+
+def mentioned(df: DataFrame, text: str, ids: DataFrame, keep: list[str], most: int = 400) -> DataFrame:
+    """A row for each different id that is found in a text when it is searched from the left for any of the ids, without overlaps.
+
+    At a place where several ids begin, the first of them in ``ids``' order counts: column ``place`` if there is one, else the id itself. Each
+    different text is searched once: its substrings of the ids' lengths are joined with the ids, and the places found are walked from the left.
+    """
+    wanted = ids.filter(F.length("gene_id") > 0).groupBy("gene_id").agg((F.min("place") if "place" in ids.columns else F.min("gene_id")).alias("_order"))
+    texts = df.select(F.col(text).alias("_text")).distinct()
+    hits = _placed(texts, "_text", wanted.select(F.length("gene_id").alias("n")), "gene_id").join(wanted, "gene_id")
+    first = hits.groupBy("_text", "at").agg(F.min_by("gene_id", "_order").alias("id"))
+    lists = first.groupBy("_text").agg(F.array_sort(F.collect_list(F.struct("at", "id"))).alias("_hits"))
+    start = F.struct(F.lit(1).alias("free"), F.array().cast("array<string>").alias("ids"))
+    taken = F.aggregate("_hits", start, lambda s, h: F.when(h["at"] >= s["free"], F.struct((h["at"] + F.length(h["id"])).alias("free"), F.array_union(s["ids"], F.array(h["id"])).alias("ids"))).otherwise(s))
+    found = lists.select("_text", F.explode(taken["ids"]).alias("gene_id"))
+    return df.join(found, F.col(text) == F.col("_text")).select(*keep, "gene_id")
 
 
 def assets_of(df: DataFrame, key: str, text: str, assets: DataFrame) -> DataFrame:
@@ -141,8 +160,21 @@ def longest_prefix(df: DataFrame, name: str, prefixes: DataFrame, to: str = "grp
 
 
 def tolerant_ids(df: DataFrame, column: str, known: DataFrame, to: str = "row_name") -> DataFrame:
-    """The known id that equals an id, else the first one that does with ``:`` standing for any character."""
-    same = known.select(F.col("id").alias("_id")).distinct()
-    loose = known.groupBy(F.regexp_replace("id", "[^A-Za-z0-9]", ".").alias("_loose")).agg(F.min("id").alias("_near"))
-    out = df.join(same, df[column] == same["_id"], "left")
-    return out.join(loose, F.regexp_replace(column, "[^A-Za-z0-9]", ".") == F.col("_loose"), "left").withColumn(to, F.coalesce("_id", "_near")).drop("_id", "_loose", "_near")
+    """The known id that equals an id, else the first known id that holds it with each ``:`` standing for any character, else null.
+
+    The first is the one with the least ``place`` in ``known``, or the least id without that column. Only ids that equal none are searched for: the known
+    ids' substrings of their lengths, with any character at the places of ``:``, are joined with them.
+    """
+    order = F.col("place") if "place" in known.columns else F.col("id")
+    known = known.groupBy(F.col("id").alias("_id")).agg(F.min(order).alias("_order"))
+    ids = df.select(F.col(column).alias("_want")).dropna().distinct()
+    exact = ids.join(known, F.col("_want") == F.col("_id"), "left_semi").select("_want", F.col("_want").alias("_found"))
+    # an id's form: its length, where its colons are, and what is left of it
+    colons = F.expr("filter(transform(split(_want, ''), (c, i) -> CASE WHEN c = ':' THEN i + 1 END), i -> i IS NOT NULL)")
+    rest = ids.join(exact, "_want", "left_anti").filter(F.length("_want") > 0).withColumns({"_colons": colons, "_size": F.length("_want"), "_bare": F.replace(F.col("_want"), F.lit(":"), F.lit(""))})
+    forms = rest.select("_size", "_colons").distinct().agg(F.collect_list(F.struct("_size", "_colons")).alias("_forms"))  # one row of the different forms
+    cut = known.join(F.broadcast(forms)).withColumn("_form", F.explode("_forms")).select("_id", "_order", "_form.*").filter("length(_id) >= _size")
+    cut = cut.withColumn("_at", F.explode(F.expr("sequence(1, length(_id) - _size + 1)"))).withColumn("_piece", F.expr("substring(_id, _at, _size)"))
+    bare = F.expr("array_join(filter(split(_piece, ''), (c, i) -> NOT array_contains(_colons, i + 1)), '')")
+    near = cut.withColumn("_bare", bare).join(rest, ["_size", "_colons", "_bare"]).groupBy("_want").agg(F.min_by("_id", "_order").alias("_found"))
+    return df.join(exact.unionByName(near), F.col(column) == F.col("_want"), "left").withColumn(to, F.col("_found")).drop("_want", "_found")

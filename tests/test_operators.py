@@ -221,3 +221,49 @@ def test_rubrics(spark):
     rows = [(3, 4, 30.0, 1, "Control"), (3, 3, 30.0, 1, None), (2, 4, 30.0, 1, "Control"), (5, 1, 30.0, 1, "AsymAD"), (5, 1, 20.0, 1, "AD"), (1, 1, 20.0, 5, None), (None, 1, 20.0, 5, None)]
     got = spark.createDataFrame(rows, "b int, c int, m double, d int, w string").select(cohorts.rubric_a(F.col("b"), F.col("c"), F.col("m"), F.col("d")).alias("g"), "w").collect()
     assert [r.g for r in got] == [r.w for r in got]
+
+
+def test_mentioned_ids_are_searched_for(spark):
+    """Ids with other characters than letters and digits, inside longer words, leftmost and without overlaps, like an escaped alternation."""
+    import random
+    import re
+
+    from strandline.operators import peptides as pep
+
+    draw = random.Random(3)
+    ids = ["HLA-A", "chr1:100-200", "ENSG1", "ENSG12", "T7+chr2:5-9", "A.B", "aa", "aaa", "SG1", "x*"]
+    texts = ["sp|HLA-A;y", "xxchr1:100-200+ENSG12", "ENSG12 ENSG1", "AxB A.B", "aaaa", "aaaaa", "T7+chr2:5-9,T7+chr2:5-9", "none", "", None, "x*x*", "xHLA-AENSG1z"]
+    texts += ["".join(draw.choice(["a", "aa", "ENSG1", "SG12", " ", "HLA-A", "x*"]) for _ in range(6)) for _ in range(40)]
+    df = spark.createDataFrame(list(enumerate(texts)), "psm_id long, protein string")
+    for order in (ids, ids[::-1]):
+        known = spark.createDataFrame(list(enumerate(order)), "place long, gene_id string")
+        pattern = "|".join(map(re.escape, order))
+        want = {(i, g) for i, t in enumerate(texts) for g in re.findall(pattern, t or "")}
+        got = [(r.psm_id, r.gene_id) for r in pep.mentioned(df, "protein", known, ["psm_id"]).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+    assert pep.mentioned(df, "protein", known.filter("false"), ["psm_id"]).count() == 0
+
+
+def test_tolerant_ids_are_searched_for(spark):
+    """An id that equals none is found inside known ones, a colon standing for any character; the first known id counts."""
+    import re
+
+    from strandline.operators import peptides as pep
+
+    known = ["GENE_chr1.5-9_x", "chr1:5-9", "chr2x77", "Achr2-77", "chr1_5-9", "q", "T+chr3.1", "ab"]
+    ids = ["chr1:5-9", "chr1:5-9_x", "chr2:77", "chr9:1", "T+chr3:1", "Tchr3:1", "a", "", None, "::", "b:b", "hr1:5-9"]
+    df = spark.createDataFrame(list(enumerate(ids)), "i long, want string")
+    for order in (known, known[::-1]):
+        table = spark.createDataFrame(list(enumerate(order)), "place long, id string")
+        find = lambda x: None if not x else x if x in order else next((k for k in order if re.search(re.escape(x).replace(":", "."), k)), None)
+        got = {r.i: r.row_name for r in pep.tolerant_ids(df, "want", table).collect()}
+        assert got == {i: find(x) for i, x in enumerate(ids)}
+
+
+def test_normal_distribution_can_be_used_again(spark):
+    from strandline.functions import distributions as dist
+
+    for _ in range(2):
+        assert abs(dist.normal_below(np.array([1.96]))[0] - 0.9750021) < 1e-6  # the driver's own use comes before the workers'
+        got = spark.range(3).select(dist.normal_cdf(F.col("id").cast("double")).alias("p")).collect()
+        assert [round(r.p, 6) for r in got] == [0.5, 0.841345, 0.97725]
