@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandline.functions.genome import biological_start, coordinates
+from strandline.sources.storage import materialize
 
 BIN = 10_000
 # Labels from the strongest on, biotypes, and what two labels make together.
@@ -62,10 +63,25 @@ def coding_starts(coding: DataFrame) -> DataFrame:
 
 
 def merged(df: DataFrame, key: str = "chrom") -> DataFrame:
-    """Unions of overlapping or touching intervals ``lo`` to ``hi``, by chromosome: an island begins where the running maximum ends."""
-    by = Window.partitionBy(key).orderBy("lo", "hi")
-    reach = F.max("hi").over(by.rowsBetween(Window.unboundedPreceding, -1))
-    islands = df.withColumn("_new", (reach.isNull() | (F.col("lo") > reach)).cast("int")).withColumn("_island", F.sum("_new").over(by.rowsBetween(Window.unboundedPreceding, 0)))
+    """Unions of overlapping or touching intervals ``lo`` to ``hi``, by chromosome: an island begins where the running maximum ends.
+
+    Intervals are dealt by ranges of chromosome and start, and stored. A range's running maximum, and the island that it is in, go on from the ranges
+    before it; both come from one row for each range and chromosome, so that no task sees a whole chromosome.
+    """
+    ranged = df.select(key, "lo", "hi").repartitionByRange(key, "lo").sortWithinPartitions(key, "lo", "hi")
+    ranged = materialize(ranged.withColumn("_part", F.spark_partition_id()), "intervals")
+    here = Window.partitionBy("_part", key).orderBy("lo", "hi")
+
+    def carried(rows: DataFrame, value: Column, name: str) -> DataFrame:
+        parts = rows.groupBy(F.col("_part").alias("_p"), F.col(key).alias("_k")).agg(F.max(value).alias("_m"))
+        parts = parts.select("_p", "_k", F.max("_m").over(Window.partitionBy("_k").orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)).alias(name))
+        return rows.join(parts, (rows["_part"] == parts["_p"]) & rows[key].eqNullSafe(parts["_k"])).drop("_p", "_k")
+
+    reach = F.greatest(F.max("hi").over(here.rowsBetween(Window.unboundedPreceding, -1)), F.col("_before"))
+    begins = carried(ranged, F.col("hi"), "_before").withColumn("_reach", reach)
+    begins = begins.withColumn("_first", F.when(F.col("_reach").isNull() | (F.col("lo") > F.col("_reach")), F.col("lo"))).drop("_before", "_reach")
+    island = F.coalesce(F.max("_first").over(here.rowsBetween(Window.unboundedPreceding, 0)), F.col("_open"))
+    islands = carried(begins, F.col("_first"), "_open").withColumn("_island", island)
     return islands.groupBy(key, "_island").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).drop("_island")
 
 

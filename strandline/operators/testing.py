@@ -52,29 +52,26 @@ def tukey(df: DataFrame) -> DataFrame:
     return out.withColumn("p", p_from_range(F.col("q"), F.col("k"), F.col("df"))).drop("k")
 
 
-def adjusted(df: DataFrame, p: str = "p", name: str = "q_value", order: tuple[str, ...] = ()) -> DataFrame:
+def adjusted(df: DataFrame, p: str = "p", name: str = "q_value") -> DataFrame:
     """Benjamini-Hochberg adjustment: the least of p times n over rank among p-values as large; null stays null.
 
-    Rows are dealt by ranges of p and stored. A range's ranks continue those of the ranges before, and its running minimum starts from the least
-    of the ranges after it; both come from one row for each range, so that no task sees all p-values.
+    Different p-values are counted first, so that a common one is a row like any other; they are dealt by ranges and stored. A range's
+    ranks continue those of the ranges before, and its running minimum starts from the least of the ranges after it; both come from one
+    row for each range, so that no task sees all p-values. The figures are joined back by p.
     """
-    known = df.filter(F.col(p).isNotNull())
-    ranged = known.repartitionByRange(F.col(p)).sortWithinPartitions(p, *order)
-    ranged = materialize(ranged.withColumns({"_part": F.spark_partition_id(), "_row": F.monotonically_increasing_id() - F.shiftleft(F.spark_partition_id().cast("long"), 33)}), "adjust")
-    counts = ranged.groupBy("_part").agg(F.count("*").alias("_n"))
+    counted = df.filter(F.col(p).isNotNull()).groupBy(F.col(p).alias("_p")).agg(F.count("*").alias("_n"))
+    ranged = materialize(counted.repartitionByRange("_p").sortWithinPartitions("_p").withColumn("_part", F.spark_partition_id()), "adjust")
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"), F.sum("_n").over(Window.partitionBy(F.lit(0))).alias("_all"))
-    # tied values lie in one range and get the rank of the last of them
-    placed = ranged.join(F.broadcast(offsets), "_part").withColumn("_raw", F.col(p) * F.col("_all") / (F.col("_before") + F.col("_row") + 1))
-    least = placed.groupBy("_part").agg(F.min("_raw").alias("_least"))
+    parts = ranged.groupBy("_part").agg(F.sum("_n").alias("_m"))
+    offsets = parts.select("_part", F.coalesce(F.sum("_m").over(before), F.lit(0)).alias("_before"), F.sum("_m").over(Window.partitionBy(F.lit(0))).alias("_all"))
+    # equal p-values have the rank of the last of them
+    rank = F.col("_before") + F.sum("_n").over(Window.partitionBy("_part").orderBy("_p").rowsBetween(Window.unboundedPreceding, 0))
+    placed = ranged.join(F.broadcast(offsets), "_part").withColumn("_raw", F.col("_p") * F.col("_all") / rank)
     after = Window.orderBy("_part").rowsBetween(1, Window.unboundedFollowing)
-    later = least.select("_part", F.coalesce(F.min("_least").over(after), F.lit(1.0)).alias("_later"))
-    down = Window.partitionBy("_part").orderBy(F.desc("_row")).rowsBetween(Window.unboundedPreceding, 0)
-    done = placed.join(F.broadcast(later), "_part").withColumn(name, F.least(F.min("_raw").over(down), F.col("_later"), F.lit(1.0)))
-    # equal p-values share the least of their figures
-    same = done.groupBy(F.col(p).alias("_p")).agg(F.min(name).alias("_q"))
-    out = done.drop(name).join(same, F.col(p) == F.col("_p")).withColumn(name, F.col("_q")).select(*df.columns, name)
-    return out.unionByName(df.filter(F.col(p).isNull()).withColumn(name, F.lit(None).cast("double")))
+    later = placed.groupBy("_part").agg(F.min("_raw").alias("_least")).select("_part", F.coalesce(F.min("_least").over(after), F.lit(1.0)).alias("_later"))
+    down = Window.partitionBy("_part").orderBy(F.desc("_p")).rowsBetween(Window.unboundedPreceding, 0)
+    done = placed.join(F.broadcast(later), "_part").select("_p", F.least(F.min("_raw").over(down), F.col("_later"), F.lit(1.0)).alias("_q"))
+    return df.join(done, F.col(p) == F.col("_p"), "left").withColumn(name, F.col("_q")).select(*[c for c in df.columns if c != name], name)
 
 
 def paired_values(matrix: DataFrame, pairs: DataFrame, samples: DataFrame) -> DataFrame:
@@ -166,10 +163,12 @@ def outlying_samples(matrix: DataFrame, components: int = 5, limit: float = 3.0)
 
     finite = matrix.withColumn("value", F.when(~F.isnan("value") & (F.abs("value") != float("inf")), F.col("value")))
     stats = finite.groupBy("feature").agg(F.avg("value").alias("_mean"), F.var_samp("value").alias("_var")).filter(F.col("_var") > 0)
-    # every sample gets every feature: features are a bounded number, one vector holds them
-    cells = finite.select("sample").distinct().withColumn("_k", F.lit(1)).join(stats.withColumn("_k", F.lit(1)), "_k").drop("_k")
-    full = cells.join(finite, ["sample", "feature"], "left").select("sample", "feature", F.coalesce("value", "_mean").alias("value"))
-    vectors = full.groupBy("sample").agg(F.transform(F.array_sort(F.collect_list(F.struct("feature", "value"))), lambda s: s["value"]).alias("v")).select("sample", array_to_vector("v").alias("raw"))
+    # a sample's known values become one map, and the features' means, one row of a bounded number of them, fill in the others
+    held = finite.join(stats.select("feature"), "feature").filter("value is not null").groupBy("sample").agg(F.map_from_entries(F.collect_list(F.struct("feature", "value"))).alias("_held"))
+    means = stats.agg(F.array_sort(F.collect_list(F.struct("feature", "_mean"))).alias("_means"))
+    full = finite.select("sample").distinct().join(held, "sample", "left").join(F.broadcast(means))
+    filled = F.transform("_means", lambda m: F.coalesce(F.col("_held")[m["feature"]], m["_mean"]))
+    vectors = full.select("sample", array_to_vector(filled).alias("raw"))
     vectors = materialize(vectors, "vectors")
     scaled = StandardScaler(inputCol="raw", outputCol="scaled", withMean=True, withStd=True).fit(vectors).transform(vectors)
     scores = PCA(k=components, inputCol="scaled", outputCol="pc").fit(scaled).transform(scaled).select("sample", vector_to_array("pc").alias("pc"))

@@ -323,7 +323,7 @@ def _(m, s):
 
 @book.query("rnk10_adjusted", "v_celltype", sql="SELECT row_id, CASE WHEN p_adj_glb IS NOT NULL THEN least(min(raw) OVER (ORDER BY p_adj_glb DESC), 1) END AS q_value FROM (SELECT *, p_adj_glb * count(p_adj_glb) OVER () / (rank() OVER (ORDER BY p_adj_glb) + count(*) OVER (PARTITION BY p_adj_glb) - 1) AS raw FROM v_celltype) WHERE p_adj_glb IS NOT NULL UNION ALL SELECT row_id, NULL FROM v_celltype WHERE p_adj_glb IS NULL")
 def _(c):
-    return testing.adjusted(c, "p_adj_glb", order=("row_id",)).select("row_id", "q_value")
+    return testing.adjusted(c, "p_adj_glb").select("row_id", "q_value")
 
 
 @book.query("srt3_by_q_then_p", "v_celltype", sql="SELECT row_id, p_adj_glb, p_adj_loc FROM v_celltype")

@@ -145,7 +145,7 @@ def test_distributions():
 def test_adjustment(spark):
     draw = random.Random(2)
     p = [draw.choice([0.001, 0.01, 0.2, draw.random()]) for _ in range(300)] + [None, 1.0]
-    got = {r.i: r.q_value for r in testing.adjusted(spark.createDataFrame(list(enumerate(p)), "i long, p double").repartition(6), order=("i",)).collect()}
+    got = {r.i: r.q_value for r in testing.adjusted(spark.createDataFrame(list(enumerate(p)), "i long, p double").repartition(6)).collect()}
     known = [x for x in p if x is not None]
     ordered = sorted(known, reverse=True)
     q, least = {}, 1.0
@@ -267,3 +267,37 @@ def test_normal_distribution_can_be_used_again(spark):
         assert abs(dist.normal_below(np.array([1.96]))[0] - 0.9750021) < 1e-6  # the driver's own use comes before the workers'
         got = spark.range(3).select(dist.normal_cdf(F.col("id").cast("double")).alias("p")).collect()
         assert [round(r.p, 6) for r in got] == [0.5, 0.841345, 0.97725]
+
+
+@pytest.mark.parametrize("parts", ["1", "7"])
+def test_islands_across_ranges(spark, parts):
+    """Islands that span many ranges, nested and touching intervals, a single chromosome, ties and repeats."""
+    draw = random.Random(int(parts))
+    rows = [("c", a := draw.randrange(5000), a + draw.choice([0, 1, 5, 900 if i % 50 == 0 else 3])) for i in range(600)] + [("d", 5, 9), ("d", 9, 12), ("d", 13, 13), ("d", 5, 9), ("e", 0, 10**6), ("e", 7, 8)]
+    want = []
+    for c, lo, hi in sorted(rows):
+        if want and want[-1][0] == c and lo <= want[-1][2]:
+            want[-1] = (c, want[-1][1], max(hi, want[-1][2]))
+        else:
+            want.append((c, lo, hi))
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    try:
+        got = intervals.merged(spark.createDataFrame(rows, "chrom string, lo long, hi long").repartition(5)).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert sorted((r.chrom, r.lo, r.hi) for r in got) == want
+
+
+def test_adjustment_with_a_common_value(spark):
+    draw = random.Random(8)
+    p = [1.0] * 300 + [0.0] * 20 + [draw.random() ** 3 for _ in range(300)] + [None] * 5
+    got = {r.i: r.q_value for r in testing.adjusted(spark.createDataFrame(list(enumerate(p)), "i long, p double").repartition(4)).collect()}
+    known = sorted(x for x in p if x is not None)
+    n = len(known)
+    for i, x in enumerate(p):
+        if x is None:
+            assert got[i] is None
+        else:
+            want = min(1.0, min(y * n / (k + 1) for k, y in enumerate(known) if y >= x))
+            assert abs(got[i] - want) < 1e-12
