@@ -5,11 +5,12 @@ A spectrum has some hundred peaks, so that matching stays inside its row: nothin
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from strandline.functions.predicates import let
-
 # The reporter window, and the limits of ratings.
 REPORTER_WINDOW = (125.5, 131.5)
 ANGLE_LIMITS = ((20.0, "High"), (45.0, "Moderate"), (70.0, "Poor"))
@@ -33,24 +34,61 @@ def possible_fragments(peaks: Column, charge: Column) -> Column:
     return F.filter(peaks, lambda p: F.coalesce(ion(p["annotation"])["charge"] < charge, F.lit(True)))
 
 
-def nearest(predicted: Column, observed: Column, ppm: float) -> Column:
-    """For each predicted peak its place ``i``, the place ``j`` of the nearest observed peak (the first of equals), both peaks' figures, if within tolerance."""
-
-    def one(p: Column, i: Column) -> Column:
-        best = F.array_min(F.transform(observed, lambda o, j: F.struct(F.abs(o["mz"] - p["mz"]).alias("off"), j.alias("j"))))
-
-        def figures(b: Column) -> Column:
-            hit = F.get(observed, b["j"])
-            return F.struct(i.alias("i"), b["j"].alias("j"), b["off"].alias("off"), p["mz"].alias("mz"), hit["mz"].alias("observed_mz"), p["intensity"].alias("predicted"), hit["intensity"].alias("observed"), p["annotation"].alias("annotation"))
-
-        return let(best, figures)
-
-    return F.filter(F.transform(predicted, one), lambda m: m["off"] <= m["mz"] * ppm / 1e6)
-
-
-def first_claims(found: Column) -> Column:
-    """Of matches to one observed peak only the first predicted one counts; the others have no second choice."""
-    return let(found, lambda f: F.filter(f, lambda m, k: ~F.exists(F.slice(f, F.lit(1), k), lambda e: e["j"] == m["j"])))
+MATCH = "array<struct<i:int,j:int,off:double,mz:double,observed_mz:double,predicted:double,observed:double,annotation:string>>"
+
+
+def _peaks(spectra: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """Row, place in the spectrum, and the peaks themselves, of a batch of spectra."""
+    count = spectra.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    row = np.repeat(np.arange(len(count)), count)
+    return row, np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count), spectra.flatten()
+
+
+def _figures(peaks: pa.Array, field: str) -> np.ndarray:
+    return pc.struct_field(peaks, field).cast(pa.float64()).to_numpy(zero_copy_only=False)
+
+
+def matched(predicted: Column, observed: Column, ppm: float) -> Column:
+    """For each predicted peak its place ``i``, the place ``j`` of the nearest observed peak (the first of equals), and both peaks' figures, if within tolerance.
+
+    Of matches to one observed peak only the first predicted one counts; the others have no second choice. Peaks without an m/z match nothing; the
+    matches of a null spectrum are null. A batch is sorted by spectrum and m/z, and each predicted peak looks at its two neighbours.
+    """
+
+    def run(predicted: pa.Array, observed: pa.Array) -> pa.Array:
+        (row, i, p), (o_row, j, o) = _peaks(predicted), _peaks(observed)
+        mz, o_mz = _figures(p, "mz"), _figures(o, "mz")
+        some = np.flatnonzero(~np.isnan(mz))
+        at = np.flatnonzero(~np.isnan(o_mz))
+        at = at[np.lexsort((j[at], o_mz[at], o_row[at]))]  # observed peaks in order
+        ends = np.concatenate([o_row[at], row[some]]), np.concatenate([o_mz[at], mz[some]])
+        order = np.lexsort((np.repeat([1, 0], [len(at), len(some)]), ends[1], ends[0]))
+        before = np.empty(len(order), np.int64)
+        before[order] = np.cumsum(order < len(at))
+        after = before[len(at) :]  # of each predicted peak: the first observed one that is not below it
+        new = np.append(True, (np.diff(o_row[at]) != 0) | (np.diff(o_mz[at]) != 0))[: len(at)]
+        first = np.maximum.accumulate(np.where(new, np.arange(len(at)), 0))  # of equal peaks
+        best, off = np.full(len(some), -1), np.full(len(some), np.inf)
+        for near in (after - 1, after):
+            inside = np.flatnonzero((near >= 0) & (near < len(at)))
+            inside = inside[o_row[at[near[inside]]] == row[some[inside]]]
+            peak = at[first[near[inside]]]
+            apart = np.abs(o_mz[peak] - mz[some[inside]])
+            closer = (apart < off[inside]) | ((apart == off[inside]) & (j[peak] < j[best[inside]]))
+            best[inside[closer]], off[inside[closer]] = peak[closer], apart[closer]
+        within = np.flatnonzero((best >= 0) & (off <= mz[some] * ppm / 1e6))
+        within = within[np.sort(np.unique(best[within], return_index=True)[1])]
+        hit, mine = best[within], some[within]
+        columns = {
+            "i": pa.array(i[mine], pa.int32()), "j": pa.array(j[hit], pa.int32()), "off": pa.array(off[within]), "mz": pa.array(mz[mine]), "observed_mz": pa.array(o_mz[hit]),
+            "predicted": pc.struct_field(p, "intensity").cast(pa.float64()).take(pa.array(mine)), "observed": pc.struct_field(o, "intensity").cast(pa.float64()).take(pa.array(hit)),
+            "annotation": pc.struct_field(p, "annotation").cast(pa.string()).take(pa.array(mine)),
+        }
+        offsets = np.append(0, np.cumsum(np.bincount(row[mine], minlength=len(predicted)))).astype(np.int32)
+        unknown = pc.or_(predicted.is_null(), observed.is_null())
+        return pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays(list(columns.values()), list(columns)), mask=unknown)
+
+    return F.arrow_udf(run, MATCH)(predicted, observed)
 
 
 def ppm_error(match: Column) -> Column:

@@ -63,7 +63,7 @@ def round_of(batch: Column) -> Column:
 def scored(df: DataFrame, ppm: float = 20.0) -> DataFrame:
     """Adds to rows of ``predicted``, ``observed``, ``charge`` and ``length``: ``matches``, ``degrees``, ``normalised``, ``n_matched``, ``n_predicted``, ``n_cleavages``, ``n_sites``."""
     kept = pinned(df, {"predicted": sp.possible_fragments(F.col("predicted"), F.col("charge")), "observed": sp.without_reporters(F.col("observed"))})
-    found = pinned(kept, {"matches": sp.first_claims(sp.nearest(F.col("predicted"), F.col("observed"), ppm))})
+    found = pinned(kept, {"matches": sp.matched(F.col("predicted"), F.col("observed"), ppm)})
     out = found.withColumns(
         {
             "degrees": sp.angle(F.col("matches")), "n_matched": F.size("matches"), "n_predicted": F.size("predicted"),

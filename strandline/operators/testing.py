@@ -217,14 +217,53 @@ def without_effects(df: DataFrame, samples: DataFrame, nuisance: list[str], keep
     return df.groupBy("feature").applyInPandas(fit, "feature string, sample string, value double")
 
 
+def count_design(factors: DataFrame, samples: DataFrame, covariates: list[str], group: str, first: str, second: str) -> DataFrame:
+    """The samples of two groups with all covariates and a size factor: ``sample``, the group, the covariates, ``size_factor``."""
+    return samples.filter(F.col(group).isin(first, second)).select("sample", group, *covariates).dropna().join(factors, "sample")
+
+
+def _trigamma(x: Column) -> Column:
+    """By recurrence up to 6 and more, and the asymptotic series there."""
+    far = x + 6
+    return sum((1 / ((x + k) * (x + k)) for k in range(6)), 1 / far + 1 / (2 * far**2) + 1 / (6 * far**3) - 1 / (30 * far**5))
+
+
+def dispersions(df: DataFrame, design: DataFrame, coefficients: int = 2) -> DataFrame:
+    """``feature``, ``base_mean``, ``dispersion`` (moments of the normalised counts), ``trend`` (fitted over the features) and ``moderated``.
+
+    A sample without a row counts 0; a dispersion is at least 1e-8. The moderated one is the normal posterior of its logarithm about the trend's: the sampling
+    variance is that of the logarithm of a variance with as many degrees of freedom as the fit leaves, the prior variance is what the features'
+    residuals vary beyond it, at least 0.25. Features more than two standard deviations above the trend keep their own.
+    """
+    norm = F.col("value") / F.col("size_factor")
+    sums = df.join(design.select("sample", "size_factor"), "sample").groupBy("feature").agg(F.sum(norm).alias("_s1"), F.sum(norm * norm).alias("_s2"))
+    size = design.agg(F.count("*").alias("_n"), F.avg(1 / F.col("size_factor")).alias("_inverse"))
+    mean = F.col("_s1") / F.col("_n")
+    var = F.when(F.col("_n") > 1, F.greatest(F.col("_s2") - F.col("_n") * mean * mean, F.lit(0.0)) / (F.col("_n") - 1)).otherwise(0.0)
+    own = F.when(mean > 0, F.greatest((var - mean * F.col("_inverse")) / (mean * mean), F.lit(1e-8))).otherwise(1e-8)
+    free = F.greatest(F.col("_n") - coefficients, F.lit(1)).cast("double")
+    out = sums.join(F.broadcast(size)).select("feature", mean.alias("base_mean"), own.alias("dispersion"), _trigamma(free / 2).alias("_sampling"))  # one row
+    out = materialize(out, "dispersions")
+    trend = F.when(F.col("base_mean") > 0, F.col("a0") + F.col("a1") / F.col("base_mean"))
+    out = out.join(F.broadcast(dispersion_trend(out))).withColumn("trend", trend).withColumn("_residual", F.ln("dispersion") - F.ln("trend"))  # one row
+    spread = out.filter("dispersion > 1e-6").agg(F.coalesce(F.var_samp("_residual"), F.lit(0.0)).alias("_spread"))
+    prior = F.greatest(F.col("_spread") - F.col("_sampling"), F.lit(0.25))
+    weight = prior / (prior + F.col("_sampling"))
+    drawn = F.exp(F.ln("trend") + weight * F.col("_residual"))
+    moderated = F.when(F.col("_residual") > 2 * F.sqrt("_spread"), F.col("dispersion")).otherwise(F.coalesce(drawn, "dispersion"))
+    return out.join(F.broadcast(spread)).select("feature", "base_mean", "dispersion", "trend", moderated.alias("moderated"))  # one row
+
+
 def count_tests(df: DataFrame, factors: DataFrame, samples: DataFrame, covariates: list[str], group: str, first: str, second: str, steps: int = 50) -> DataFrame:
     """Negative-binomial Wald test of a group, a fit for each feature: ``base_mean``, ``log2fc``, ``se``, ``stat``, ``p``, ``dispersion``.
 
-    The dispersion is the method-of-moments value of the normalised counts, at least 1e-8; the fit reweights least squares to convergence with the
-    sizes as offset. There is no shrinkage, outlier replacement or independent filtering.
+    The dispersion is the one moderated by the fitted trend (:func:`dispersions`); the fit reweights least squares to convergence with the sizes as offset.
+    Fold changes are not shrunk; there is no outlier replacement or independent filtering.
     """
-    design = samples.filter(F.col(group).isin(first, second)).select("sample", group, *covariates).dropna().join(factors, "sample").orderBy("sample").toPandas()
-    wanted = df.sparkSession.sparkContext.broadcast(design)
+    chosen = count_design(factors, samples, covariates, group, first, second)
+    known = dispersions(df, chosen, 2 + len(covariates)).select("feature", F.col("moderated").alias("dispersion"))
+    df = df.select("feature", "sample", "value").join(known, "feature", "left")
+    wanted = df.sparkSession.sparkContext.broadcast(chosen.orderBy("sample").toPandas())
 
     def fit(rows: pd.DataFrame) -> pd.DataFrame:
         from strandline.functions.distributions import normal_tail
@@ -235,8 +274,8 @@ def count_tests(df: DataFrame, factors: DataFrame, samples: DataFrame, covariate
         scaled = (scaled - scaled.mean(0)) / np.where(scaled.std(0, ddof=1) > 0, scaled.std(0, ddof=1), 1) if covariates else scaled
         x = np.column_stack([np.ones(len(d)), scaled, (d[group] == second).to_numpy(float)])
         norm = y / size
-        mean, var = norm.mean(), norm.var(ddof=1) if len(d) > 1 else 0.0
-        a = max(1e-8, (var - mean * np.mean(1 / size)) / mean**2) if mean > 0 else 1e-8
+        mean, a = norm.mean() if len(d) else 0.0, rows["dispersion"].iloc[0]
+        a = 1e-8 if pd.isna(a) else a  # a feature without rows in these samples
         out = {"feature": rows["feature"].iloc[0], "base_mean": mean, "log2fc": None, "se": None, "stat": None, "p": None, "dispersion": a}
         if mean > 0 and len(d) > x.shape[1]:
             beta = np.zeros(x.shape[1])
@@ -260,9 +299,9 @@ def count_tests(df: DataFrame, factors: DataFrame, samples: DataFrame, covariate
 
 
 def dispersion_trend(tested: DataFrame) -> DataFrame:
-    """One row: ``a0``, ``a1`` of dispersion = a0 + a1 / mean, by least squares over features with a positive mean."""
+    """One row: ``a0``, ``a1`` of dispersion = a0 + a1 / mean, by least squares over features with a positive mean; nearly flat where the means are one."""
     good = tested.filter((F.col("base_mean") > 0) & F.col("dispersion").isNotNull()).withColumn("_x", 1 / F.col("base_mean"))
-    slope = F.greatest(F.covar_pop("_x", "dispersion") / F.var_pop("_x"), F.lit(1e-8))
+    slope = F.greatest(F.try_divide(F.covar_pop("_x", "dispersion"), F.var_pop("_x")), F.lit(1e-8))
     return good.agg(F.greatest(F.avg("dispersion") - slope * F.avg("_x"), F.lit(1e-4)).alias("a0"), slope.alias("a1"))
 
 

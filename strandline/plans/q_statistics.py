@@ -251,7 +251,8 @@ def _(m, s):
 def _(m, s):
     d = dense(m)
     factors = matrices.size_factors(d)
-    return testing.stabilised(d, factors, testing.dispersion_trend(testing.count_tests(d, factors, s, ["rin"], "grp", "Control", "AD")))
+    design = testing.count_design(factors, s, ["rin"], "grp", "Control", "AD")
+    return testing.stabilised(d, factors, testing.dispersion_trend(testing.dispersions(d, design, 3)))
 
 
 @book.query("sta10_without_effects", "v_matrix", "v_samples")

@@ -106,7 +106,13 @@ def test_matching_equals_a_loop(spark):
         make = lambda n: [(round(draw.uniform(200, 230), 1), draw.random(), draw.choice(["b1+1", "y2+1", "x"])) for _ in range(n)]
         rows.append((i, make(draw.randrange(0, 12)), make(draw.randrange(0, 12))))
     df = spark.createDataFrame(rows, f"id long, p {peak}, o {peak}")
-    got = {r.id: [(m.i, m.j) for m in r.m] for r in df.select("id", sp.first_claims(sp.nearest(F.col("p"), F.col("o"), 5000.0)).alias("m")).collect()}
+    odd = spark.createDataFrame([(900, None, [(1.0, 1.0, "x")]), (901, [(1.0, 1.0, "x")], None), (902, [(None, 1.0, "x"), (5.0, None, None)], [(None, 1.0, "x"), (5.0, 2.0, None)]), (903, [], [])], df.schema)
+    found = {r.id: r.m for r in df.unionByName(odd).select("id", sp.matched(F.col("p"), F.col("o"), 5000.0).alias("m")).collect()}
+    assert found.pop(900) is None and found.pop(901) is None and found.pop(903) == []
+    assert [tuple(m) for m in found.pop(902)] == [(1, 1, 0.0, 5.0, 5.0, None, 2.0, None)]
+    for k, p, o in rows:
+        assert all((m.mz, m.predicted, m.annotation) == p[m.i] and (m.observed_mz, m.observed) == o[m.j][:2] and m.off == abs(m.mz - m.observed_mz) for m in found[k])
+    got = {k: [(m.i, m.j) for m in ms] for k, ms in found.items()}
     for i, p, o in rows:
         used, want = set(), []
         for k, (mz, _, _) in enumerate(p):
@@ -209,6 +215,25 @@ def test_count_model_finds_a_fold(spark):
     assert abs(got["f0"].log2fc - 2) < 0.5 and got["f0"].p < 1e-6 and all(abs(r.log2fc) < 1 for f, r in got.items() if f != "f0")
 
 
+def test_dispersions_draw_towards_the_trend(spark):
+    draw, n = np.random.default_rng(5), 12
+    truth, sizes = 0.2, [(f"s{k}", "ab"[k % 2], 0.5 + k / n) for k in range(n)]
+    rows = [(f"f{i}", s, float(draw.negative_binomial(1 / truth, 1 / (1 + truth * 40 * (1 + i % 9) * z)))) for i in range(300) for s, _, z in sizes]
+    rows += [("wild", s, float(5000 if k == 0 else 1)) for k, (s, _, _) in enumerate(sizes)] + [("none", s, 0.0) for s, _, _ in sizes]
+    counts = spark.createDataFrame([r for r in rows if r[2]], "feature string, sample string, value double")  # zeros are left out
+    design = testing.count_design(*(spark.createDataFrame([(s, x) for s, x in c], f"sample string, {n}") for n, c in (("size_factor double", [(s, z) for s, _, z in sizes]), ("g string", [(s, g) for s, g, _ in sizes]))), [], "g", "a", "b")
+    got = {r.feature: r for r in testing.dispersions(counts, design).collect()}
+    z = np.array([x[2] for x in sizes])
+    for f in ("f0", "f7", "wild"):
+        y = np.array([r[2] for r in rows if r[0] == f]) / z
+        assert math.isclose(got[f].base_mean, y.mean()) and math.isclose(got[f].dispersion, max(1e-8, (y.var(ddof=1) - y.mean() * (1 / z).mean()) / y.mean() ** 2), rel_tol=1e-9)
+    assert got["wild"].moderated == got["wild"].dispersion and "none" not in got
+    own, drawn = (np.log([getattr(r, c) for f, r in got.items() if f != "wild" and r.dispersion > 1e-6]) for c in ("dispersion", "moderated"))
+    assert drawn.std() < own.std() and abs(np.median(drawn) - math.log(truth)) < 0.5
+    x = spark.createDataFrame([(0.5,), (1.0,), (7.5,)], "x double").select(testing._trigamma(F.col("x")).alias("t")).collect()
+    assert np.allclose([r.t for r in x], [math.pi**2 / 2, math.pi**2 / 6, sum(1 / (7.5 + k) ** 2 for k in range(10**6))], atol=2e-6)
+
+
 def test_regression_is_seeded(spark):
     draw = np.random.default_rng(4)
     rows = [("f", f"s{k}", float(3 * k + draw.normal()), float(k), "ab"[k % 2]) for k in range(30)]
