@@ -104,10 +104,12 @@ def assign(df: DataFrame, shards: int = 16, key: str = "doc_id", text: str = "te
 def write_shards(df: DataFrame, assigned: DataFrame, path: str, key: str = "doc_id") -> None:
     """Writes the rows as Parquet, a folder for each shard, sorted by slot: readers prune shards by partition and files by statistics.
 
-    Keys have to be unique. Large shards are spread over several files, each a run of slots.
+    Keys have to be unique; rows without a key are not written. Large shards are spread over several files, each a run of slots. Input columns
+    named ``shard`` or ``slot`` are replaced; an empty table writes no files.
     """
     per_file = 100_000
-    joined = df.join(assigned.select(F.col(key).alias(key), "shard", "slot"), key)
+    rows = df.select(*[c for c in df.columns if c.lower() not in {"shard", "slot"}])
+    joined = rows.join(assigned.select(F.col("doc_id").alias(key), "shard", "slot"), key)
     joined = joined.repartition("shard", F.floor(F.col("slot") / per_file)).sortWithinPartitions("shard", "slot")
     joined.write.partitionBy("shard").parquet(path)
 

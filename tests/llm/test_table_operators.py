@@ -143,6 +143,76 @@ def test_trees_walk():
         assert abs(1 / (1 + np.exp(-total)) - s) < 1e-12
 
 
+def brute_features(text):
+    """The 23 statistics by loops over bytes, words and lines."""
+    raw = text.encode()
+    words, lines = raw.split(), [x for x in raw.split(b"\n") if x.split()]
+    if not words:
+        return [np.log1p(len(raw))] + [0.0] * 22
+    n, size, total = len(words), len(raw), lambda test: sum(map(test, raw))
+    blanks = total(lambda b: b in b" \t\n\v\f\r")
+    letters = max(1, size - blanks)
+    pairs = [(words[i], words[i + 1]) for i in range(n - 1)]
+    entropy = -sum(k / size * np.log2(k / size) for k in Counter(raw).values())
+    return [
+        np.log1p(size), np.log1p(n), letters / n, np.log1p(max(len(w) for w in words)),
+        total(lambda b: chr(b) in "ABCDEFGHIJKLMNOPQRSTUVWXYZ") / letters, total(lambda b: chr(b) in "0123456789") / letters, blanks / size, total(lambda b: chr(b) in "#*$%&|<>") / n,
+        total(lambda b: chr(b) in ".,;:?") / n, raw.count(b"!") / n, raw.count(b"|") / n, total(lambda b: b > 127) / letters, entropy,
+        len(set(words)) / n**0.9, max(Counter(words).values()) / n, len(set(pairs)) / len(pairs) if pairs else 1.0, sum(a == b for a, b in pairs) / max(1, len(pairs)),
+        sum(chr(w[-1]) in "#*$%&|<>" for w in words) / n, sum(w[:1].isupper() for w in words) / n,
+        np.log1p(len(lines)), n / len(lines), 1 - len(set(lines)) / len(lines), sum(x.rstrip().endswith((b".", b"!", b"?")) for x in lines) / len(lines),
+    ]
+
+
+def test_features_equal_brute_force(rows):
+    texts = {r[1] or "" for r in rows} | {"", " \n\t", "a", "A!", "x | y\n\nx | y\nZ. \n", "é 日本 #a a# 7", "same same same"}
+    for text in texts:
+        assert np.allclose(quality_model.features(text), brute_features(text), rtol=1e-12, atol=1e-12), text[:80]
+
+
+def test_a_stump_is_the_best_of_all_cuts():
+    draw = np.random.default_rng(2)
+    x, y = draw.normal(size=(300, 4)), draw.integers(0, 2, 300).astype(float)
+    x[:, 2] += y
+    t = quality_model.train(x, y, trees=1, depth=1, bins=16)
+    p = 1 / (1 + np.exp(-t.bias))
+    best, at = -1.0, None
+    for f in range(4):
+        for cut in np.unique(np.quantile(x[:, f], np.linspace(0, 1, 17)[1:-1])):
+            left = x[:, f] <= cut
+            gain = sum((y[s] - p).sum() ** 2 / (s.sum() * p * (1 - p) + 1) for s in (left, ~left)) - (y - p).sum() ** 2 / (300 * p * (1 - p) + 1)
+            if gain > best + 1e-12:
+                best, at = gain, (f, cut)
+    assert (t.feature[0, 0], t.threshold[0, 0]) == at
+    left = x[:, at[0]] <= at[1]
+    assert np.allclose(t.value[0], [0.1 * (y[s] - p).sum() / (s.sum() * p * (1 - p) + 1) for s in (left, ~left)])
+
+
+def test_shards_have_near_equal_bytes(spark):
+    """The law ``bytes``: a shard misses its share by less than the largest group, here with copies of some texts and very unlike sizes."""
+    draw = np.random.default_rng(6)
+    texts = ["w" * int(n) for n in draw.pareto(1.5, 700) * 40] + ["copy " * 30] * 25 + [None, ""] * 3
+    langs, sources = draw.choice(["de", "en", "fr"], len(texts), p=[0.1, 0.8, 0.1]).tolist(), draw.integers(0, 9, len(texts)).tolist()
+    df = spark.createDataFrame([(i, t, a, f"s{b}") for i, (t, a, b) in enumerate(zip(texts, langs, sources))], "doc_id long, text string, lang string, source string")
+    got = sharding.assign(df, shards=6).collect()
+    shares, groups = Counter(), Counter()
+    for r in got:
+        shares[r.shard] += r.size
+        groups[texts[r.doc_id] or ""] += r.size
+    total, largest = sum(shares.values()), max(groups.values())
+    assert largest * 6 < total and set(shares) == set(range(6))
+    assert all(abs(s - total / 6) < largest for s in shares.values())
+
+
+def test_shards_are_written_by_slot(docs, spark):
+    one = docs.filter("doc_id is not null").dropDuplicates(["doc_id"])
+    assigned = sharding.assign(one, shards=4)
+    path = scratch(spark, "shards-test")
+    sharding.write_shards(one, assigned, path)
+    want = {r.doc_id: (r.shard, r.slot) for r in assigned.collect()}
+    assert {r.doc_id: (r.shard, r.slot) for r in spark.read.parquet(path).collect()} == want and want
+
+
 def test_sharding(docs, rows, empty):
     got = sharding.assign(docs, shards=4).collect()
     assert Counter((r.doc_id, r.size, r.text_crc32) for r in got) == Counter((r[0], len((r[1] or "").encode()) + 1, zlib.crc32((r[1] or "").encode())) for r in rows)
