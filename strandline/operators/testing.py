@@ -143,7 +143,8 @@ def nested_models(values: DataFrame, groups: tuple[str, str], with_p: bool = Tru
     if not with_p:
         return out
     one = F.lit(1.0)
-    return out.withColumns({"add_p": p_from_f(F.greatest("add_f", F.lit(0.0)), one, c("n") - 3), "int_p": p_from_f(F.greatest("int_f", F.lit(0.0)), one, c("n") - 4), "fisher_p": p_from_z(F.col("fisher_z"))})
+    positive = lambda f: F.when(c(f).isNotNull(), F.greatest(c(f), F.lit(0.0)))
+    return out.withColumns({"add_p": p_from_f(positive("add_f"), one, c("n") - 3), "int_p": p_from_f(positive("int_f"), one, c("n") - 4), "fisher_p": p_from_z(c("fisher_z"))})
 
 
 def correlated_with(matrix: DataFrame, target: str) -> DataFrame:

@@ -22,6 +22,29 @@ RUBRIC_B = f"CASE WHEN braak IS NULL OR cerad IS NULL OR cdr IS NULL THEN NULL W
 AGE = "CASE WHEN age_death = '90+' THEN 91 ELSE TRY_CAST(age_death AS DOUBLE) END"
 
 
+
+
+def beta_sql(a: str, b: str, x: str) -> str:
+    """The regularised incomplete beta function in SQL: its hypergeometric series, on the side where that converges fast."""
+
+    def series(a: str, b: str, x: str) -> str:
+        terms = f"list_sum(list_transform(range(0, 1500), lambda i_: exp(lgamma({a} + {b} + i_) - lgamma({a} + {b}) - lgamma({a} + 1 + i_) + lgamma({a} + 1) + i_ * ln({x}))))"
+        return f"exp(lgamma({a} + {b}) - lgamma({a}) - lgamma({b}) + {a} * ln({x}) + {b} * ln(1 - ({x}))) / {a} * {terms}"
+
+    return f"CASE WHEN {x} >= 1 THEN 1.0 WHEN {x} <= 0 THEN 0.0 WHEN {x} <= ({a} + 1) / ({a} + {b} + 2) THEN {series(a, b, x)} ELSE 1 - {series(b, a, f'(1 - {x})')} END"
+
+
+def f_tail_sql(f: str, d1: str, d2: str) -> str:
+    """P(F > f) in SQL; null for negative figures."""
+    return f"CASE WHEN {f} >= 0 THEN {beta_sql(f'({d2} / 2.0)', f'({d1} / 2.0)', f'({d2} / ({d2} + {d1} * {f}))')} END"
+
+
+def normal_tail_sql(z: str) -> str:
+    """P(|Z| > |z|) in SQL: one less the series of the odd powers over the double factorials, times the density."""
+    terms = f"list_sum(list_transform(range(0, 300), lambda i_: exp((2 * i_ + 1) * ln(abs({z})) - (i_ + 1) * ln(2) - lgamma(i_ + 1.5) + ln(pi()) / 2)))"
+    return f"CASE WHEN {z} = 0 THEN 1.0 WHEN abs({z}) > 12 THEN 0.0 ELSE 1 - 2 * exp(-({z}) * ({z}) / 2) / sqrt(2 * pi()) * {terms} END"
+
+
 @book.query("flt28_rubric_a", "v_samples", sql=f"SELECT sample, {RUBRIC_A} AS diagnosis FROM v_samples")
 def _(s):
     return s.select("sample", cohorts.rubric_a(*map(F.col, ("braak", "cerad", "mmse", "cogdx"))).alias("diagnosis"))
@@ -175,7 +198,7 @@ def _(m):
     return m.select("feature", "sample", F.log10(F.col("value") + 0.1).alias("tenth"), F.log10(F.col("value") + 0.01).alias("hundredth"), F.greatest(F.least(F.log10("value"), F.lit(2.0)), F.lit(1.0)).alias("squished"))
 
 
-@book.query("scl18_normal_cdf", "v_samples")
+@book.query("scl18_normal_cdf", "v_samples", sql=f"SELECT sample, (1 + sign(rin) * (1 - ({normal_tail_sql('rin')}))) / 2 AS probability FROM v_samples")
 def _(s):
     return s.select("sample", dist.normal_cdf(F.col("rin")).alias("probability"))
 
@@ -247,7 +270,16 @@ def _(m, s):
     return testing.adjusted(testing.count_tests(d, matrices.size_factors(d), s, ["rin"], "grp", "Control", "AD"))
 
 
-@book.query("sta9_stabilised", "v_matrix", "v_samples")
+@book.query(
+    "sta9_stabilised", "v_matrix", "v_samples",
+    sql=f"""WITH {DENSE}, {FACTORS.replace('v_matrix', 'd')}, c AS (SELECT f.* FROM f JOIN v_samples USING (sample) WHERE grp IN ('Control', 'AD') AND rin IS NOT NULL),
+    z AS (SELECT count(*) AS n, avg(1 / size_factor) AS inverse FROM c),
+    m AS (SELECT feature, s1 / n AS mean, CASE WHEN n > 1 THEN greatest(s2 - s1 * s1 / n, 0) / (n - 1) ELSE 0 END AS var, inverse FROM (SELECT feature, sum(value / size_factor) AS s1, sum((value / size_factor) ** 2) AS s2 FROM d JOIN c USING (sample) GROUP BY 1), z),
+    p AS (SELECT 1 / mean AS x, greatest((var - mean * inverse) / (mean * mean), 1e-8) AS a FROM m WHERE mean > 0),
+    s AS (SELECT greatest(covar_pop(x, a) / nullif(var_pop(x), 0), 1e-8) AS a1, avg(a) AS a, avg(x) AS x FROM p),
+    t AS (SELECT greatest(a - a1 * x, 1e-4) AS a0, a1 FROM s)
+    SELECT feature, sample, log2((1 + a1 + 2 * a0 * q + 2 * sqrt(a0 * q * (1 + a1 + a0 * q))) / (4 * a0)) AS value FROM (SELECT feature, sample, value / size_factor AS q FROM d JOIN f USING (sample)), t""",
+)
 def _(m, s):
     d = dense(m)
     factors = matrices.size_factors(d)
@@ -287,12 +319,15 @@ def _(m, s):
     return testing.nested_models(paired(m, s), GROUPS, with_p=False).filter("smorf_id <> main_id").select("smorf_id", "main_id", "fisher_z")
 
 
-@book.query(
-    "sta12_nested_models", "v_matrix", "v_samples",
-    sql=f"""WITH {PAIRS}, g AS (SELECT smorf_id, main_id, grp, count(*) AS n, avg(x) AS mx, avg(y) AS my, count(*) * var_pop(x) AS sxx, count(*) * var_pop(y) AS syy, count(*) * covar_pop(x, y) AS sxy FROM pv WHERE grp IN ('Control', 'AD') GROUP BY ALL),
+SUMS = """g AS (SELECT smorf_id, main_id, grp, count(*) AS n, avg(x) AS mx, avg(y) AS my, count(*) * var_pop(x) AS sxx, count(*) * var_pop(y) AS syy, count(*) * covar_pop(x, y) AS sxy FROM pv WHERE grp IN ('Control', 'AD') GROUP BY ALL),
     o AS (SELECT smorf_id, main_id, count(*) AS n, count(*) * var_pop(x) AS sxx, count(*) * var_pop(y) AS syy, count(*) * covar_pop(x, y) AS sxy FROM pv WHERE grp IN ('Control', 'AD') GROUP BY ALL),
     j AS (SELECT o.*, a.n AS n1, b.n AS n2, b.mx - a.mx AS gx, b.my - a.my AS gy, a.sxx + b.sxx AS wxx, a.sxy + b.sxy AS wxy, a.syy + b.syy AS wyy, b.sxy / b.sxx - a.sxy / a.sxx AS bi, a.sxx AS ax, b.sxx AS bx, a.syy - a.sxy * a.sxy / a.sxx + b.syy - b.sxy * b.sxy / b.sxx AS ri
-        FROM o JOIN g a ON a.smorf_id = o.smorf_id AND a.grp = 'Control' JOIN g b ON b.smorf_id = o.smorf_id AND b.grp = 'AD' WHERE a.n >= 3 AND b.n >= 3 AND a.sxx > 1e-12 AND b.sxx > 1e-12 AND a.syy > 1e-12 AND b.syy > 1e-12)
+        FROM o JOIN g a ON a.smorf_id = o.smorf_id AND a.grp = 'Control' JOIN g b ON b.smorf_id = o.smorf_id AND b.grp = 'AD' WHERE a.n >= 3 AND b.n >= 3 AND a.sxx > 1e-12 AND b.sxx > 1e-12 AND a.syy > 1e-12 AND b.syy > 1e-12)"""
+
+
+@book.query(
+    "sta12_nested_models", "v_matrix", "v_samples",
+    sql=f"""WITH {PAIRS}, {SUMS}
     SELECT smorf_id, main_id, round((syy - sxy * sxy / sxx - (wyy - wxy * wxy / wxx)) / ((wyy - wxy * wxy / wxx) / (n - 3)), 4) AS add_f, CASE WHEN ri > 0 THEN round((wyy - wxy * wxy / wxx - ri) / (ri / (n - 4)), 4) END AS int_f, round(gy - wxy / wxx * gx, 4) AS add_b,
         round(sqrt((wyy - wxy * wxy / wxx) / (n - 3) * (1.0 / n1 + 1.0 / n2 + gx * gx / wxx)), 4) AS add_se, round(bi, 4) AS int_b, round(sqrt(ri / (n - 4) * (1 / ax + 1 / bx)), 4) AS int_se FROM j WHERE smorf_id <> main_id""",
 )
@@ -301,9 +336,15 @@ def _(m, s):
     return out.select("smorf_id", "main_id", *(F.round(c, 4).alias(c) for c in ("add_f", "int_f", "add_b", "add_se", "int_b", "int_se")))
 
 
-@book.query("sta12_model_p_values", "v_matrix", "v_samples")
+@book.query(
+    "sta12_model_p_values", "v_matrix", "v_samples",
+    sql=f"""WITH {PAIRS}, {R}, {SUMS}, k AS (SELECT *, wyy - wxy * wxy / wxx AS ra FROM j), h AS (SELECT k.*, abs(atanh(r1) - atanh(r2)) / sqrt(1.0 / nullif(k.n1 - 3, 0) + 1.0 / nullif(k.n2 - 3, 0)) AS z,
+        greatest((syy - sxy * sxy / sxx - ra) / (ra / (n - 3)), 0) AS fa, CASE WHEN ri > 0 AND n > 4 THEN greatest((ra - ri) / (ri / (n - 4)), 0) END AS fi FROM k JOIN (SELECT smorf_id, main_id, CASE WHEN abs(r1) < 1 THEN r1 END AS r1, CASE WHEN abs(r2) < 1 THEN r2 END AS r2 FROM r) USING (smorf_id, main_id))
+    SELECT smorf_id, main_id, round({f_tail_sql('fa', '1', '(n - 3)')}, 6) AS add_p, round({f_tail_sql('fi', '1', '(n - 4)')}, 6) AS int_p, round({normal_tail_sql('z')}, 6) AS fisher_p FROM h""",
+)
 def _(m, s):
-    return testing.nested_models(paired(m, s), GROUPS).select("smorf_id", "main_id", "add_p", "int_p", "fisher_p").orderBy("fisher_p", "add_p")
+    out = testing.nested_models(paired(m, s), GROUPS).select("smorf_id", "main_id", *(F.round(c, 6).alias(c) for c in ("add_p", "int_p", "fisher_p")))
+    return out.orderBy("fisher_p", "add_p")
 
 
 @book.query("sta13_scaled", "v_samples", sql=f"SELECT sample, ({AGE} - (SELECT avg({AGE}) FROM v_samples)) / (SELECT stddev_samp({AGE}) FROM v_samples) AS age, (rin - (SELECT avg(rin) FROM v_samples)) / (SELECT stddev_samp(rin) FROM v_samples) AS rin FROM v_samples")
@@ -316,10 +357,16 @@ def _(m):
     return testing.correlated_with(m, "F7")
 
 
-@book.query("sta15_p_values", "v_matrix", "v_samples")
+@book.query(
+    "sta15_p_values", "v_matrix", "v_samples",
+    sql=f"""WITH {G}, a AS (SELECT coalesce(x.feature, y.feature) AS feature, x.n + y.n - 2 AS df, (x.m - y.m) / nullif(sqrt(((x.n - 1) * x.v + (y.n - 1) * y.v) / nullif(x.n + y.n - 2, 0) * (1.0 / x.n + 1.0 / y.n)), 0) AS t FROM (SELECT * FROM g WHERE grp = 'AD') x FULL JOIN (SELECT * FROM g WHERE grp = 'Control') y ON x.feature = y.feature),
+    w AS (SELECT feature, count(*) - 1 AS d1, sum(n) - count(*) AS d2, sum(n * m * m) - sum(n * m) * sum(n * m) / sum(n) AS b, sum((n - 1) * v) AS w FROM g GROUP BY 1),
+    f AS (SELECT feature, d1, d2, CASE WHEN d1 > 0 AND d2 > 0 AND w > 0 THEN (b / d1) / (w / d2) END AS f FROM w)
+    SELECT feature, round({f_tail_sql('(t * t)', '1', 'df')}, 6) AS t_p, round({f_tail_sql('f', 'd1', 'd2')}, 6) AS f_p FROM a JOIN f USING (feature)""",
+)
 def _(m, s):
-    t = testing.t_test(grouped(m, s), "AD", "Control").select("feature", F.col("p").alias("t_p"))
-    return t.join(testing.anova(grouped(m, s)).select("feature", F.col("p").alias("f_p")), "feature")
+    t = testing.t_test(grouped(m, s), "AD", "Control").select("feature", F.round("p", 6).alias("t_p"))
+    return t.join(testing.anova(grouped(m, s)).select("feature", F.round("p", 6).alias("f_p")), "feature")
 
 
 @book.query("rnk10_adjusted", "v_celltype", sql="SELECT row_id, CASE WHEN p_adj_glb IS NOT NULL THEN least(min(raw) OVER (ORDER BY p_adj_glb DESC), 1) END AS q_value FROM (SELECT *, p_adj_glb * count(p_adj_glb) OVER () / (rank() OVER (ORDER BY p_adj_glb) + count(*) OVER (PARTITION BY p_adj_glb) - 1) AS raw FROM v_celltype) WHERE p_adj_glb IS NOT NULL UNION ALL SELECT row_id, NULL FROM v_celltype WHERE p_adj_glb IS NULL")
