@@ -157,10 +157,14 @@ def correlated_with(matrix: DataFrame, target: str) -> DataFrame:
 def outlying_samples(matrix: DataFrame, components: int = 5, limit: float = 3.0) -> DataFrame:
     """Principal components of scaled features over samples; ``outlier`` if the z-score of the first or second is beyond the limit.
 
-    Missing and non-finite values become their feature's mean; features that don't vary go. A sample's features are one vector.
+    Missing and non-finite values become their feature's mean; features that don't vary go. A sample's features are one vector, and the driver
+    holds vectors of that length, never a matrix of features by features, unless there are fewer than 100 of them: the singular vectors come from
+    distributed products with the samples' vectors. A component's largest loading is positive; components beyond the rank are null.
     """
-    from pyspark.ml.feature import PCA, StandardScaler
+    from pyspark.ml.feature import StandardScaler
     from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.mllib.linalg.distributed import RowMatrix
+    from pyspark.mllib.util import MLUtils
 
     finite = matrix.withColumn("value", F.when(~F.isnan("value") & (F.abs("value") != float("inf")), F.col("value")))
     stats = finite.groupBy("feature").agg(F.avg("value").alias("_mean"), F.var_samp("value").alias("_var")).filter(F.col("_var") > 0)
@@ -169,14 +173,26 @@ def outlying_samples(matrix: DataFrame, components: int = 5, limit: float = 3.0)
     means = stats.agg(F.array_sort(F.collect_list(F.struct("feature", "_mean"))).alias("_means"))
     full = finite.select("sample").distinct().join(held, "sample", "left").join(F.broadcast(means))
     filled = F.transform("_means", lambda m: F.coalesce(F.col("_held")[m["feature"]], m["_mean"]))
-    vectors = full.select("sample", array_to_vector(filled).alias("raw"))
-    vectors = materialize(vectors, "vectors")
-    scaled = StandardScaler(inputCol="raw", outputCol="scaled", withMean=True, withStd=True).fit(vectors).transform(vectors)
-    scores = PCA(k=components, inputCol="scaled", outputCol="pc").fit(scaled).transform(scaled).select("sample", vector_to_array("pc").alias("pc"))
-    spread = scores.agg(*(f(F.col("pc")[i]).alias(f"{n}{i}") for i in (0, 1) for n, f in (("m", F.avg), ("s", F.stddev_samp))))
+    vectors = materialize(full.select("sample", array_to_vector(filled).alias("raw"), F.size("_means").alias("width")), "vectors")
+    first = vectors.select("width").first()
+    width, found = first[0] if first else 0, []
+    scaled = vectors.withColumn("scaled", F.lit(None))
+    if width:
+        scaled = StandardScaler(inputCol="raw", outputCol="scaled", withMean=True, withStd=True).fit(vectors).transform(vectors)
+        scaled = materialize(scaled.select("sample", "scaled"), "scaled")
+        rows = MLUtils.convertVectorColumnsFromML(scaled.select("scaled"), "scaled").persist()  # read again for each product
+        found = RowMatrix(rows).computeSVD(min(components, width)).V.toArray().T
+        rows.unpersist()
+        found = [(v * np.sign(v[np.abs(v).argmax()])).tolist() for v in found]
+    loadings = matrix.sparkSession.createDataFrame([(found,)], "loadings array<array<double>>")  # a row of as many numbers as features times components
+    values = vector_to_array("scaled") if width else F.array().cast("array<double>")
+    dot = lambda v: F.aggregate(F.zip_with("values", v, lambda x, y: x * y), F.lit(0.0), lambda total, x: total + x)
+    scores = scaled.select("sample", values.alias("values")).join(F.broadcast(loadings)).select("sample", F.transform("loadings", dot).alias("pc"))
+    scores = scores.select("sample", *(F.get("pc", F.lit(i)).alias(f"pc{i + 1}") for i in range(components)))
+    spread = scores.agg(*(f(f"pc{i}").alias(f"{n}{i}") for i in (1, 2) for n, f in (("m", F.avg), ("s", F.stddev_samp))))
+    z = [F.abs(F.try_divide(F.col(f"pc{i}") - F.col(f"m{i}"), F.col(f"s{i}"))) for i in (1, 2)]
     out = scores.join(F.broadcast(spread))  # one row
-    z = [F.abs((F.col("pc")[i] - F.col(f"m{i}")) / F.col(f"s{i}")) for i in (0, 1)]
-    return out.select("sample", *(F.col("pc")[i].alias(f"pc{i + 1}") for i in range(components)), F.coalesce((z[0] > limit) | (z[1] > limit), F.lit(False)).alias("outlier"))
+    return out.select("sample", *(f"pc{i + 1}" for i in range(components)), F.coalesce((z[0] > limit) | (z[1] > limit), F.lit(False)).alias("outlier"))
 
 
 def regressed(df: DataFrame, covariates: list[str], group: str, remove: list[str], boots: int = 5, seed: int = 1) -> DataFrame:

@@ -326,3 +326,33 @@ def test_adjustment_with_a_common_value(spark):
         else:
             want = min(1.0, min(y * n / (k + 1) for k, y in enumerate(known) if y >= x))
             assert abs(got[i] - want) < 1e-12
+
+
+@pytest.mark.parametrize("features", [3, 30, 120])  # from 100 features on the products are distributed
+def test_outlying_samples_equal_a_decomposition(spark, features):
+    from strandline.operators.testing import outlying_samples
+
+    rng = np.random.default_rng(features)
+    x = rng.normal(size=(40, features)) + np.outer(rng.normal(size=40) * 2, rng.normal(size=features))
+    x[7] += 25 * np.sign(rng.normal(size=features))
+    x[3, 1] = np.nan
+    rows = [(f"f{j}", f"s{i}", float(x[i, j])) for i in range(40) for j in range(features)] + [("flat", f"s{i}", 1.0) for i in range(40)]
+    got = {r["sample"]: r for r in outlying_samples(spark.createDataFrame(rows, "feature string, sample string, value double")).collect()}
+    x[3, 1] = np.nanmean(x[:, 1])
+    z = (x - x.mean(0)) / x.std(0, ddof=1)
+    _, s, vt = np.linalg.svd(z, full_matrices=False)
+    for i in range(min(2, features)):
+        want, have = z @ vt[i], np.array([got[f"s{k}"][f"pc{i + 1}"] for k in range(40)])
+        assert min(np.abs(want - have).max(), np.abs(want + have).max()) < 1e-6 * s[0]
+    assert [k for k, r in got.items() if r["outlier"]] == ["s7"]
+    if features < 5:
+        assert all(r["pc5"] is None for r in got.values())
+
+
+def test_outlying_samples_of_nothing(spark):
+    from strandline.operators.testing import outlying_samples
+
+    kind = "feature string, sample string, value double"
+    assert outlying_samples(spark.createDataFrame([], kind)).count() == 0
+    flat = outlying_samples(spark.createDataFrame([("f", "a", 1.0), ("f", "b", 1.0)], kind)).collect()
+    assert len(flat) == 2 and not any(r["outlier"] for r in flat)
