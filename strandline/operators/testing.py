@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 from strandline.functions.distributions import p_from_f, p_from_range, p_from_t, p_from_z
 from strandline.sources.storage import materialize
 
+#: Most features whose covariance (32 MB) the driver may hold; the products that replace it cost a job each.
+COVARIANCE_FEATURES = 2000
+
 
 def _moments(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.filter(F.col("value").isNotNull()).groupBy(*keys).agg(F.count("*").alias("n"), F.avg("value").alias("mean"), F.coalesce(F.var_samp("value"), F.lit(0.0)).alias("var"))
@@ -157,11 +160,11 @@ def correlated_with(matrix: DataFrame, target: str) -> DataFrame:
 def outlying_samples(matrix: DataFrame, components: int = 5, limit: float = 3.0) -> DataFrame:
     """Principal components of scaled features over samples; ``outlier`` if the z-score of the first or second is beyond the limit.
 
-    Missing and non-finite values become their feature's mean; features that don't vary go. A sample's features are one vector, and the driver
-    holds vectors of that length, never a matrix of features by features, unless there are fewer than 100 of them: the singular vectors come from
-    distributed products with the samples' vectors. A component's largest loading is positive; components beyond the rank are null.
+    Missing and non-finite values become their feature's mean; features that don't vary go. A sample's features are one vector. Up to
+    COVARIANCE_FEATURES features the driver gets their covariance; for more it holds single vectors only, and the components come from
+    distributed products with the samples' vectors. A component's largest loading is positive; components beyond the features or the rank are null.
     """
-    from pyspark.ml.feature import StandardScaler
+    from pyspark.ml.feature import PCA, StandardScaler
     from pyspark.ml.functions import array_to_vector, vector_to_array
     from pyspark.mllib.linalg.distributed import RowMatrix
     from pyspark.mllib.util import MLUtils
@@ -180,9 +183,12 @@ def outlying_samples(matrix: DataFrame, components: int = 5, limit: float = 3.0)
     if width:
         scaled = StandardScaler(inputCol="raw", outputCol="scaled", withMean=True, withStd=True).fit(vectors).transform(vectors)
         scaled = materialize(scaled.select("sample", "scaled"), "scaled")
-        rows = MLUtils.convertVectorColumnsFromML(scaled.select("scaled"), "scaled").persist()  # read again for each product
-        found = RowMatrix(rows).computeSVD(min(components, width)).V.toArray().T
-        rows.unpersist()
+        if width <= COVARIANCE_FEATURES:
+            found = PCA(k=min(components, width), inputCol="scaled", outputCol="pc").fit(scaled).pc.toArray().T
+        else:
+            rows = MLUtils.convertVectorColumnsFromML(scaled.select("scaled"), "scaled").persist()  # read again for each product
+            found = RowMatrix(rows).computeSVD(components).V.toArray().T
+            rows.unpersist()
         found = [(v * np.sign(v[np.abs(v).argmax()])).tolist() for v in found]
     loadings = matrix.sparkSession.createDataFrame([(found,)], "loadings array<array<double>>")  # a row of as many numbers as features times components
     values = vector_to_array("scaled") if width else F.array().cast("array<double>")

@@ -328,10 +328,11 @@ def test_adjustment_with_a_common_value(spark):
             assert abs(got[i] - want) < 1e-12
 
 
-@pytest.mark.parametrize("features", [3, 30, 120])  # from 100 features on the products are distributed
-def test_outlying_samples_equal_a_decomposition(spark, features):
+@pytest.mark.parametrize("features,held", [(3, 2000), (30, 2000), (120, 100)])
+def test_outlying_samples_equal_a_decomposition(spark, monkeypatch, features, held):
     from strandline.operators.testing import outlying_samples
 
+    monkeypatch.setattr(testing, "COVARIANCE_FEATURES", held)
     rng = np.random.default_rng(features)
     x = rng.normal(size=(40, features)) + np.outer(rng.normal(size=40) * 2, rng.normal(size=features))
     x[7] += 25 * np.sign(rng.normal(size=features))
