@@ -222,22 +222,20 @@ def regressed(df: DataFrame, covariates: list[str], group: str, remove: list[str
 
 
 def without_effects(df: DataFrame, samples: DataFrame, nuisance: list[str], keep: list[str]) -> DataFrame:
-    """Takes nuisance effects out of each feature by one linear fit that also has the columns to keep.
+    """Takes nuisance effects out of each feature by one linear fit, over the samples it has, that also has the columns to keep.
 
-    All features share the design: the samples' rows, a bounded table, go to every task once. Features must have all samples' values.
+    Samples with a null in a column go. The design is joined to the values; a feature's samples are one group.
     """
-    design = samples.select("sample", *nuisance, *keep).dropna().orderBy("sample").toPandas()
-    wanted = df.sparkSession.sparkContext.broadcast(design)
+    design = samples.select("sample", *nuisance, *keep).dropna()
 
     def fit(rows: pd.DataFrame) -> pd.DataFrame:
-        d = wanted.value.merge(rows[["feature", "sample", "value"]], on="sample")
-        x = np.column_stack([np.ones(len(d)), d[nuisance + keep].to_numpy(float)])
-        y = d["value"].to_numpy(float)
-        effect = np.linalg.lstsq(x - np.array([0.0, *d[nuisance + keep].mean()]), y, rcond=None)[0][1 : 1 + len(nuisance)]
-        n = d[nuisance].to_numpy(float)
-        return pd.DataFrame({"feature": d["feature"], "sample": d["sample"], "value": y - (n - n.mean(0)) @ effect})
+        effects = rows[nuisance + keep].to_numpy(float)
+        y = rows["value"].to_numpy(float)
+        x = np.column_stack([np.ones(len(rows)), effects - effects.mean(0)])
+        effect = np.linalg.lstsq(x, y, rcond=None)[0][1 : 1 + len(nuisance)]
+        return pd.DataFrame({"feature": rows["feature"], "sample": rows["sample"], "value": y - x[:, 1 : 1 + len(nuisance)] @ effect})
 
-    return df.groupBy("feature").applyInPandas(fit, "feature string, sample string, value double")
+    return df.select("feature", "sample", "value").join(design, "sample").groupBy("feature").applyInPandas(fit, "feature string, sample string, value double")
 
 
 def count_design(factors: DataFrame, samples: DataFrame, covariates: list[str], group: str, first: str, second: str) -> DataFrame:

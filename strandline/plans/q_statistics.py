@@ -287,7 +287,21 @@ def _(m, s):
     return testing.stabilised(d, factors, testing.dispersion_trend(testing.dispersions(d, design, 3)))
 
 
-@book.query("sta10_without_effects", "v_matrix", "v_samples")
+def projected(value: str, on: str) -> str:
+    return f"{on} * (sum({value} * {on}) OVER w / sum({on} * {on}) OVER w)"
+
+
+# the centred columns made orthogonal one after another, the group first; then the coefficients from the last to the first
+@book.query(
+    "sta10_without_effects", "v_matrix", "v_samples",
+    sql=f"""WITH {DENSE}, x AS (SELECT feature, sample, value AS y, (sex = 'M')::DOUBLE AS a, (batch = 'b2')::DOUBLE AS b, rin AS c, (grp = 'AD')::DOUBLE AS k FROM d JOIN v_samples USING (sample) WHERE rin IS NOT NULL),
+    z AS (SELECT feature, sample, y, a - avg(a) OVER w AS a, b - avg(b) OVER w AS b, c - avg(c) OVER w AS c, k - avg(k) OVER w AS k FROM x WINDOW w AS (PARTITION BY feature)),
+    p1 AS (SELECT *, a - {projected('a', 'k')} AS qa FROM z WINDOW w AS (PARTITION BY feature)),
+    p2 AS (SELECT *, b - {projected('b', 'k')} - {projected('b', 'qa')} AS qb FROM p1 WINDOW w AS (PARTITION BY feature)),
+    p3 AS (SELECT *, c - {projected('c', 'k')} - {projected('c', 'qa')} - {projected('c', 'qb')} AS qc FROM p2 WINDOW w AS (PARTITION BY feature)),
+    e AS (SELECT feature, sum(y * qc) / sum(qc * qc) AS ec, sum(y * qb) / sum(qb * qb) AS yb, sum(c * qb) / sum(qb * qb) AS cb, sum(y * qa) / sum(qa * qa) AS ya, sum(b * qa) / sum(qa * qa) AS ba, sum(c * qa) / sum(qa * qa) AS ca FROM p3 GROUP BY 1)
+    SELECT feature, sample, y - a * (ya - ba * (yb - cb * ec) - ca * ec) - b * (yb - cb * ec) - c * ec AS value FROM p3 JOIN e USING (feature)""",
+)
 def _(m, s):
     known = s.withColumns({"male": (F.col("sex") == "M").cast("double"), "second": (F.col("batch") == "b2").cast("double"), "ad": (F.col("grp") == "AD").cast("double")})
     return testing.without_effects(dense(m), known, ["male", "second", "rin"], ["ad"])
