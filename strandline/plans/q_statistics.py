@@ -25,10 +25,10 @@ AGE = "CASE WHEN age_death = '90+' THEN 91 ELSE TRY_CAST(age_death AS DOUBLE) EN
 
 
 def beta_sql(a: str, b: str, x: str) -> str:
-    """The regularised incomplete beta function in SQL: its hypergeometric series, on the side where that converges fast."""
+    """The regularised incomplete beta function in SQL: its hypergeometric series, on the side where that converges faster."""
 
     def series(a: str, b: str, x: str) -> str:
-        terms = f"list_sum(list_transform(range(0, 1500), lambda i_: exp(lgamma({a} + {b} + i_) - lgamma({a} + {b}) - lgamma({a} + 1 + i_) + lgamma({a} + 1) + i_ * ln({x}))))"
+        terms = f"list_sum(list_transform(range(0, CAST(500 + 20 * ({a} + {b}) AS BIGINT)), lambda i_: exp(lgamma({a} + {b} + i_) - lgamma({a} + {b}) - lgamma({a} + 1 + i_) + lgamma({a} + 1) + i_ * ln({x}))))"
         return f"exp(lgamma({a} + {b}) - lgamma({a}) - lgamma({b}) + {a} * ln({x}) + {b} * ln(1 - ({x}))) / {a} * {terms}"
 
     return f"CASE WHEN {x} >= 1 THEN 1.0 WHEN {x} <= 0 THEN 0.0 WHEN {x} <= ({a} + 1) / ({a} + {b} + 2) THEN {series(a, b, x)} ELSE 1 - {series(b, a, f'(1 - {x})')} END"
