@@ -28,15 +28,18 @@ def fresh(df: DataFrame, *wanted: str) -> list[str]:
     return out
 
 
-def ordered_positions(df: DataFrame, order: list[str | Column], weight: str | None = None, name: str = "positions") -> DataFrame:
+def ordered_positions(df: DataFrame, order: list[str | Column], weight: str | None = None, name: str = "positions", keep: list[str] | None = None) -> DataFrame:
     """Adds ``pos`` (0-based place in the total order) and, with a weight, ``before`` (sum of the weights of the rows before).
 
+    With ``keep`` only those columns stay once the rows are in order.
+
     Rows are dealt by ranges of the order and stored; each range gets its offset from a window over one row per
     range, so that no task sees more than one range. Rows with equal keys get places in any order.
     """
     spark = df.sparkSession
     ranged = df.repartitionByRange(*order).sortWithinPartitions(*order)
     ranged = ranged.withColumn("_part", F.spark_partition_id()).withColumn("_row", F.monotonically_increasing_id() - F.shiftleft(F.col("_part").cast("long"), 33))
+    ranged = ranged.select(*keep, "_part", "_row") if keep else ranged
     ranged = materialize(ranged, name)
     mass = F.col(weight) if weight else F.lit(0)
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)

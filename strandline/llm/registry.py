@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("q_mixing", "q_warc", "q_quality_model", "q_substrings", "q_bpe", "q_chat", "q_sharding", "q_minhash", "q_simhash", "q_rules", "q_token_files", "q_vector_codes")
+MODULES = ("q_mixing", "q_warc", "q_quality_model", "q_substrings", "q_bpe", "q_chat", "q_sharding", "q_minhash", "q_simhash", "q_rules", "q_token_files", "q_prefix_trie", "q_vector_codes")
 
 
 def _merged(name: str) -> dict:
