@@ -17,7 +17,7 @@ def tokenizer_path() -> str:
 
 def op11_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch(spark, "tokens")
-    write_tokens(table(spark, sf_dir, "documents"), path, tokenizer_path())
+    write_tokens(table(spark, sf_dir, "documents"), path, tokenizer_path(), cut_at_blanks=True)
     return read_documents(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 

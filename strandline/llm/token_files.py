@@ -15,8 +15,11 @@ A token set is a folder. ``segments`` has Parquet rows: keys and ends of a run o
 from __future__ import annotations
 
 import os
+import re
 import struct
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -31,15 +34,16 @@ MAGIC = b"DAC1"
 BLOCK = 512
 #: A segment ends with the document that brings it to so many ids.
 SEGMENT_IDS = 1 << 20
+#: Bytes of text whose words are held at once; bytes that a worker's words may take, what an entry takes besides its word and ids, and the longest word that is remembered.
+STEP, HELD_BYTES, ENTRY, LONG_WORD = 1 << 20, 128 << 20, 160, 64
+BLANK = re.compile(rb"[\x20\x09-\x0D]")
 
 
 def widths(ids: np.ndarray) -> list[int]:
     """The widths of the levels that take the fewest bits: those that go on at each cut pay a bit more, those that don't save the rest."""
-    bits = np.zeros(len(ids), np.int64)
-    for b in range(32):
-        bits += ids >> b > 0
-    most = int(bits.max(initial=1)) or 1
-    beyond = [len(ids), *(int((bits > b).sum()) for b in range(1, most))]
+    counts = np.bincount(np.frexp(ids.astype(np.float64))[1], minlength=2)  # ids by their number of bits
+    most = len(counts) - 1
+    beyond = [len(ids), *(int(counts[b + 1 :].sum()) for b in range(1, most))]
     best: list[tuple[int, int]] = [(0, 0)] * (most + 1)
     for low in range(most - 1, -1, -1):
         best[low] = min((beyond[low] * (high - low + (high < most)) + best[high][0], high) for high in range(low + 1, most + 1))
@@ -52,8 +56,16 @@ def widths(ids: np.ndarray) -> list[int]:
 
 def _packed(values: np.ndarray, width: int) -> bytes:
     """Values of so many bits, one after the other, lowest bit first."""
-    bits = (values[:, None] >> np.arange(width, dtype=np.uint32) & 1).astype(np.uint8)
-    return np.packbits(bits.ravel(), bitorder="little").tobytes()
+    kind = "<u2" if width <= 16 else "<u4"
+    raw = values.astype(kind).view(np.uint8).reshape(len(values), np.dtype(kind).itemsize)
+    return np.packbits(np.unpackbits(raw, axis=1, count=width, bitorder="little").ravel(), bitorder="little").tobytes()
+
+
+def _unpacked(chunks: np.ndarray, width: int, n: int) -> np.ndarray:
+    kind, size = ("<u2", 16) if width <= 16 else ("<u4", 32)
+    bits = np.zeros((n, size), np.uint8)
+    bits[:, :width] = np.unpackbits(chunks, count=n * width, bitorder="little").reshape(n, width)
+    return np.packbits(bits.ravel(), bitorder="little").view(kind)
 
 
 def encode_ids(ids: np.ndarray) -> bytes:
@@ -136,28 +148,89 @@ class Codes:
 
     def all(self) -> np.ndarray:
         """All ids: each level is spread over those of the level before that go on."""
-        out, who, shift = np.zeros(len(self), np.uint64), np.arange(len(self)), 0
+        out, who, shift = np.zeros(len(self), np.uint32), np.arange(len(self)), 0
         for width, (n, chunks, bitmap, _) in zip(self.widths, self.levels):
-            bits = np.unpackbits(chunks, count=n * width, bitorder="little").reshape(n, width)
-            value = np.zeros(n, np.uint64)
-            for b in range(width):
-                value |= bits[:, b].astype(np.uint64) << np.uint64(b)
-            out[who] |= value << np.uint64(shift)
+            out[who] |= _unpacked(chunks, width, n).astype(np.uint32) << np.uint32(shift)
             shift += width
             if bitmap is not None:
-                who = who[np.unpackbits(bitmap, count=n, bitorder="little").astype(bool)]
-        return out.astype(np.uint32)
+                who = who[np.unpackbits(bitmap, count=n, bitorder="little").view(bool)]
+        return out
+
+
+class Encoder:
+    """Ids of texts, as little-endian unsigned 32-bit integers, with a file of the tokenizers library."""
+
+    def __init__(self, model: str, cut_at_blanks: bool):
+        from tokenizers import Tokenizer
+
+        self.tokenizer, self.cut = Tokenizer.from_str(model), cut_at_blanks
+        self.tokenizer.no_truncation()
+        self.tokenizer.no_padding()
+        self.known: dict[bytes, bytes] = {}
+        self.held = 0
+
+    def _encoded(self, texts: list[bytes]) -> list[bytes]:
+        return [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)]
+
+    def _learn(self, new: list[bytes]) -> None:
+        """Encodes words in one go, a blank between them; where their tokens begin tells them apart."""
+        words = [w.decode() for w in new]
+        starts = np.cumsum([0, *(len(w) + 1 for w in words)])
+        found = self.tokenizer.encode(" ".join(words), add_special_tokens=False)
+        ids, begin = np.array(found.ids, "<u4").tobytes(), np.fromiter((a for a, _ in found.offsets), np.int64, len(found))
+        cuts = (4 * np.searchsorted(begin, starts)).tolist()
+        self.known.update(zip(new, (ids[a:b] for a, b in zip(cuts, cuts[1:]))))
+
+    def _by_words(self, texts: list[bytes]) -> list[bytes]:
+        known, words = self.known, [t.split() for t in texts]
+        new = list(set(chain.from_iterable(words)).difference(known))
+        if new:
+            self._learn(new)
+        out = [b"".join(map(known.__getitem__, ws)) for ws in words]
+        for w in new:
+            if len(w) > LONG_WORD:
+                del known[w]
+            else:
+                self.held += len(w) + len(known[w]) + ENTRY
+        if self.held > HELD_BYTES:
+            known.clear()
+            self.held = 0
+        return out
+
+    def encode(self, texts: list[bytes]) -> Iterator[bytes]:
+        if not self.cut:
+            for a, b in _slices(texts):
+                yield from self._encoded(texts[a:b])
+            return
+        for a, b in _slices(texts, STEP):
+            if b - a > 1 or len(texts[a]) <= 2 * STEP:
+                yield from self._by_words(texts[a:b])
+                continue
+            text, out, at = texts[a], [], 0
+            while at < len(text):  # a long text, a piece at a time
+                blank = BLANK.search(text, at + STEP)
+                end = blank.start() if blank else len(text)
+                out += self._by_words([text[at:end]])
+                at = end
+            yield b"".join(out)
+
+
+@lru_cache(maxsize=1)
+def _encoder(model: str, cut_at_blanks: bool) -> Encoder:
+    """A worker's encoder, which the next of its tasks finds with the words that it knows."""
+    return Encoder(model, cut_at_blanks)
 
 
 def _schema(kind: str) -> str:
     return f"part int, segment int, begin long, n_ids long, keys array<{kind}>, ends array<long>, body binary"
 
 
-def write_tokens(df: DataFrame, path: str, tokenizer: str, key: str = "doc_id", text: str = "text", end_id: int | None = 1) -> None:
+def write_tokens(df: DataFrame, path: str, tokenizer: str, key: str = "doc_id", text: str = "text", end_id: int | None = 1, cut_at_blanks: bool = False) -> None:
     """Encodes every whole text and writes a token set: the ids of the documents in ascending order of their keys, each followed by ``end_id``.
 
     The tokenizer is a file of the tokenizers library, read by the driver; truncation, padding and added special tokens are off, special tokens that
-    a text spells out count as the library has it. A null text is empty; null keys come last; rows that share a key follow each other by
+    a text spells out count as the library has it. ``cut_at_blanks`` says that the file's tokens never hold an ASCII blank and that words on both sides
+    of one are encoded as if alone, as with vocabularies that drop white space; a task then encodes different words once. A null text is empty; null keys come last; rows that share a key follow each other by
     their texts' hashes, then texts; repeated rows stay; other columns are ignored; an empty table gives a set without segments. Texts are
     dealt by ranges of keys and sorted; rows of one key *and* text share a task. A segment holds whole documents.
     """
@@ -167,35 +240,28 @@ def write_tokens(df: DataFrame, path: str, tokenizer: str, key: str = "doc_id",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task is one core
-        from tokenizers import Tokenizer
-
-        encoder = Tokenizer.from_str(model.value)
-        encoder.no_truncation()
-        encoder.no_padding()
+        encoder = _encoder(model.value, cut_at_blanks)
         part, segment, begin = TaskContext.get().partitionId(), 0, 0
         keys, ends, held, size = [], [], [], 0
 
         def closed() -> pa.RecordBatch:
             nonlocal keys, ends, held, size, segment, begin
-            ids = np.concatenate(held)
+            ids = np.frombuffer(b"".join(held), "<u4")
             lists = [pa.array([pa.concat_arrays(keys).tolist()], pa.list_(keys[0].type)), pa.array([ends], pa.list_(pa.int64()))]
             out = [pa.array([part], pa.int32()), pa.array([segment], pa.int32()), pa.array([begin], pa.int64()), pa.array([len(ids)], pa.int64()), *lists, pa.array([encode_ids(ids)], pa.binary())]
             begin, segment = begin + size, segment + 1
             keys, ends, held, size = [], [], [], 0
             return pa.RecordBatch.from_arrays(out, names=["part", "segment", "begin", "n_ids", "keys", "ends", "body"])
 
-        tail = [] if end_id is None else [end_id]
+        tail = b"" if end_id is None else struct.pack("<I", end_id)
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for a, b in _slices(texts):
-                for i, found in enumerate(encoder.encode_batch_fast(texts[a:b], add_special_tokens=False), a):
-                    ids = np.array(found.ids + tail, np.uint32)
-                    size += len(ids)
-                    held.append(ids)
-                    ends.append(size)
-                    keys.append(batch.column(0).slice(i, 1))
-                    if size >= SEGMENT_IDS:
-                        yield closed()
+            for i, ids in enumerate(encoder.encode(batch.column(1).cast(pa.binary()).to_pylist())):
+                held += [ids, tail]
+                size += (len(ids) + len(tail)) // 4
+                ends.append(size)
+                keys.append(batch.column(0).slice(i, 1))
+                if size >= SEGMENT_IDS:
+                    yield closed()
         if held:
             yield closed()
 

@@ -1,5 +1,6 @@
 """Token sets against the tokenizers library, and codes against plain arrays."""
 
+import random
 import zlib
 
 import numpy as np
@@ -54,6 +55,24 @@ def test_widths_are_the_cheapest():
     assert len(encode_ids(ids)) < 4 * len(ids)
 
 
+ODD = ["", " ", "Straße\u0301 e\u0301 \u0301x İI ΑΣ ς. \u00a0a\u2003b\x1cc\x85d\u3000e", "<|endoftext|>a <|StartOfText|> x<|startoftext|>\ty", "it's I'LL 12ab3 ...!? 日本語テキスト 🙂🙂", "A" * 300 + " " + "é" * 300, "e \u0301\u0323 \n\r\x0b\x0c k\u212a ﬁ ǅ"]
+
+
+def test_words_alone_are_words_together(rows, monkeypatch):
+    """The vocabulary drops white space, so that texts can be cut at ASCII blanks, whatever stands beside them."""
+    monkeypatch.setattr(token_files, "STEP", 50)
+    monkeypatch.setattr(token_files, "HELD_BYTES", 300)
+    draw = random.Random(3)
+    strange = "aAéÉ1'!<|>e\u0301\u0323\u0130Σς\ufb01\u01c5\u212a\u1100\u1161\u11a8日🙂\u00a0\u2003\x1c\x85\u0345\u200d \t\n"
+    texts = ODD + [r[1] or "" for r in rows] + ["".join(draw.choices(strange, k=draw.randrange(1, 40))) for _ in range(500)]
+    with open(tokenizer_path(), encoding="utf-8") as f:
+        model = f.read()
+    whole = [x.tobytes() for x in library([(0, t) for t in texts])]
+    for cut in (True, False):
+        got = list(token_files.Encoder(model, cut).encode([t.encode() for t in texts]))
+        assert [x + b"\1\0\0\0" for x in got] == whole
+
+
 @pytest.mark.parametrize("segment", [1 << 20, 64])
 def test_token_set(docs, rows, empty, spark, tmp_path, monkeypatch, segment):
     monkeypatch.setattr(token_files, "SEGMENT_IDS", segment)
