@@ -17,6 +17,7 @@ from __future__ import annotations
 import os
 import re
 import struct
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
@@ -36,6 +37,8 @@ BLOCK = 512
 SEGMENT_IDS = 1 << 20
 #: Bytes of text whose words are held at once; bytes that a worker's words may take, what an entry takes besides its word and ids, and the longest word that is remembered.
 STEP, HELD_BYTES, ENTRY, LONG_WORD = 1 << 20, 128 << 20, 160, 64
+#: Words that are encoded at once; many more or fewer take longer.
+TOGETHER = 150
 BLANK = re.compile(rb"[\x20\x09-\x0D]")
 
 
@@ -173,13 +176,16 @@ class Encoder:
         return [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)]
 
     def _learn(self, new: list[bytes]) -> None:
-        """Encodes words in one go, a blank between them; where their tokens begin tells them apart."""
-        words = [w.decode() for w in new]
-        starts = np.cumsum([0, *(len(w) + 1 for w in words)])
-        found = self.tokenizer.encode(" ".join(words), add_special_tokens=False)
-        ids, begin = np.array(found.ids, "<u4").tobytes(), np.fromiter((a for a, _ in found.offsets), np.int64, len(found))
-        cuts = (4 * np.searchsorted(begin, starts)).tolist()
-        self.known.update(zip(new, (ids[a:b] for a, b in zip(cuts, cuts[1:]))))
+        """Encodes words some hundred at a time, a blank between them; where their tokens begin tells them apart."""
+        for k in range(0, len(new), TOGETHER):
+            some = new[k : k + TOGETHER]
+            words = b" ".join(some).decode()
+            found = self.tokenizer.encode(words, add_special_tokens=False)
+            ids, begin, at = np.array(found.ids, "<u4").tobytes(), [a for a, _ in found.offsets], [0]
+            for w in words.split(" "):
+                at.append(at[-1] + len(w) + 1)
+            cuts = [4 * bisect_left(begin, a) for a in at]
+            self.known.update(zip(some, (ids[a:b] for a, b in zip(cuts, cuts[1:]))))
 
     def _by_words(self, texts: list[bytes]) -> list[bytes]:
         known, words = self.known, [t.split() for t in texts]
