@@ -1,7 +1,9 @@
 """Genomic intervals: strand-aware overlap joins, extents, merging, and the classification of reading frames.
 
-Columns are ``chrom``, ``strand``, ``start_pos``, ``end_pos`` (closed). Overlaps are found by joining bins: both sides are listed once for each bin
-that they span, and a pair counts in the first bin that both span, so that nothing has to be made distinct.
+Columns are ``chrom``, ``strand``, ``start_pos``, ``end_pos`` (closed). Overlaps are found by joining bins of several levels. An interval's own level is the
+finest whose bins are at least as wide, so that it lies in one or two of them; it is listed there, and in one or two bins of each coarser level
+that occurs in the data. Two intervals meet at the coarser one's level, in the first bin that both span: nothing has to be made distinct, and the
+rows listed depend on the number of levels, not on the spans.
 """
 
 from __future__ import annotations
@@ -14,7 +16,8 @@ from pyspark.sql import functions as F
 from strandline.functions.genome import biological_start, coordinates
 from strandline.sources.storage import materialize
 
-BIN = 10_000
+#: Bins of level k have 2**(FINEST + 2 * k) positions; COARSEST is the last k.
+FINEST, COARSEST = 9, 16
 # Labels from the strongest on, biotypes, and what two labels make together.
 PRIORITY = ("psORF", "uoORF", "uaoORF", "doORF", "daoORF", "iORF", "dORF", "daORF", "uORF", "uaORF", "lncRNA", "riORF", "aORF", "eORF", "udORF")
 PSEUDOGENES = (
@@ -29,25 +32,43 @@ TOGETHER = {
 }
 
 
-def _binned(df: DataFrame, size: int) -> DataFrame:
-    bins = F.sequence(F.floor(F.col("start_pos") / size), F.floor(F.col("end_pos") / size))
-    return df.withColumn("_bin", F.explode(bins))
+def _own_level(start: Column, end: Column) -> Column:
+    """The finest level whose bins are wider than the interval's last position is from its first."""
+    wide = F.shiftright(F.greatest(end - start, F.lit(0)), FINEST)
+    bits = F.when(wide > 0, F.length(F.bin(wide))).otherwise(0)
+    return F.least(F.floor((bits + 1) / 2), F.lit(COARSEST)).cast("int")
 
 
-def overlaps(a: DataFrame, b: DataFrame, on: tuple[str, ...] = ("chrom", "strand"), size: int = BIN) -> DataFrame:
-    """All pairs of overlapping rows, b's columns prefixed ``ref_``, with ``overlap`` in positions."""
-    right = _binned(b, size)
-    right = right.select(*(F.col(c).alias(c if c in (*on, "_bin") else f"ref_{c}") for c in right.columns))
-    pairs = _binned(a, size).join(right, [*on, "_bin"])
+def _bin(position: str) -> Column:
+    return F.call_function("shiftright", F.col(position), F.col("_level") * 2 + FINEST)
+
+
+def _listed(df: DataFrame, levels: DataFrame) -> DataFrame:
+    """Each row once for each level from its own on, of those that occur, and each of the at most two bins there."""
+    own = df.withColumn("_own", _own_level(F.col("start_pos"), F.col("end_pos")))
+    by_level = own.withColumn("_level", F.explode(F.sequence("_own", F.lit(COARSEST)))).join(F.broadcast(levels), "_level", "left_semi")
+    return by_level.withColumn("_bin", F.explode(F.sequence(_bin("start_pos"), F.greatest(_bin("start_pos"), _bin("end_pos")))))
+
+
+def overlaps(a: DataFrame, b: DataFrame, on: tuple[str, ...] = ("chrom", "strand")) -> DataFrame:
+    """All pairs of overlapping rows, b's columns prefixed ``ref_``, with ``overlap`` in positions. Rows with a null position, or a null in ``on``, are in none."""
+    level = _own_level(F.col("start_pos"), F.col("end_pos")).alias("_level")
+    levels = a.select(level).unionByName(b.select(level)).distinct()  # at most COARSEST + 1 rows
+    keys = (*on, "_level", "_bin")
+    right = _listed(b, levels)
+    right = right.select(*(F.col(c).alias(c if c in keys else f"ref_{c}") for c in right.columns))
+    pairs = _listed(a, levels).join(right, [*keys])
     meet = (F.col("start_pos") <= F.col("ref_end_pos")) & (F.col("ref_start_pos") <= F.col("end_pos"))
-    first = F.greatest(F.floor(F.col("start_pos") / size), F.floor(F.col("ref_start_pos") / size)) == F.col("_bin")
+    once = (F.greatest("_own", "ref__own") == F.col("_level")) & (F.greatest(_bin("start_pos"), _bin("ref_start_pos")) == F.col("_bin"))
     overlap = F.least("end_pos", "ref_end_pos") - F.greatest("start_pos", "ref_start_pos") + 1
-    return pairs.filter(meet & first).drop("_bin").withColumn("overlap", overlap)
+    return pairs.filter(meet & once).drop("_level", "_bin", "_own", "ref__own").withColumn("overlap", overlap)
 
 
-def not_overlapping(a: DataFrame, b: DataFrame, row_id: list[str], size: int = BIN) -> DataFrame:
+def not_overlapping(a: DataFrame, b: DataFrame, row_id: list[str]) -> DataFrame:
     """Rows of a that overlap no row of b."""
-    return a.join(overlaps(a, b, size=size).select(*row_id).distinct(), row_id, "left_anti")
+    narrow = ["chrom", "strand", "start_pos", "end_pos"]
+    met = overlaps(a.select(*dict.fromkeys([*row_id, *narrow])), b.select(*narrow)).select(*row_id)
+    return a.join(met, row_id, "left_anti")
 
 
 def extents(coding: DataFrame, key: str) -> DataFrame:
@@ -62,34 +83,51 @@ def coding_starts(coding: DataFrame) -> DataFrame:
     return coding.select("chrom", biological_start(F.col("strand"), F.col("start_pos"), F.col("end_pos")).alias("bio_start")).distinct()
 
 
+def _ranged(df: DataFrame, key: str, order: list[str]) -> DataFrame:
+    """The rows dealt by ranges of key and order, and stored; ``_part`` is the range."""
+    ranged = df.repartitionByRange(key, *order).sortWithinPartitions(key, *order)
+    return materialize(ranged.withColumn("_part", F.spark_partition_id()), "intervals")
+
+
+def _carried(rows: DataFrame, key: str, value: Column, name: str) -> DataFrame:
+    """Adds the largest value of the key in the ranges before: it comes from one row for each range and key."""
+    parts = rows.groupBy(F.col("_part").alias("_p"), F.col(key).alias("_k")).agg(F.max(value).alias("_m"))
+    parts = parts.select("_p", "_k", F.max("_m").over(Window.partitionBy("_k").orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)).alias(name))
+    return rows.join(parts, (rows["_part"] == parts["_p"]) & rows[key].eqNullSafe(parts["_k"])).drop("_p", "_k")
+
+
+def running_max(df: DataFrame, key: str, order: list[str], value: str, name: str) -> DataFrame:
+    """Adds the largest value of the rows before in a key's order; null for its first. Rows are dealt by ranges, so that no task sees a whole key; equal places come in any order."""
+    here = Window.partitionBy("_part", key).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    rows = _carried(_ranged(df, key, order), key, F.col(value), "_before")
+    return rows.withColumn(name, F.greatest(F.max(value).over(here), F.col("_before"))).drop("_part", "_before")
+
+
 def merged(df: DataFrame, key: str = "chrom") -> DataFrame:
     """Unions of overlapping or touching intervals ``lo`` to ``hi``, by chromosome: an island begins where the running maximum ends.
 
     Intervals are dealt by ranges of chromosome and start, and stored. A range's running maximum, and the island that it is in, go on from the ranges
     before it; both come from one row for each range and chromosome, so that no task sees a whole chromosome.
     """
-    ranged = df.select(key, "lo", "hi").repartitionByRange(key, "lo").sortWithinPartitions(key, "lo", "hi")
-    ranged = materialize(ranged.withColumn("_part", F.spark_partition_id()), "intervals")
+    ranged = _ranged(df.select(key, "lo", "hi"), key, ["lo", "hi"])
     here = Window.partitionBy("_part", key).orderBy("lo", "hi")
-
-    def carried(rows: DataFrame, value: Column, name: str) -> DataFrame:
-        parts = rows.groupBy(F.col("_part").alias("_p"), F.col(key).alias("_k")).agg(F.max(value).alias("_m"))
-        parts = parts.select("_p", "_k", F.max("_m").over(Window.partitionBy("_k").orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)).alias(name))
-        return rows.join(parts, (rows["_part"] == parts["_p"]) & rows[key].eqNullSafe(parts["_k"])).drop("_p", "_k")
-
     reach = F.greatest(F.max("hi").over(here.rowsBetween(Window.unboundedPreceding, -1)), F.col("_before"))
-    begins = carried(ranged, F.col("hi"), "_before").withColumn("_reach", reach)
+    begins = _carried(ranged, key, F.col("hi"), "_before").withColumn("_reach", reach)
     begins = begins.withColumn("_first", F.when(F.col("_reach").isNull() | (F.col("lo") > F.col("_reach")), F.col("lo"))).drop("_before", "_reach")
     island = F.coalesce(F.max("_first").over(here.rowsBetween(Window.unboundedPreceding, 0)), F.col("_open"))
-    islands = carried(begins, F.col("_first"), "_open").withColumn("_island", island)
+    islands = _carried(begins, key, F.col("_first"), "_open").withColumn("_island", island)
     return islands.groupBy(key, "_island").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).drop("_island")
 
 
-def inside(points: DataFrame, position: str, ranges: DataFrame, name: str, size: int = BIN) -> DataFrame:
-    """Marks the points that lie in a merged range of their chromosome. Ranges don't overlap: a point meets one at most."""
-    binned = ranges.withColumn("_bin", F.explode(F.sequence(F.floor(F.col("lo") / size), F.floor(F.col("hi") / size)))).withColumnRenamed("chrom", "_chrom")
-    at = (F.col("chrom") == F.col("_chrom")) & (F.floor(F.col(position) / size) == F.col("_bin")) & F.col(position).between(F.col("lo"), F.col("hi"))
-    return points.join(binned, at, "left").withColumn(name, F.col("lo").isNotNull()).drop("_chrom", "_bin", "lo", "hi")
+def inside(points: DataFrame, position: str, ranges: DataFrame, name: str) -> DataFrame:
+    """Marks the points that lie in a range of their chromosome, of any length: the farthest end of the ranges that begin up to there reaches them.
+
+    Points and ranges are put in order together and dealt by ranges of places, as in :func:`running_max`. A null position or chromosome lies in none.
+    """
+    starts = ranges.select("chrom", F.col("lo").alias("_at"), F.col("hi").alias("_hi"), F.lit(0).alias("_point"))
+    both = points.withColumns({"_at": F.col(position), "_point": F.lit(1)}).unionByName(starts, allowMissingColumns=True)
+    reached = running_max(both, "chrom", ["_at", "_point"], "_hi", "_reach").filter("_point = 1")
+    return reached.withColumn(name, F.coalesce((F.col("_reach") >= F.col("_at")) & F.col("chrom").isNotNull(), F.lit(False))).drop("_at", "_point", "_hi", "_reach")
 
 
 def label(pairs: DataFrame) -> Column:
@@ -112,22 +150,26 @@ def label(pairs: DataFrame) -> Column:
     )
 
 
-def annotated_pairs(orfs: DataFrame, reference: DataFrame, size: int = BIN) -> DataFrame:
-    """Overlap rows of coding ORF rows with their label: ``id``, ``pos``, ``ref_pos``, ``annotation``, ``gene_name``, ``gene_id``."""
+def _labelled(orfs: DataFrame, reference: DataFrame) -> DataFrame:
+    """All overlap rows with ``annotation``, ``gene_name`` and ``gene_id``. What depends on the ORF row alone is found before the join."""
     coding = reference.filter((F.col("feature") == "CDS") & F.col("transcript_id").isNotNull())
     genes = extents(coding, "gene_id").select(F.col("gene_id").alias("_gene"), F.col("chrom").alias("_chrom"), "upstream", "downstream")
     spans = merged(genes.select(F.col("_chrom").alias("chrom"), F.least("upstream", "downstream").alias("lo"), F.greatest("upstream", "downstream").alias("hi")))
     starts = coding_starts(coding).select(F.col("chrom").alias("_chrom"), F.col("bio_start").alias("_start"), F.lit(True).alias("_shared"))
-    pairs = overlaps(orfs.filter(F.col("feature") == "CDS"), reference, size=size)
     at = coordinates(F.col("id"))
-    pairs = pairs.withColumns({"orf_start": F.coalesce(at["start"], "start_pos"), "orf_end": F.coalesce(at["end"], "end_pos")})
-    pairs = pairs.withColumn("bio_start", biological_start(F.col("strand"), F.col("orf_start"), F.col("orf_end")))
-    pairs = pairs.join(starts, (pairs["chrom"] == starts["_chrom"]) & (pairs["bio_start"] == starts["_start"]), "left").drop("_chrom", "_start")
-    pairs = pairs.withColumn("shares_start", F.coalesce("_shared", F.lit(False))).drop("_shared")
-    pairs = inside(pairs, "bio_start", spans, "in_any_cds", size)
+    rows = orfs.withColumns({"orf_start": F.coalesce(at["start"], "start_pos"), "orf_end": F.coalesce(at["end"], "end_pos")})
+    rows = rows.withColumn("bio_start", biological_start(F.col("strand"), F.col("orf_start"), F.col("orf_end")))
+    rows = rows.join(starts, (rows["chrom"] == starts["_chrom"]) & (rows["bio_start"] == starts["_start"]), "left").drop("_chrom", "_start")
+    rows = inside(rows.withColumn("shares_start", F.coalesce("_shared", F.lit(False))).drop("_shared"), "bio_start", spans, "in_any_cds")
+    pairs = overlaps(rows, reference)
     pairs = pairs.join(genes.drop("_chrom"), pairs["ref_gene_id"] == genes["_gene"], "left").drop("_gene")
     named = F.coalesce("ref_gene_name", F.lit("Unnamed"))
-    return pairs.select("id", "pos", "ref_ref_pos", label(pairs).alias("annotation"), named.alias("gene_name"), F.coalesce("ref_gene_id", F.lit("Unknown")).alias("gene_id")).withColumnRenamed("ref_ref_pos", "ref_pos")
+    return pairs.withColumnsRenamed({"ref_ref_pos": "ref_pos"}).withColumns({"annotation": label(pairs), "gene_name": named, "gene_id": F.coalesce("ref_gene_id", F.lit("Unknown"))})
+
+
+def annotated_pairs(orfs: DataFrame, reference: DataFrame) -> DataFrame:
+    """Overlap rows of coding ORF rows with their label: ``id``, ``pos``, ``ref_pos``, ``annotation``, ``gene_name``, ``gene_id``."""
+    return _labelled(orfs.filter(F.col("feature") == "CDS"), reference).select("id", "pos", "ref_pos", "annotation", "gene_name", "gene_id")
 
 
 def _rank(annotation: Column) -> Column:
@@ -135,9 +177,8 @@ def _rank(annotation: Column) -> Column:
     return F.when(place > 0, place).otherwise(len(PRIORITY) + 1)
 
 
-def resolved(pairs: DataFrame) -> DataFrame:
-    """One label for each id: its rows are folded in the order of the input, two labels at a time. An id has few rows."""
-    rows = pairs.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("pos", "ref_pos", "annotation", "gene_name", "gene_id"))).alias("_rows"))
+def _folded(rows: Column) -> Column:
+    """One label of an id's sorted rows: they are folded from the first on, two labels at a time."""
     item = lambda r, a=None: F.struct((r["annotation"] if a is None else a).alias("annotation"), r["gene_name"].alias("gene_name"), r["gene_id"].alias("gene_id"))
 
     def fold(state: Column, row: Column) -> Column:
@@ -147,16 +188,32 @@ def resolved(pairs: DataFrame) -> DataFrame:
             out = out.when(((one == a) & (two == b)) | ((one == b) & (two == a)), item(row, F.lit(c)))
         return out.when(_rank(two) < _rank(one), item(row)).otherwise(state)
 
-    final = F.aggregate(F.slice("_rows", F.lit(2), F.size("_rows")), item(F.col("_rows")[0]), fold)
-    return rows.select("id", F.explode(F.array(final)).alias("r")).select("id", "r.annotation", "r.gene_name", "r.gene_id")
+    return F.aggregate(F.slice(rows, F.lit(2), F.size(rows)), item(F.get(rows, F.lit(0))), fold)
+
 
+_ROW = ("pos", "ref_pos", "annotation", "gene_name", "gene_id")
 
-def classified(orfs: DataFrame, reference: DataFrame, row_id: list[str], size: int = BIN) -> DataFrame:
-    """The classification of all ids: overlapping ones by their rows, the others ``intergenic``. Ids that overlap with other than coding rows only are left out."""
-    found = resolved(annotated_pairs(orfs, reference, size))
-    alone = not_overlapping(orfs, reference, row_id, size).select("id").distinct().join(found.select("id"), "id", "left_anti")
-    none = F.lit("None")
-    return found.unionByName(alone.select("id", F.lit("intergenic").alias("annotation"), none.alias("gene_name"), none.alias("gene_id")))
+
+def resolved(pairs: DataFrame) -> DataFrame:
+    """One label for each id: its rows are folded in the order of the input, two labels at a time. An id has few rows."""
+    rows = pairs.groupBy("id").agg(F.array_sort(F.collect_list(F.struct(*_ROW))).alias("_rows"))
+    return rows.select("id", F.explode(F.array(_folded(F.col("_rows")))).alias("r")).select("id", "r.annotation", "r.gene_name", "r.gene_id")
+
+
+def classified(orfs: DataFrame, reference: DataFrame, row_id: list[str]) -> DataFrame:
+    """The classification of all ids: overlapping ones by their rows, the others ``intergenic``. Ids that overlap with other than coding rows only are left out.
+
+    Both come from one overlap join: its pairs and the rows themselves meet by id, and a row without a pair is one that overlaps nothing.
+    """
+    key = F.struct(*(c for c in row_id if c != "id")).alias("_key")
+    pairs = _labelled(orfs, reference)
+    pairs = pairs.select("id", key, F.lit(True).alias("_met"), F.when(F.col("feature") == "CDS", F.struct(*_ROW)).alias("_row"))
+    both = pairs.unionByName(orfs.select("id", key, F.lit(False).alias("_met")), allowMissingColumns=True)
+    met, rows = F.collect_set(F.when(F.col("_met"), F.col("_key"))), F.collect_list("_row")
+    ids = both.groupBy("id").agg(F.array_sort(rows).alias("_rows"), F.array_except(F.collect_set("_key"), met).alias("_alone"))
+    none = F.struct(F.lit("intergenic").alias("annotation"), F.lit("None").alias("gene_name"), F.lit("None").alias("gene_id"))
+    one = F.when(F.size("_rows") > 0, _folded(F.col("_rows"))).when(F.size("_alone") > 0, none)
+    return ids.select("id", F.explode(F.array(one)).alias("r")).filter("r IS NOT NULL").select("id", "r.annotation", "r.gene_name", "r.gene_id")
 
 
 def profile(points: DataFrame, bins: int, symmetric_about: Column | None = None) -> DataFrame:

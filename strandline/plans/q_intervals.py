@@ -9,7 +9,6 @@ from strandline.plans.fixtures import Book
 
 book = Book()
 QUERIES, ORACLES = book.queries, book.oracles
-SIZE = 500
 
 OV = "ov AS (SELECT a.id, a.pos, a.chrom, a.strand, a.feature, a.start_pos, a.end_pos, b.ref_pos, b.feature AS rf, b.gene_id, b.gene_name, b.gene_biotype, coalesce(b.transcript_biotype, 'Unknown') AS tb, least(a.end_pos, b.end_pos) - greatest(a.start_pos, b.start_pos) + 1 AS overlap FROM v_interval_a a JOIN v_interval_b b ON a.chrom = b.chrom AND a.strand = b.strand AND a.start_pos <= b.end_pos AND b.start_pos <= a.end_pos)"
 CDS = "cds AS (SELECT * FROM v_interval_b WHERE feature = 'CDS')"
@@ -21,12 +20,12 @@ merged AS (SELECT chrom, min(lo) AS lo, max(hi) AS hi FROM (SELECT *, sum(fresh)
 
 @book.query("jn1_overlaps", "v_interval_a", "v_interval_b", sql=f"WITH {OV} SELECT id, pos, ref_pos, overlap FROM ov")
 def _(a, b):
-    return iv.overlaps(a, b, size=SIZE).select("id", "pos", F.col("ref_ref_pos").alias("ref_pos"), "overlap")
+    return iv.overlaps(a, b).select("id", "pos", F.col("ref_ref_pos").alias("ref_pos"), "overlap")
 
 
 @book.query("jn2_not_overlapping", "v_interval_a", "v_interval_b", sql="SELECT id, pos FROM v_interval_a a WHERE NOT EXISTS (SELECT 1 FROM v_interval_b b WHERE a.chrom = b.chrom AND a.strand = b.strand AND a.start_pos <= b.end_pos AND b.start_pos <= a.end_pos)")
 def _(a, b):
-    return iv.not_overlapping(a, b, ["id", "pos", "start_pos", "end_pos"], SIZE).select("id", "pos")
+    return iv.not_overlapping(a, b, ["id", "pos", "start_pos", "end_pos"]).select("id", "pos")
 
 
 def coding(b):
@@ -60,15 +59,12 @@ def _(b):
 
 @book.query("rnk8_running_reach", "v_interval_b", sql="SELECT ref_pos, max(end_pos) OVER (PARTITION BY chrom ORDER BY start_pos, end_pos, ref_pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM v_interval_b")
 def _(b):
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("chrom").orderBy("start_pos", "end_pos", "ref_pos").rowsBetween(Window.unboundedPreceding, -1)
-    return b.select("ref_pos", F.max("end_pos").over(w).alias("reach"))
+    return iv.running_max(b.select("ref_pos", "chrom", "start_pos", "end_pos"), "chrom", ["start_pos", "end_pos", "ref_pos"], "end_pos", "reach").select("ref_pos", "reach")
 
 
 @book.query("jn3_inside_merged", "v_interval_a", "v_interval_b", sql=f"WITH {CDS}, {EXT}, {MERGED} SELECT id, pos, EXISTS (SELECT 1 FROM merged m WHERE m.chrom = a.chrom AND a.start_pos BETWEEN m.lo AND m.hi) AS in_cds FROM v_interval_a a")
 def _(a, b):
-    return iv.inside(a, "start_pos", iv.merged(spans(b)), "in_cds", SIZE).select("id", "pos", "in_cds")
+    return iv.inside(a, "start_pos", iv.merged(spans(b)), "in_cds").select("id", "pos", "in_cds")
 
 
 @book.query("jn4_shared_starts", "v_interval_a", "v_interval_b", sql=f"WITH {CDS}, {STARTS} SELECT id, pos FROM v_interval_a a WHERE EXISTS (SELECT 1 FROM starts s WHERE s.chrom = a.chrom AND s.bio_start = CASE WHEN a.strand = '+' THEN a.start_pos ELSE a.end_pos END)")
@@ -98,7 +94,7 @@ lab AS (SELECT id, pos, ref_pos, coalesce(gene_name, 'Unnamed') AS gene_name, ge
 
 @book.query("agg6_labels", "v_interval_a", "v_interval_b", sql=f"WITH {LABELLED} SELECT id, pos, ref_pos, annotation FROM lab")
 def _(a, b):
-    return iv.annotated_pairs(a, b, SIZE).select("id", "pos", "ref_pos", "annotation")
+    return iv.annotated_pairs(a, b).select("id", "pos", "ref_pos", "annotation")
 
 
 PRIORITY = "[" + ", ".join(f"'{p}'" for p in iv.PRIORITY) + "]"
@@ -109,7 +105,7 @@ FOLDED = f"""folded AS (SELECT id, list_reduce(list(struct_pack(annotation := an
 
 @book.query("agg7_resolved", "v_interval_a", "v_interval_b", sql=f"WITH {LABELLED}, {FOLDED} SELECT id, r.annotation AS annotation, r.gene_name AS gene_name, r.gene_id AS gene_id FROM folded")
 def _(a, b):
-    return iv.resolved(iv.annotated_pairs(a, b, SIZE))
+    return iv.resolved(iv.annotated_pairs(a, b))
 
 
 @book.query(
@@ -117,7 +113,7 @@ def _(a, b):
     sql=f"WITH {LABELLED}, {FOLDED} SELECT id, r.annotation AS annotation, r.gene_name AS gene_name, r.gene_id AS gene_id FROM folded UNION ALL SELECT DISTINCT id, 'intergenic', 'None', 'None' FROM v_interval_a a WHERE NOT EXISTS (SELECT 1 FROM ov WHERE ov.id = a.id AND ov.pos = a.pos AND ov.start_pos = a.start_pos AND ov.end_pos = a.end_pos) AND id NOT IN (SELECT id FROM folded)",
 )
 def _(a, b):
-    return iv.classified(a, b, ["id", "pos", "start_pos", "end_pos"], SIZE)
+    return iv.classified(a, b, ["id", "pos", "start_pos", "end_pos"])
 
 
 @book.query(
