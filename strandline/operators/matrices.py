@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandline.operators.ranks import medians
 from strandline.sources.storage import materialize
 
 
@@ -26,7 +27,8 @@ def per_million(df: DataFrame) -> DataFrame:
 
 
 def row_medians(df: DataFrame, value: str = "cpm") -> DataFrame:
-    return df.groupBy("feature").agg(F.median(value).alias("median"))
+    """The exact median of each feature; a feature of any number of samples is dealt by ranges."""
+    return medians(df, ["feature"], value, "median")
 
 
 def above_median(df: DataFrame, least: float, value: str = "cpm") -> DataFrame:
@@ -87,7 +89,8 @@ def size_factors(df: DataFrame) -> DataFrame:
     logs = df.filter(F.col("value") > 0).withColumn("_log", F.ln("value"))
     means = logs.groupBy("feature").agg(F.count("*").alias("_n"), F.avg("_log").alias("_mean"))
     means = _with_samples(means, df).filter(F.col("_n") == F.col("_samples")).select("feature", "_mean")
-    return logs.join(means, "feature").groupBy("sample").agg(F.exp(F.median(F.col("_log") - F.col("_mean"))).alias("size_factor"))
+    ratios = logs.join(means, "feature").select("sample", (F.col("_log") - F.col("_mean")).alias("_ratio"))
+    return medians(ratios, ["sample"], "_ratio", "_median").select("sample", F.exp("_median").alias("size_factor"))
 
 
 def base_means(df: DataFrame, factors: DataFrame) -> DataFrame:

@@ -15,20 +15,20 @@ def merge_sources(sources: dict[str, DataFrame], key: str = "sequence", null_saf
     """Full outer merge of all sources: their columns prefixed by name, and a flag ``<name>_present`` for each.
 
     A key that several rows of several sources have gives all their combinations. Null keys meet each other only if ``null_safe``.
+    All different keys are the spine that each source joins: its partitioning lasts through the joins, so that a source is shuffled once and the
+    growing table never is.
     """
     parts = []
     for name, df in sources.items():
         prefix = re.sub(r"[()]", "", name.replace(" ", "_")).replace("+", "_")
         parts.append(df.select(F.col(key), *(F.col(f"`{c}`").alias(f"{prefix}_{c}") for c in df.columns if c != key), F.lit(True).alias(f"{prefix}_present")))
-
-    def merged(a: DataFrame, b: DataFrame) -> DataFrame:
-        if not null_safe:
-            return a.join(b, key, "full_outer")
-        other = b.withColumnRenamed(key, "_key")
-        both = a.join(other, a[key].eqNullSafe(other["_key"]), "full_outer")
-        return both.withColumn(key, F.coalesce(key, "_key")).drop("_key")
-
-    out = reduce(merged, parts)
+    spine = reduce(DataFrame.unionByName, (p.select(key) for p in parts)).distinct()
+    out = spine if null_safe else spine.filter(F.col(key).isNotNull())
+    for p in parts:
+        other = p.withColumnRenamed(key, "_key")
+        out = out.join(other, out[key].eqNullSafe(other["_key"]) if null_safe else out[key] == other["_key"], "left").drop("_key")
+    if not null_safe:
+        out = reduce(lambda a, p: a.unionByName(p.filter(F.col(key).isNull()), allowMissingColumns=True), parts, out)
     return out.fillna(False, subset=[c for c in out.columns if c.endswith("_present")])
 
 

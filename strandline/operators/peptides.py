@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from strandline.functions import spectra as sp
 from strandline.functions.lists import decode_list
 from strandline.functions.predicates import pinned
+from strandline.operators.ranks import medians, null_safe
+from strandline.sources.storage import materialize
 
 # Purity that a candidate needs, candidates for each peptide, order of qualities.
 LEAST_PURITY, CANDIDATES = 0.5, 5
@@ -87,10 +89,13 @@ def rated(df: DataFrame) -> DataFrame:
 
 
 def score_report(df: DataFrame, facets: list[str]) -> DataFrame:
-    """Count, share and mean and median angle of all rows and of each value of each facet: grouping sets in one pass."""
+    """Count, share and mean and median angle of all rows and of each value of each facet: grouping sets in one pass, medians by ranges."""
     exploded = df.select("degrees", F.explode(F.array(F.struct(F.lit("all").alias("facet"), F.lit("").alias("value")), *(F.struct(F.lit(f).alias("facet"), F.col(f).cast("string").alias("value")) for f in facets))).alias("g"))
-    out = exploded.groupBy("g.facet", "g.value").agg(F.count("*").alias("n"), F.avg("degrees").alias("mean_degrees"), F.median("degrees").alias("median_degrees"))
-    total = df.agg(F.count("*").alias("_total"))
+    # what the figures are made of: different angles of each value, counted; the rows are read once
+    counted = materialize(exploded.groupBy("g.facet", "g.value", "degrees").agg(F.count("*").alias("_rows")), "angles")
+    sums = counted.groupBy("facet", "value").agg(F.sum("_rows").alias("n"), (F.sum(F.col("degrees") * F.col("_rows")) / F.sum(F.when(F.col("degrees").isNotNull(), F.col("_rows")))).alias("mean_degrees"))
+    out = null_safe(sums, medians(counted, ["facet", "value"], "degrees", "median_degrees", "_rows"), ["facet", "value"], "left")
+    total = sums.filter("facet = 'all'").agg(F.max("n").alias("_total"))
     return out.join(F.broadcast(total)).withColumn("percent", 100 * F.col("n") / F.col("_total")).drop("_total")  # one row
 
 

@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandline.functions.distributions import p_from_f, p_from_range, p_from_t, p_from_z
+from strandline.functions.distributions import p_from_f, p_from_range, p_from_t, p_from_z, range_critical
 from strandline.sources.storage import materialize
 
 #: Most features whose covariance (32 MB) the driver may hold; the products that replace it cost a job each.
@@ -42,17 +42,22 @@ def anova(df: DataFrame, with_p: bool = True) -> DataFrame:
     return out.withColumn("p", p_from_f(F.col("f"), d1, d2)) if with_p else out
 
 
-def tukey(df: DataFrame) -> DataFrame:
-    """All pairs of groups of each feature: ``difference`` (second less first) and the studentised-range ``p``."""
+def tukey(df: DataFrame, level: float = 0.95) -> DataFrame:
+    """All pairs of groups of each feature: ``difference`` (second less first), its simultaneous interval ``lower`` to ``upper``, ``q``, ``df`` and the studentised-range ``p``.
+
+    Figures but the difference are null where nothing varies inside groups or no degree of freedom is left.
+    """
     g = _moments(df, ["feature", "grp"])
     whole = g.groupBy("feature").agg(F.count("*").alias("k"), F.sum("n").alias("total"), F.sum((F.col("n") - 1) * F.col("var")).alias("ssw"))
     side = lambda i: g.select("feature", F.col("grp").alias(f"g{i}"), F.col("n").alias(f"n{i}"), F.col("mean").alias(f"m{i}"))
     pairs = side(1).join(side(2), "feature").filter("g1 < g2").join(whole, "feature")
-    free = F.col("total") - F.col("k")
+    free, difference = F.col("total") - F.col("k"), F.col("m2") - F.col("m1")
     ms = F.when((free > 0) & (F.col("ssw") > 0), F.col("ssw") / free)
-    q = F.abs(F.col("m2") - F.col("m1")) / F.sqrt(ms / 2 * (1 / F.col("n1") + 1 / F.col("n2")))
-    out = pairs.select("feature", F.concat_ws("-", "g2", "g1").alias("comparison"), (F.col("m2") - F.col("m1")).alias("difference"), q.alias("q"), F.col("k"), free.alias("df"))
-    return out.withColumn("p", p_from_range(F.col("q"), F.col("k"), F.col("df"))).drop("k")
+    error = F.sqrt(ms / 2 * (1 / F.col("n1") + 1 / F.col("n2")))
+    out = pairs.select("feature", F.concat_ws("-", "g2", "g1").alias("comparison"), difference.alias("difference"), error.alias("_error"), (F.abs(difference) / error).alias("q"), "k", free.alias("df"))
+    reach = range_critical(F.lit(1 - level), F.col("k"), F.col("df")) * F.col("_error")
+    out = out.withColumn("_reach", reach).withColumns({"lower": F.col("difference") - F.col("_reach"), "upper": F.col("difference") + F.col("_reach")})
+    return out.withColumn("p", p_from_range(F.col("q"), F.col("k"), F.col("df"))).drop("k", "_error", "_reach")
 
 
 def adjusted(df: DataFrame, p: str = "p", name: str = "q_value") -> DataFrame:

@@ -233,6 +233,20 @@ def _(m, s):
     return testing.adjusted(testing.tukey(grouped(m, s)))
 
 
+@book.query(
+    "sta3_two_groups", "v_matrix", "v_samples",
+    sql=f"""WITH {G}, d AS (SELECT feature, b.m - a.m AS difference, a.n + b.n - 2 AS df, (b.m - a.m) / nullif(sqrt(((a.n - 1) * a.v + (b.n - 1) * b.v) / nullif(a.n + b.n - 2, 0) * (1.0 / a.n + 1.0 / b.n)), 0) AS t
+        FROM (SELECT * FROM g WHERE grp = 'AD') a JOIN (SELECT * FROM g WHERE grp = 'Control') b USING (feature)),
+    e AS (SELECT *, {f_tail_sql('(t * t)', '1', 'df')} AS p FROM d)
+    SELECT feature, difference, round(abs(t) * sqrt(2), 6) AS q, round(p, 6) AS p, CASE WHEN abs(p - 0.05) > 1e-9 THEN p < 0.05 END AS excludes_zero FROM e""",
+)
+def _(m, s):
+    """With two groups the studentised range is a t test, and an interval leaves zero out where its p is below 0.05."""
+    out = testing.tukey(grouped(m, s.filter(F.col("grp").isin(*GROUPS))))
+    apart = F.when(F.abs(F.col("p") - 0.05) > 1e-9, (F.col("lower") > 0) | (F.col("upper") < 0))
+    return out.select("feature", "difference", F.round("q", 6).alias("q"), F.round("p", 6).alias("p"), apart.alias("excludes_zero"))
+
+
 @book.query("sta4_regressed", "v_matrix", "v_samples")
 def _(m, s):
     known = s.withColumns({"age": F.coalesce(cohorts.numeric_age(F.col("age_death")), F.lit(75.0)), "male": (F.col("sex") == "M").cast("double"), "pmi": F.coalesce("pmi", F.lit(10.0))})
