@@ -13,6 +13,8 @@ from strandline.sources.storage import materialize
 
 # Purity that a candidate needs, candidates for each peptide, order of qualities.
 LEAST_PURITY, CANDIDATES = 0.5, 5
+#: Characters of a run by which ids are searched for.
+GRAM = 4
 QUALITIES = ("Strong", "Moderate", "Weak", "Insufficient")
 
 
@@ -116,20 +118,57 @@ def _placed(df: DataFrame, text: str, lengths: DataFrame, name: str) -> DataFram
     return cut.withColumn(name, F.substring(F.col(text), F.col("at"), F.col("_n"))).drop("_lengths", "_n")
 
 
-def mentioned(df: DataFrame, text: str, ids: DataFrame, keep: list[str], most: int = 400) -> DataFrame:
+def _numbered(df: DataFrame, text: str) -> DataFrame:
+    """Each different text once with a number; stored, so that the numbers stay."""
+    texts = df.select(F.col(text).alias("_text")).dropna().distinct()
+    return materialize(texts.withColumn("_number", F.monotonically_increasing_id()), "texts")
+
+
+def _grams(df: DataFrame, text: str) -> DataFrame:
+    """``_place`` (from 1) and ``_gram`` of every run of GRAM characters of a text."""
+    places = F.when(F.length(text) >= GRAM, F.sequence(F.lit(1), F.length(text) - GRAM + 1))
+    return df.withColumn("_place", F.explode(places)).withColumn("_gram", F.substring(F.col(text), F.col("_place"), F.lit(GRAM)))
+
+
+def found_at(texts: DataFrame, wanted: DataFrame, anything: str | None = None) -> DataFrame:
+    """``_number``, ``at`` (from 1) and ``_want`` wherever a wanted id occurs in a numbered text; the character ``anything`` in an id stands for any one.
+
+    An inverted index holds each id under the one of its runs of GRAM characters that is rarest in the texts; the texts' runs are joined with it, and the ids that
+    begin where they should are compared. As many rows are shuffled as the texts have places, whatever the ids' number and lengths; an id one of
+    whose runs is in no text is dropped at once. Ids without a run (short ones, or ``anything`` in all of them) have no rows here.
+    """
+    runs = _grams(wanted.select("_want"), "_want")
+    runs = runs.filter(~F.col("_gram").contains(anything)) if anything else runs
+    places = _grams(texts, "_text").select("_number", "_place", "_gram")
+    counts = places.join(runs.select("_gram").distinct(), "_gram", "left_semi").groupBy("_gram").agg(F.count("*").alias("_n"))
+    known = runs.join(counts, "_gram", "left").withColumn("_n", F.coalesce("_n", F.lit(0)))
+    rarest = known.groupBy("_want").agg(F.min(F.struct("_n", "_gram", "_place")).alias("_run")).filter("_run._n > 0")
+    rarest = rarest.select("_want", F.col("_run._gram").alias("_gram"), F.col("_run._place").alias("_begin"))
+    near = places.join(rarest, "_gram").select("_number", "_want", (F.col("_place") - F.col("_begin") + 1).alias("at")).filter("at > 0").join(texts, "_number")
+    piece = F.substring(F.col("_text"), F.col("at"), F.length("_want"))
+    same = piece == F.col("_want")
+    if anything:
+        same = same | ((F.length(piece) == F.length("_want")) & F.forall(F.arrays_zip(F.split(piece, "").alias("a"), F.split("_want", "").alias("b")), lambda c: (c["b"] == anything) | (c["a"] == c["b"])))
+    return near.filter(same).select("_number", "at", "_want")
+
+
+def mentioned(df: DataFrame, text: str, ids: DataFrame, keep: list[str]) -> DataFrame:
     """A row for each different id that is found in a text when it is searched from the left for any of the ids, without overlaps.
 
     At a place where several ids begin, the first of them in ``ids``' order counts: column ``place`` if there is one, else the id itself. Each
-    different text is searched once: its substrings of the ids' lengths are joined with the ids, and the places found are walked from the left.
+    different text is searched once (:func:`found_at`; ids too short for it are joined with the texts' substrings of their at most GRAM - 1 lengths), and
+    the places found are walked from the left.
     """
-    wanted = ids.filter(F.length("gene_id") > 0).groupBy("gene_id").agg((F.min("place") if "place" in ids.columns else F.min("gene_id")).alias("_order"))
-    texts = df.select(F.col(text).alias("_text")).distinct()
-    hits = _placed(texts, "_text", wanted.select(F.length("gene_id").alias("n")), "gene_id").join(wanted, "gene_id")
-    first = hits.groupBy("_text", "at").agg(F.min_by("gene_id", "_order").alias("id"))
-    lists = first.groupBy("_text").agg(F.array_sort(F.collect_list(F.struct("at", "id"))).alias("_hits"))
+    wanted = ids.filter(F.length("gene_id") > 0).groupBy(F.col("gene_id").alias("_want")).agg((F.min("place") if "place" in ids.columns else F.min("gene_id")).alias("_order"))
+    texts = _numbered(df, text)
+    short = wanted.filter(F.length("_want") < GRAM)
+    apart = _placed(texts, "_text", short.select(F.length("_want").alias("n")), "_want").join(short.select("_want"), "_want").select("_number", "at", "_want")
+    hits = found_at(texts, wanted).unionByName(apart).join(wanted, "_want")
+    first = hits.groupBy("_number", "at").agg(F.min_by("_want", "_order").alias("id"))
+    lists = first.groupBy("_number").agg(F.array_sort(F.collect_list(F.struct("at", "id"))).alias("_hits"))
     start = F.struct(F.lit(1).alias("free"), F.array().cast("array<string>").alias("ids"))
     taken = F.aggregate("_hits", start, lambda s, h: F.when(h["at"] >= s["free"], F.struct((h["at"] + F.length(h["id"])).alias("free"), F.array_union(s["ids"], F.array(h["id"])).alias("ids"))).otherwise(s))
-    found = lists.select("_text", F.explode(taken["ids"]).alias("gene_id"))
+    found = lists.select("_number", F.explode(taken["ids"]).alias("gene_id")).join(texts, "_number").drop("_number")
     return df.join(found, F.col(text) == F.col("_text")).select(*keep, "gene_id")
 
 
@@ -167,19 +206,25 @@ def longest_prefix(df: DataFrame, name: str, prefixes: DataFrame, to: str = "grp
 def tolerant_ids(df: DataFrame, column: str, known: DataFrame, to: str = "row_name") -> DataFrame:
     """The known id that equals an id, else the first known id that holds it with each ``:`` standing for any character, else null.
 
-    The first is the one with the least ``place`` in ``known``, or the least id without that column. Only ids that equal none are searched for: the known
-    ids' substrings of their lengths, with any character at the places of ``:``, are joined with them.
+    The first is the one with the least ``place`` in ``known``, or the least id without that column. Only ids that equal none are searched for, inside the
+    known ids, by :func:`found_at`. Those of which no GRAM characters are without a ``:`` are joined apart, with the known ids' substrings of their
+    lengths, without the characters at the places of ``:``.
     """
     order = F.col("place") if "place" in known.columns else F.col("id")
     known = known.groupBy(F.col("id").alias("_id")).agg(F.min(order).alias("_order"))
     ids = df.select(F.col(column).alias("_want")).dropna().distinct()
     exact = ids.join(known, F.col("_want") == F.col("_id"), "left_semi").select("_want", F.col("_want").alias("_found"))
+    rest = ids.join(exact, "_want", "left_anti").filter(F.length("_want") > 0)
+    texts = _numbered(known, "_id")
+    inside = found_at(texts, rest, ":").join(texts, "_number").select("_want", F.col("_text").alias("_id")).join(known, "_id")
+    bare_run = rf"[^:]{{{GRAM}}}"
     # an id's form: its length, where its colons are, and what is left of it
     colons = F.expr("filter(transform(split(_want, ''), (c, i) -> CASE WHEN c = ':' THEN i + 1 END), i -> i IS NOT NULL)")
-    rest = ids.join(exact, "_want", "left_anti").filter(F.length("_want") > 0).withColumns({"_colons": colons, "_size": F.length("_want"), "_bare": F.replace(F.col("_want"), F.lit(":"), F.lit(""))})
+    rest = rest.filter(~F.col("_want").rlike(bare_run)).withColumns({"_colons": colons, "_size": F.length("_want"), "_bare": F.replace(F.col("_want"), F.lit(":"), F.lit(""))})
     forms = rest.select("_size", "_colons").distinct().agg(F.collect_list(F.struct("_size", "_colons")).alias("_forms"))  # one row of the different forms
     cut = known.join(F.broadcast(forms)).withColumn("_form", F.explode("_forms")).select("_id", "_order", "_form.*").filter("length(_id) >= _size")
     cut = cut.withColumn("_at", F.explode(F.expr("sequence(1, length(_id) - _size + 1)"))).withColumn("_piece", F.expr("substring(_id, _at, _size)"))
     bare = F.expr("array_join(filter(split(_piece, ''), (c, i) -> NOT array_contains(_colons, i + 1)), '')")
-    near = cut.withColumn("_bare", bare).join(rest, ["_size", "_colons", "_bare"]).groupBy("_want").agg(F.min_by("_id", "_order").alias("_found"))
+    apart = cut.withColumn("_bare", bare).join(rest, ["_size", "_colons", "_bare"])
+    near = inside.unionByName(apart.select("_want", "_id", "_order"), allowMissingColumns=True).groupBy("_want").agg(F.min_by("_id", "_order").alias("_found"))
     return df.join(exact.unionByName(near), F.col(column) == F.col("_want"), "left").withColumn(to, F.col("_found")).drop("_want", "_found")

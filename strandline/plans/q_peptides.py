@@ -193,12 +193,12 @@ def _(v):
 @book.query(
     "jn16_mentioned", "v_psm", "v_idmap",
     sql="""WITH pattern AS (SELECT string_agg(regexp_escape(gene_id), '|' ORDER BY gene_id) AS p FROM (SELECT DISTINCT gene_id FROM v_idmap)),
-    n AS (SELECT psm_id, 'sp|ENSG' || CAST(psm_id % 40 AS VARCHAR) || ';ENSGX' || CAST(psm_id % 7 AS VARCHAR) || ' x' AS protein FROM v_psm),
+    n AS (SELECT psm_id, 'sp|ENSG' || CAST(psm_id % 40 AS VARCHAR) || ';ENSGX' || CAST(psm_id % 7 AS VARCHAR) || ' x' || CAST(psm_id AS VARCHAR) AS protein FROM v_psm),
     found AS (SELECT protein, unnest(regexp_extract_all(protein, (SELECT p FROM pattern))) AS gene_id FROM (SELECT DISTINCT protein FROM n))
     SELECT DISTINCT psm_id, gene_id FROM n JOIN found USING (protein)""",
 )
 def _(v, ids):
-    named = v.withColumn("protein", F.concat(F.lit("sp|ENSG"), (F.col("psm_id") % 40).cast("string"), F.lit(";ENSGX"), (F.col("psm_id") % 7).cast("string"), F.lit(" x")))
+    named = v.withColumn("protein", F.concat(F.lit("sp|ENSG"), (F.col("psm_id") % 40).cast("string"), F.lit(";ENSGX"), (F.col("psm_id") % 7).cast("string"), F.lit(" x"), F.col("psm_id").cast("string")))
     return pep.mentioned(named, "protein", ids, ["psm_id"]).select("psm_id", "gene_id").distinct()
 
 

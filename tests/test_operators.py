@@ -271,6 +271,20 @@ def test_mentioned_ids_are_searched_for(spark):
     assert pep.mentioned(df, "protein", known.filter("false"), ["psm_id"]).count() == 0
 
 
+def test_ids_of_many_lengths(spark):
+    """Ids of 200 lengths, found at the ends of texts and inside each other; the rows to shuffle are the texts' places."""
+    from strandline.operators import peptides as pep
+
+    draw = random.Random(9)
+    word = lambda n: "".join(draw.choice("acgt") for _ in range(n))
+    ids = [word(n) for n in range(1, 201)]
+    texts = [word(30) + draw.choice(ids) + word(draw.randrange(9)) for _ in range(60)] + ids[::7] + [ids[50] + ids[90], ids[120][:-1], ids[120][1:]]
+    numbered = spark.createDataFrame(list(enumerate(texts)), "_number long, _text string")
+    got = pep.found_at(numbered, spark.createDataFrame([(x,) for x in ids], "_want string"))
+    want = {(i, k + 1, x) for i, t in enumerate(texts) for x in ids if len(x) >= pep.GRAM for k in range(len(t)) if t.startswith(x, k)}
+    assert {(r["_number"], r["at"], r["_want"]) for r in got.collect()} == want
+
+
 def test_tolerant_ids_are_searched_for(spark):
     """An id that equals none is found inside known ones, a colon standing for any character; the first known id counts."""
     import re
@@ -278,7 +292,7 @@ def test_tolerant_ids_are_searched_for(spark):
     from strandline.operators import peptides as pep
 
     known = ["GENE_chr1.5-9_x", "chr1:5-9", "chr2x77", "Achr2-77", "chr1_5-9", "q", "T+chr3.1", "ab"]
-    ids = ["chr1:5-9", "chr1:5-9_x", "chr2:77", "chr9:1", "T+chr3:1", "Tchr3:1", "a", "", None, "::", "b:b", "hr1:5-9"]
+    ids = ["chr1:5-9", "chr1:5-9_x", "chr2:77", "ENE_chr1:5", "hr1:5:9", "GENE:chr1", "GENE:chr2", "chr2-77:",  "chr9:1", "T+chr3:1", "Tchr3:1", "a", "", None, "::", "b:b", "hr1:5-9"]
     df = spark.createDataFrame(list(enumerate(ids)), "i long, want string")
     for order in (known, known[::-1]):
         table = spark.createDataFrame(list(enumerate(order)), "place long, id string")
