@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandline.functions.distributions import p_from_f, p_from_range, p_from_t, p_from_z, range_critical
+from strandline.operators import fits
 from strandline.sources.storage import materialize
 
 #: Most features whose covariance (32 MB) the driver may hold; the products that replace it cost a job each.
 COVARIANCE_FEATURES = 2000
+#: Most levels of a factor, and most samples of a count test, whose design is one row for every task (some 10 MB).
+MOST_LEVELS, MOST_SAMPLES = 100, 100_000
 
 
 def _moments(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -207,40 +209,40 @@ def outlying_samples(matrix: DataFrame, components: int = 5, limit: float = 3.0)
 
 
 def regressed(df: DataFrame, covariates: list[str], group: str, remove: list[str], boots: int = 5, seed: int = 1) -> DataFrame:
-    """Takes covariate effects out of each feature: medians of the coefficients of least-squares fits to seeded bootstrap samples.
+    """Takes covariate effects out of each feature: medians of the coefficients of least-squares fits to seeded Poisson bootstrap samples.
 
-    A feature's samples are one group; df has ``feature``, ``sample``, ``value``, the covariates and the group.
+    df has ``feature``, ``sample``, ``value``, the covariates and the group. How often a row is drawn is a hash of seed, feature, sample and draw, so
+    that all draws of all features are one aggregation and the same for any partitioning. Rows with a null in value or a covariate enter
+    no fit; a null group is none of the levels.
     """
-    levels = [r[0] for r in df.select(group).distinct().orderBy(group).collect()]  # a few diagnoses
-
-    def fit(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("sample")
-        x = np.column_stack([np.ones(len(rows)), rows[covariates].to_numpy(float), *((rows[group] == g).to_numpy(float) for g in levels[1:])])
-        y = rows["value"].to_numpy(float)
-        draw = np.random.default_rng([seed, *rows["feature"].iloc[0].encode()])
-        fits = [np.linalg.lstsq(x[i], y[i], rcond=None)[0] for i in (draw.integers(0, len(y), len(y)) for _ in range(boots))]
-        effect = np.median(fits, axis=0)
-        at = [1 + covariates.index(c) for c in remove]
-        return pd.DataFrame({"feature": rows["feature"], "sample": rows["sample"], "value": y - x[:, at] @ effect[at]})
-
-    return df.groupBy("feature").applyInPandas(fit, "feature string, sample string, value double")
+    levels = [r[0] for r in df.select(group).dropna().distinct().orderBy(group).limit(MOST_LEVELS + 1).collect()]
+    if len(levels) > MOST_LEVELS:
+        raise ValueError(f"{group} has more than {MOST_LEVELS} levels")
+    x = [F.lit(1.0), *(F.col(c).cast("double") for c in covariates), *(F.coalesce((F.col(group) == g).cast("double"), F.lit(0.0)) for g in levels[1:])]
+    known = df.dropna(subset=["value", *covariates]).withColumn("_draw", F.explode(F.sequence(F.lit(1), F.lit(boots))))
+    drawn = known.withColumn("_weight", fits.poisson_weight(F.lit(seed), F.col("feature"), F.col("sample"), F.col("_draw"))).filter("_weight > 0")
+    sums = drawn.groupBy("feature", "_draw").agg(*fits.cross_products(x, F.col("value"), F.col("_weight")))
+    effects = sums.select("feature", fits.solved()("_gram", "_side").alias("_beta"))
+    at = {c: 1 + covariates.index(c) for c in remove}
+    effects = effects.groupBy("feature").agg(*(F.median(F.get("_beta", F.lit(i))).alias(f"_e_{c}") for c, i in at.items()))  # a row for each draw
+    out = df.join(effects, "feature", "left")
+    return out.select("feature", "sample", (F.col("value") - sum((F.col(c) * F.col(f"_e_{c}") for c in remove), F.lit(0.0))).alias("value"))
 
 
 def without_effects(df: DataFrame, samples: DataFrame, nuisance: list[str], keep: list[str]) -> DataFrame:
     """Takes nuisance effects out of each feature by one linear fit, over the samples it has, that also has the columns to keep.
 
-    Samples with a null in a column go. The design is joined to the values; a feature's samples are one group.
+    Samples with a null in a column go, and null values. All features' normal equations are one aggregation; where a feature's samples don't
+    determine the effects, those of least norm are taken out.
     """
-    design = samples.select("sample", *nuisance, *keep).dropna()
-
-    def fit(rows: pd.DataFrame) -> pd.DataFrame:
-        effects = rows[nuisance + keep].to_numpy(float)
-        y = rows["value"].to_numpy(float)
-        x = np.column_stack([np.ones(len(rows)), effects - effects.mean(0)])
-        effect = np.linalg.lstsq(x, y, rcond=None)[0][1 : 1 + len(nuisance)]
-        return pd.DataFrame({"feature": rows["feature"], "sample": rows["sample"], "value": y - x[:, 1 : 1 + len(nuisance)] @ effect})
-
-    return df.select("feature", "sample", "value").join(design, "sample").groupBy("feature").applyInPandas(fit, "feature string, sample string, value double")
+    design = samples.select("sample", *(F.col(c).cast("double").alias(c) for c in (*nuisance, *keep))).dropna()
+    rows, names = df.select("feature", "sample", "value").dropna(subset=["value"]).join(design, "sample"), [*nuisance, *keep]
+    means = rows.groupBy("feature").agg(*(F.avg(c).alias(f"_m_{c}") for c in names), F.avg("value").alias("_m"))
+    centred = rows.join(means, "feature").withColumns({c: F.col(c) - F.col(f"_m_{c}") for c in names})
+    sums = centred.groupBy("feature").agg(*fits.cross_products([F.col(c) for c in names], F.col("value") - F.col("_m"), F.lit(1.0)))
+    effects = sums.select("feature", fits.solved()("_gram", "_side").alias("_beta"))
+    effect = sum((F.col(c) * F.get("_beta", F.lit(i)) for i, c in enumerate(nuisance)), F.lit(0.0))
+    return centred.join(effects, "feature").select("feature", "sample", (F.col("value") - effect).alias("value"))
 
 
 def count_design(factors: DataFrame, samples: DataFrame, covariates: list[str], group: str, first: str, second: str) -> DataFrame:
@@ -281,47 +283,31 @@ def dispersions(df: DataFrame, design: DataFrame, coefficients: int = 2) -> Data
 
 
 def count_tests(df: DataFrame, factors: DataFrame, samples: DataFrame, covariates: list[str], group: str, first: str, second: str, steps: int = 50) -> DataFrame:
-    """Negative-binomial Wald test of a group, a fit for each feature: ``base_mean``, ``log2fc``, ``se``, ``stat``, ``p``, ``dispersion``.
+    """Negative-binomial Wald test of a group: ``base_mean``, ``log2fc``, ``se``, ``stat``, ``p``, ``dispersion``, ``converged``.
 
-    The dispersion is the one moderated by the fitted trend (:func:`dispersions`); the fit reweights least squares to convergence with the sizes as offset.
-    Fold changes are not shrunk; there is no outlier replacement or independent filtering.
+    The dispersion is the one moderated by the fitted trend (:func:`dispersions`); all features are fitted together, a step an aggregation
+    (:func:`strandline.operators.fits.negative_binomial`), with the sizes as offset. A sample without a row counts 0: counts are as dense as features
+    times samples. Figures of the test are null for features without counts or with no more samples than coefficients. Fold changes are
+    not shrunk; there is no outlier replacement or independent filtering.
     """
-    chosen = count_design(factors, samples, covariates, group, first, second)
-    known = dispersions(df, chosen, 2 + len(covariates)).select("feature", F.col("moderated").alias("dispersion"))
-    df = df.select("feature", "sample", "value").join(known, "feature", "left")
-    wanted = df.sparkSession.sparkContext.broadcast(chosen.orderBy("sample").toPandas())
-
-    def fit(rows: pd.DataFrame) -> pd.DataFrame:
-        from strandline.functions.distributions import normal_tail
-
-        d = wanted.value.merge(rows[["sample", "value"]], on="sample", how="left")
-        y, size = d["value"].fillna(0).to_numpy(float), d["size_factor"].to_numpy(float)
-        scaled = d[covariates].to_numpy(float)
-        scaled = (scaled - scaled.mean(0)) / np.where(scaled.std(0, ddof=1) > 0, scaled.std(0, ddof=1), 1) if covariates else scaled
-        x = np.column_stack([np.ones(len(d)), scaled, (d[group] == second).to_numpy(float)])
-        norm = y / size
-        mean, a = norm.mean() if len(d) else 0.0, rows["dispersion"].iloc[0]
-        a = 1e-8 if pd.isna(a) else a  # a feature without rows in these samples
-        out = {"feature": rows["feature"].iloc[0], "base_mean": mean, "log2fc": None, "se": None, "stat": None, "p": None, "dispersion": a}
-        if mean > 0 and len(d) > x.shape[1]:
-            beta = np.zeros(x.shape[1])
-            beta[0] = np.log(mean)
-            for _ in range(steps):
-                mu = np.clip(size * np.exp(np.clip(x @ beta, -30, 30)), 1e-6, None)
-                w = mu / (1 + a * mu)
-                z = x @ beta + (y - mu) / mu
-                h = x.T @ (w[:, None] * x) + 1e-8 * np.eye(x.shape[1])
-                new = np.linalg.solve(h, x.T @ (w * z))
-                moved, beta = np.abs(new - beta).max(), new
-                if moved < 1e-8:
-                    break
-            se = np.sqrt(np.linalg.inv(h)[-1, -1])
-            stat = beta[-1] / se
-            out |= {"log2fc": beta[-1] / np.log(2), "se": se / np.log(2), "stat": stat, "p": float(normal_tail(np.array([stat]))[0])}
-        return pd.DataFrame([out])
-
-    schema = "feature string, base_mean double, log2fc double, se double, stat double, p double, dispersion double"
-    return df.groupBy("feature").applyInPandas(fit, schema)
+    chosen = materialize(count_design(factors, samples, covariates, group, first, second), "design")
+    known = dispersions(df, chosen, 2 + len(covariates)).select("feature", "base_mean", F.col("moderated").alias("dispersion"))
+    features = df.select("feature").distinct().join(known, "feature", "left")
+    features = materialize(features.select("feature", F.coalesce("base_mean", F.lit(0.0)).alias("base_mean"), F.coalesce("dispersion", F.lit(1e-8)).alias("dispersion")), "features")
+    spread = chosen.agg(F.count("*").alias("_n"), *(f(c).alias(f"_{n}_{c}") for c in covariates for n, f in (("m", F.avg), ("s", F.stddev_samp))))
+    scaled = {c: (F.col(c) - F.col(f"_m_{c}")) / F.when(F.col(f"_s_{c}") > 0, F.col(f"_s_{c}")).otherwise(1.0) for c in covariates}
+    design = chosen.join(F.broadcast(spread)).withColumns({**scaled, "_one": F.lit(1.0), "_second": (F.col(group) == second).cast("double")})  # one row
+    x = ["_one", *covariates, "_second"]
+    n = chosen.count()
+    if n > MOST_SAMPLES:
+        raise ValueError(f"more than {MOST_SAMPLES} samples in a count test")
+    listed = design.agg(F.collect_list(F.struct("sample", F.col("size_factor").alias("size"), *x)).alias("_samples"))  # one row of at most MOST_SAMPLES
+    tested = features.filter((F.col("base_mean") > 0) & F.lit(n > len(x)))
+    grid = tested.select("feature").join(F.broadcast(listed)).select("feature", F.inline("_samples"))
+    rows = grid.join(df.select("feature", "sample", "value"), ["feature", "sample"], "left").withColumn("y", F.coalesce("value", F.lit(0.0)))
+    fitted = fits.negative_binomial(rows, tested.withColumnRenamed("base_mean", "mean"), x, steps)
+    figures = fitted.select("feature", "converged", *(c.alias(k) for k, c in fits.wald(F.get("beta", F.lit(len(x) - 1)), F.col("factor")).items()))
+    return features.join(figures, "feature", "left").select("feature", "base_mean", "log2fc", "se", "stat", "p", "dispersion", "converged")
 
 
 def dispersion_trend(tested: DataFrame) -> DataFrame:

@@ -280,8 +280,7 @@ def _(m):
 
 @book.query("sta8_count_tests", "v_matrix", "v_samples")
 def _(m, s):
-    d = dense(m)
-    return testing.adjusted(testing.count_tests(d, matrices.size_factors(d), s, ["rin"], "grp", "Control", "AD"))
+    return testing.adjusted(testing.count_tests(m, matrices.size_factors(dense(m)), s, ["rin"], "grp", "Control", "AD"))
 
 
 @book.query(
