@@ -43,7 +43,8 @@ def test_oracle(spark, duck, name):
 @pytest.mark.parametrize("name", sorted(QUERIES.keys() - ORACLES.keys()))
 def test_runs(spark, name):
     df = QUERIES[name](spark, SF_DIR)
-    assert df.columns and df.count() >= 0  # the smallest tables have too few samples for some tests
+    rows = df.collect()
+    assert rows and len(set(map(str, rows))) > 1  # figures that depend on the rows
 
 
 def test_entry_needs_no_training_data_package(monkeypatch, spark):
