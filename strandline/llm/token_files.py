@@ -36,7 +36,7 @@ BLOCK = 512
 #: A segment ends with the document that brings it to so many ids.
 SEGMENT_IDS = 1 << 20
 #: Bytes of text whose words are held at once; bytes that a worker's words may take, what an entry takes besides its word and ids, and the longest word that is remembered.
-STEP, HELD_BYTES, ENTRY, LONG_WORD = 1 << 20, 128 << 20, 160, 64
+STEP, HELD_BYTES, ENTRY, LONG_WORD = 1 << 20, 160 << 20, 160, 64
 #: Words that are encoded at once; many more or fewer take longer.
 TOGETHER = 150
 BLANK = re.compile(rb"[\x20\x09-\x0D]")
@@ -193,14 +193,11 @@ class Encoder:
         if new:
             self._learn(new)
         out = [b"".join(map(known.__getitem__, ws)) for ws in words]
-        for w in new:
-            if len(w) > LONG_WORD:
+        for w in new:  # a full memory stays as it is: common words were met early
+            if len(w) > LONG_WORD or self.held > HELD_BYTES:
                 del known[w]
             else:
                 self.held += len(w) + len(known[w]) + ENTRY
-        if self.held > HELD_BYTES:
-            known.clear()
-            self.held = 0
         return out
 
     def encode(self, texts: list[bytes]) -> Iterator[bytes]:
