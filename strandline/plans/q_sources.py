@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from strandline.operators import evidence as ev
+from strandline.operators import merging
 from strandline.operators import peptides as pep
 from strandline.plans.fixtures import Book
 from strandline.plans.q_evidence import FLAGS, STATUS
-from strandline.plans.q_facets import DECODED
+from strandline.plans.q_facets import DECODED, MERGED
 from strandline.plans.q_peptides import spectra
 from strandline.plans.q_statistics import PAIRS, paired
 from strandline.sources import genomes, tables
@@ -45,10 +46,15 @@ def _(v):
     return tables.read_batches(v.sparkSession, batch_folders(v), "*.csv", BATCH_SCHEMA)
 
 
-@book.query("src3_filtered_scan", "v_psm", "v_peaks", sql="SELECT psm_id, peptide FROM v_psm WHERE peptide IN (SELECT 'PEPC' || CAST(vec_id AS VARCHAR) || 'K' FROM v_peaks)")
+WANTED = "w AS (SELECT 'PEPC' || CAST(vec_id AS VARCHAR) || 'K' AS peptide, 'b' || CAST(1 + label % 5 AS VARCHAR) AS batch FROM v_peaks)"
+
+
+@book.query("src3_filtered_scan", "v_psm", "v_peaks", sql=f"WITH {WANTED} SELECT psm_id, peptide, batch FROM v_psm WHERE peptide IN (SELECT peptide FROM w) AND batch IN (SELECT batch FROM w)")
 def _(v, peaks):
-    wanted = peaks.select(F.concat(F.lit("PEPC"), F.col("vec_id").cast("string"), F.lit("K")).alias("peptide"))
-    return tables.read_batches(v.sparkSession, batch_folders(v), "*.csv", BATCH_SCHEMA, wanted).select("psm_id", "peptide")
+    """Peptides are known from batches b1 to b5 of the first round: the others' files aren't opened."""
+    peptide, batch = F.concat(F.lit("PEPC"), F.col("vec_id").cast("string"), F.lit("K")), F.concat(F.lit("b"), (1 + F.col("label") % 5).cast("string"))
+    wanted = peaks.select(peptide.alias("peptide"), batch.alias("batch"))
+    return tables.read_batches(v.sparkSession, batch_folders(v), "*.csv", BATCH_SCHEMA, wanted).select("psm_id", "peptide", "batch")
 
 
 def gtf_lines(b):
@@ -136,20 +142,34 @@ def _(v):
     return v.sparkSession.read.parquet(path)
 
 
-@book.query("src16_cached_merge", "v_src_a", sql="SELECT sequence, count(*) AS n FROM v_src_a GROUP BY 1")
-def _(a):
-    source, path = scratch(a.sparkSession, "source"), scratch(a.sparkSession, "cache")
-    a.write.parquet(source)
-    build = lambda: a.sparkSession.read.parquet(source).groupBy("sequence").agg(F.count("*").alias("n"))
-    tables.cached(a.sparkSession, path, [source], build)
-    return tables.cached(a.sparkSession, path, [source], build)
+@book.query("src16_cached_merge", "v_src_a", "v_src_b", "v_src_c", sql=f"WITH {MERGED} SELECT sequence, a_row_id, a_gene_name, b_row_id, b_toxic, c_row_id, c_ucsc FROM merged")
+def _(a, b, c):
+    """Three sources are merged and stored; then rows come to one of them, and the stored table is refreshed."""
+    spark, path = a.sparkSession, scratch(a.sparkSession, "cache")
+    sources = {name: [scratch(spark, f"source_{name}")] for name in "abc"}
+    late = F.col("row_id") % 2 == 1
+    for name, df in (("a", a), ("b", b.filter(~late | late.isNull())), ("c", c)):
+        df.write.parquet(sources[name][0])
+    load = lambda name: spark.read.parquet(*sources[name])
+    tables.refreshed(spark, path, sources, load, merging.merge_sources)
+    b.filter(late).write.mode("append").parquet(sources["b"][0])
+    out = tables.refreshed(spark, path, sources, load, merging.merge_sources)
+    return out.select("sequence", "a_row_id", "a_gene_name", "b_row_id", "b_toxic", "c_row_id", "c_ucsc")
+
+
+DESCRIBED = {"sequence": "amino acids", "database": "where the row is from", "row_id": "number of the row"}
+DIGESTS = " UNION ALL ".join(
+    f"SELECT '{s}' AS name, {k} AS position, '{c}' AS column_name, {f"'{DESCRIBED[c]}'" if c in DESCRIBED else 'NULL'} AS description, count({c}) AS n_values, CAST(sum(CAST('0x' || substr(md5(CAST({c} AS VARCHAR)), 1, 8) AS BIGINT)) AS BIGINT) AS digest FROM {v}"
+    for s, v, cols in (("S1", "v_src_a", ("sequence", "gene_name", "database", "protein_length", "row_id")), ("S2", "v_src_b", ("sequence", "database", "toxic", "row_id")))
+    for k, c in enumerate(cols)
+)
 
 
-@book.query("src17_table_export", "v_src_a", "v_src_b", sql="SELECT name, position, column_name FROM (VALUES ('S1', 0, 'sequence'), ('S1', 1, 'gene_name'), ('S1', 2, 'database'), ('S1', 3, 'protein_length'), ('S1', 4, 'row_id'), ('S2', 0, 'sequence'), ('S2', 1, 'database'), ('S2', 2, 'toxic'), ('S2', 3, 'row_id')) AS t(name, position, column_name)")
+@book.query("src17_table_export", "v_src_a", "v_src_b", sql=DIGESTS)
 def _(a, b):
     path = scratch(a.sparkSession, "export")
-    tables.export_tables({"S1": (a, "first source"), "S2": (b, "second source")}, path)
-    return a.sparkSession.read.parquet(f"{path}/column_dictionary").select("name", "position", "column_name")
+    tables.export_tables({"S1": (a, "first source"), "S2": (b, "second source")}, path, DESCRIBED)
+    return a.sparkSession.read.parquet(f"{path}/column_dictionary").select("name", "position", "column_name", "description", "n_values", "digest")
 
 
 @book.query("src18_spectrum_assets", "v_assets", sql="SELECT path, split_part(path, '/', 2) AS quality, 'P' || CAST(page_id % 60 AS VARCHAR) AS peptide, '2' AS charge, CAST(page_id AS VARCHAR) AS scan FROM v_assets WHERE page_id % 3 = 0 AND page_id % 4 < 3 AND page_id % 5 <> 4")
