@@ -236,7 +236,8 @@ def near_groups(df: DataFrame, key: str = "doc_id", text: str = "text", least: f
     Two keys are linked if their texts share a band and the Jaccard similarity of their shingle sets, computed from the sets, is ``least`` or more,
     or if ``links`` (``a``, ``b``) says so. All pairs of a band bucket count. Texts with one set of shingles are one class. Each class is first
     compared with the smallest and the largest key of its buckets; then pairs that this left in different components are compared, except where
-    the sizes alone rule out the similarity. A pair inside a component can't change the result. Large buckets are split over tasks.
+    the sizes alone rule out the similarity. A pair inside a component can't change the result: rows of a bucket's largest component are sent once for each
+    piece of the rows outside it, and only the latter to all pieces. Large buckets are split over tasks.
     Rows without a key or without words have no links of their own; an empty table gives none.
     """
     own = Shelf()
@@ -263,9 +264,15 @@ def near_groups(df: DataFrame, key: str = "doc_id", text: str = "text", least: f
     # what is left of each bucket: its pairs with the smallest and the largest key are done
     inner = placed.filter("c <> low and c <> high").join(groups, F.col("c") == F.col("node"), "left").select("bucket", "c", F.coalesce("component", "c").alias("component"))
     inner = own.put(inner, "inner")
-    open_ = inner.groupBy("bucket").agg(F.count("*").alias("rows"), F.min("component").alias("first"), F.max("component").alias("last")).filter("first < last")
-    rest = inner.join(open_.select("bucket", F.ceil(F.col("rows") / SPLIT).cast("int").alias("pieces")), "bucket")
-    piece, other = F.pmod(F.xxhash64("c"), "pieces").cast("int"), F.explode(F.sequence(F.lit(0), F.col("pieces") - 1))
+    sizes = inner.groupBy("bucket", "component").agg(F.count("*").alias("n"))
+    open_ = sizes.groupBy("bucket").agg(F.count("*").alias("components"), F.sum("n").alias("rows"), F.max("n").alias("most"), F.max_by("component", F.struct("n", "component")).alias("largest"))
+    pieces = lambda rows: F.ceil(rows / SPLIT).cast("int")
+    open_ = open_.filter("components > 1").select("bucket", "largest", pieces(F.col("rows") - F.col("most")).alias("strange"), pieces(F.col("most")).alias("common"))
+    # rows of the largest component meet the others' pieces alone; the others meet all
+    rest, inside = inner.join(open_, "bucket"), F.col("component") == F.col("largest")
+    hashed = F.xxhash64("c")
+    piece = F.when(inside, F.col("strange") + F.pmod(hashed, "common")).otherwise(F.pmod(hashed, "strange")).cast("int")
+    other = F.explode(F.sequence(F.lit(0), F.col("strange") - 1 + F.when(inside, 0).otherwise(F.col("common"))))
     rest = rest.withColumn("piece", piece).withColumn("other", other).select("bucket", "c", "component", F.least("piece", "other").alias("i"), F.greatest("piece", "other").alias("j"), (F.col("piece") > F.col("other")).alias("upper"))
     sent = rest.join(grams.withColumnRenamed("k", "c"), "c").join(classes.select("c", "bands"), "c")
     more = own.put(sent.groupBy("bucket", "i", "j").applyInArrow(lambda table: _unconnected(table, least), "a long, b long").distinct(), "more")

@@ -64,6 +64,22 @@ def test_buckets_are_split(spark, monkeypatch):
     assert found == groups(texts)
 
 
+def test_strangers_in_a_large_bucket(spark, monkeypatch):
+    """A family of near copies that is one component, and strangers in its buckets: rows of the family are sent once for each piece of strangers."""
+    monkeypatch.setattr(minhash, "SPLIT", 5)
+    draw = random.Random(5)
+    base = [f"w{draw.randrange(10**9)}" for _ in range(400)]
+    copies = [edited(draw, base, draw.sample(range(10, 390), 3)) for _ in range(60)]
+    # half of the words are the family's: some bands are shared, the similarity is below 0.8
+    strangers = [" ".join(base[:300] + [f"x{draw.randrange(10**9)}" for _ in range(100)]) for _ in range(12)]
+    twin = strangers[4].split()
+    strangers.append(edited(draw, twin, draw.sample(range(10, 390), 2)))
+    texts = dict(enumerate([strangers[0], *copies[:30], *strangers[1:9], *copies[30:], *strangers[9:]]))
+    found = {r.node: r.component for r in minhash.near_groups(spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)).collect()}
+    want = groups(texts)
+    assert {i: found.get(i, i) for i in texts} == want and len(set(want.values())) > 10
+
+
 def test_members_of_simhash_groups_link_too(spark):
     """A copy of a member of a SimHash group that is not its smallest id goes with the group."""
     base = " ".join(["word"] * 3000)
