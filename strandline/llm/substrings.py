@@ -6,7 +6,7 @@ Documents are dealt into blocks. Three passes over the blocks, whose texts are s
    A block's count-min sketch of its anchors (by document) is sparse: the sorted list of the counters it touches, gaps coded in
    about ten bits. Sketches are merged by ranges of counters, and each block is told which of its counters reached two. No window that
    occurs in two documents is lost, as its anchor counts at least as often.
-2. *Exact count.* A block lists its windows whose anchor is estimated repeated: a 128-bit hash (two polynomials over word hashes of two
+2. *Exact count.* A block lists its windows whose anchor is estimated repeated: a 128-bit hash (two trees of mixed sums over word hashes of two
    seeds) and the smallest document, once for each different window. Ranges of hashes are merged, and each block is told where another block has a smaller document. A window that very
    many documents share comes once from each block.
 3. *Removal.* The block marks the covered words.
@@ -35,19 +35,19 @@ NO_KEY = np.iinfo(np.int64).max
 
 
 def rolling(hashes: np.ndarray, size: int, base: int) -> np.ndarray:
-    """Polynomial hash of every run of ``size`` values, by doubling."""
+    """Hash of every run of ``size`` values, by doubling; both halves' hashes are mixed, as pure polynomials modulo 2^64 confuse some long runs under every base."""
     out, power, length = None, hashes, 1
     done, factor = 0, base  # factor: base to the power of length
     while True:
         if size & length:
             here = power[done:]
-            out = here if out is None else out[: len(here)] * np.uint64(factor) + here[: len(out)]
+            out = here if out is None else mixed(out[: len(here)] * np.uint64(factor) + here[: len(out)])
             done += length
         if done == size:
             return mixed(out)
         if len(power) <= length:
             return np.zeros(0, np.uint64)
-        power = power[:-length] * np.uint64(factor) + power[length:]
+        power = mixed(power[:-length] * np.uint64(factor) + power[length:])
         factor, length = factor * factor & 0xFFFFFFFFFFFFFFFF, 2 * length
 
 
