@@ -27,8 +27,8 @@ from strandline.llm.common import fresh
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Never dies.
 FOREVER = 1 << 30
-#: Words kept by a worker before it starts anew: bounds its memory, not the result.
-CACHE_WORDS = 1_000_000
+#: Bytes that a worker's remembered words may take, what an entry takes besides its word and ids, and the longest word, in characters, that is remembered. They bound its memory, not the result.
+HELD_BYTES, ENTRY, LONG_WORD = 160 << 20, 180, 64
 
 
 def byte_characters() -> dict[str, int]:
@@ -192,14 +192,12 @@ class Encoder:
     def __init__(self, vocabulary: Vocabulary):
         import regex
 
-        self.v, self.known = vocabulary, {}
+        self.v, self.known, self.held = vocabulary, {}, 0
         self.words = regex.compile(PATTERN).findall
         self.cut = regex.compile("(" + "|".join(regex.escape(t) for t in sorted(vocabulary.special, key=len, reverse=True)) + ")").split if vocabulary.special else lambda t: [t]
 
     def encode_batch(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
-        if len(self.known) > CACHE_WORDS:
-            self.known.clear()
         known, special = self.known, self.v.special
         cut = [self.cut(t) if any(s in t for s in special) else [t] for t in texts]
         found = [[[p] if p in special and k % 2 else self.words(p) for k, p in enumerate(parts)] for parts in cut]
@@ -210,6 +208,11 @@ class Encoder:
         for parts in found:
             ids = [np.array([special[ws[0]]], "<u4").tobytes() if k % 2 else b"".join([known[w] for w in ws]) for k, ws in enumerate(parts)]
             out.append(b"".join(ids))
+        for w in new:  # a full memory stays as it is: common words were met early
+            if len(w) > LONG_WORD or self.held > HELD_BYTES:
+                del known[w]
+            else:
+                self.held += 4 * len(w) + len(known[w]) + ENTRY
         return out
 
     def decode(self, ids: bytes) -> str:

@@ -11,6 +11,7 @@ given to single documents.
 from __future__ import annotations
 
 import math
+import warnings
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -97,6 +98,10 @@ def balance(cells: DataFrame, wanted: DataFrame, cap: int = CAP) -> DataFrame:
         done = F.col("done") | (F.abs(over) <= F.greatest(F.lit(0.25), CLOSE * F.col("target")))
         new = {"multiplier": F.when(done, F.col("multiplier")).otherwise(moved), "low": low, "high": high, "done": done}
         state = kept.put(step.select("source", *((new[c].alias(c) if c in new else F.col(c)) for c in carried)))
+    else:
+        left = state.filter(~F.col("done")).count()
+        if left:
+            warnings.warn(f"{left} sources are not balanced after {STEPS} steps", stacklevel=2)
     return state.select("source", "source_size", "target", "scale", "multiplier")
 
 

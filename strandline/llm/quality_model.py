@@ -124,7 +124,8 @@ def fit(df: DataFrame, labels: DataFrame, usable: Column, key: str = "doc_id", t
     """Trains on labelled rows that are usable.
 
     max_rows bounds the sample, in expectation: rows whose hashed key falls below max_rows over the number of usable labels.
-    A key with several labels counts as 1 if their mean is at least one half; null keys and labels are left out. The sample's
+    A key with several labels counts as 1 if their mean is at least one half; null keys and labels are left out. Of rows that share a key the
+    one with the least text counts (a null text is empty), so that repeated keys don't enlarge the sample. The sample's
     keys, of bounded number, are broadcast to the scan of the texts.
     """
     one = labels.select(F.col(key).alias("key"), F.col(label).cast("double").alias("y")).dropna().groupBy("key").agg((F.avg("y") >= 0.5).cast("int").alias("y"))
@@ -132,7 +133,8 @@ def fit(df: DataFrame, labels: DataFrame, usable: Column, key: str = "doc_id", t
     share = max_rows / max(1, one.count())
     if share < 1:
         one = one.filter(F.pmod(F.xxhash64("key"), F.lit(1 << 30)) < int(share * (1 << 30)))
-    texts = df.select(F.col(key).alias("key"), F.col(text).alias("text")).join(F.broadcast(one), "key")
+    texts = df.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text")).join(F.broadcast(one), "key")
+    texts = texts.groupBy("key", "y").agg(F.min("text").alias("text"))
     rows = _measured(texts, ["key", "y"], "text").select("key", "y", "features").toArrow().sort_by("key")
     x = np.array(rows["features"].to_pylist(), np.float64).reshape(rows.num_rows, len(FEATURES))
     return train(x, rows["y"].to_numpy().astype(np.float64))

@@ -68,6 +68,12 @@ def test_mixing(docs, rows, empty):
     assert mixing.mix(empty).count() == 0
 
 
+def test_mixing_says_that_it_was_stopped(docs, monkeypatch):
+    monkeypatch.setattr(mixing, "STEPS", 1)
+    with pytest.warns(UserWarning, match="not balanced"):
+        mixing.mix(docs)
+
+
 def test_mixing_splits_hot_cells(spark):
     rows = [(i, "w " * 10, None, "hot", 0) for i in range(9000)] + [(9000 + i, "w " * 10, None, "other", 0) for i in range(50)]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
@@ -129,6 +135,17 @@ def test_quality_model_rows(spark, docs, rows, empty, sf_dir):
     assert set(none.score(np.zeros((3, len(quality_model.FEATURES))))) == {0.5}
 
 
+def test_a_repeated_id_counts_once_in_the_sample(spark, docs, sf_dir, monkeypatch):
+    from pyspark.sql import functions as F
+
+    labels, seen = spark.read.parquet(f"{sf_dir}/labels.parquet"), []
+    monkeypatch.setattr(quality_model, "train", lambda x, y: seen.append((x.tolist(), y.tolist())))
+    one = docs.filter("doc_id is not null").groupBy("doc_id").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))
+    quality_model.fit(one, labels, F.lit(True))
+    quality_model.fit(one.unionByName(one).unionByName(one.withColumn("text", F.concat("text", F.lit(" more")))).repartition(3), labels, F.lit(True))
+    assert seen[0] == seen[1] and seen[0][1]
+
+
 def test_trees_walk():
     draw = np.random.default_rng(0)
     x, y = draw.normal(size=(400, 5)), draw.integers(0, 2, 400).astype(float)

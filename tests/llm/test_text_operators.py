@@ -71,6 +71,28 @@ def test_words_that_polynomials_confuse(spark, steps):
     assert Counter((r.doc_id, r.n_words, r.n_removed, r.kept) for r in got.collect()) == brute_substrings(rows)
 
 
+@pytest.mark.parametrize("window", [1, 2, 7, 64, 1024])
+def test_windows_of_any_length(spark, window):
+    """Sequences of two words on which pure polynomials agree from 1024 words on, and their repeats."""
+    one, other = (" ".join(thue_morse(10, x).decode()) for x in (b"a", b"b"))
+    rows = [(0, one), (1, other), (2, "x " + other + " y"), (3, one + " " + one), (4, "a b"), (5, None)]
+    got = substrings.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), window=window)
+    assert Counter((r.doc_id, r.n_words, r.n_removed, r.kept) for r in got.collect()) == brute_substrings(rows, window)
+
+
+@pytest.mark.parametrize("size", [3, 50, 512, 1024, 2048])
+def test_rolling_tells_runs_apart(size):
+    words = np.frombuffer(thue_morse(12, b"a"), np.uint8)
+    h = np.array([0x1234567, 0x89ABCDEF], np.uint64)[words - ord("a")]
+    for base in hashing.BASES:
+        got = substrings.rolling(h, size, base)
+        runs = {}
+        for i, v in enumerate(got.tolist()):
+            runs.setdefault(v, set()).add(words[i : i + size].tobytes())
+        assert len(got) == len(words) - size + 1 and all(len(x) == 1 for x in runs.values())
+        assert len(runs) == len({words[i : i + size].tobytes() for i in range(len(got))})
+
+
 def test_ranges_stay_bounded():
     for total in (1 << 20, 1 << 36, 1 << 47):
         assert total / substrings._ranges(total, (8 << 20, 32 << 20)) <= 32 << 20
@@ -101,6 +123,20 @@ def test_bpe_equals_the_library(docs, rows, empty):
     assert bpe.encode(empty, vocabulary_path()).count() == 0
 
 
+def test_bpe_remembers_so_many_bytes(monkeypatch):
+    from tokenizers import Tokenizer
+
+    library, encoder = Tokenizer.from_file(vocabulary_path()), bpe.Encoder(bpe.load(vocabulary_path()))
+    monkeypatch.setattr(bpe, "HELD_BYTES", 20_000)
+    draw = np.random.default_rng(4)
+    for _ in range(6):  # words of up to 3000 letters, and more short ones than are remembered
+        texts = [" ".join("".join(draw.choice(list("abcxyz"), n)) for n in draw.integers(1, top, 40)) for top in (8, 8, 3000)]
+        want = [np.array(e.ids, "<u4").tobytes() for e in library.encode_batch(texts, add_special_tokens=False)]
+        assert encoder.encode_batch(texts) == want
+        assert max(map(len, encoder.known)) <= bpe.LONG_WORD
+    assert sum(4 * len(w) + len(t) + bpe.ENTRY for w, t in encoder.known.items()) == encoder.held < 21_000
+
+
 def test_bpe_compatibility_is_exact():
     from tokenizers import Tokenizer
 
