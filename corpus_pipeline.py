@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandline.llm.bpe import encode
-from strandline.llm.common import fresh, materialize, table
+from strandline.llm.common import Latest, fresh, table
 from strandline.llm.minhash import near_groups
 from strandline.llm.mixing import mix
 from strandline.llm.q_bpe import vocabulary_path
@@ -107,8 +107,8 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; what each returns is stored before the next reads it."""
-    docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir), name)
+    """All stages over ``documents``; what each returns is stored before the next reads it, and deleted once the next is stored."""
+    docs, kept = table(spark, sf_dir, "documents"), Latest("stage")
+    for _, stage in STAGES:
+        docs = kept.put(stage(spark, docs, sf_dir))
     return docs
