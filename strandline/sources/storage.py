@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from concurrent.futures import ThreadPoolExecutor
+from itertools import islice
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -31,6 +33,31 @@ def delete(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def rename_endings(spark: SparkSession, folder: str, old: str, new: str, threads: int = 16, at_once: int = 10_000) -> int:
+    """Gives the files of a folder whose names end with ``old`` the ending ``new``; returns their number. Names are listed ``at_once`` at a time; a rename that fails is an error."""
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    at = path(folder)
+    system = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+    def names():
+        found = system.listStatusIterator(at)
+        while found.hasNext():
+            name = found.next().getPath().getName()
+            if name.endswith(old):
+                yield name
+
+    def rename(name: str) -> None:
+        to = name.removesuffix(old) + new
+        if not system.rename(path(at, name), path(at, to)):
+            raise OSError(f"{folder}/{name} could not be renamed to {to}")
+
+    number, left = 0, names()
+    with ThreadPoolExecutor(threads) as pool:
+        while some := list(islice(left, at_once)):
+            number += len(list(pool.map(rename, some)))
+    return number
+
+
 def _stored(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     path = scratch(df.sparkSession, name)
     df.write.parquet(path)

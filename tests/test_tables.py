@@ -105,3 +105,14 @@ def test_the_export_describes_what_was_written(spark, tmp_path):
         ("S1", 1, "a b", "int", None, 2, digest("1", "3")),
         ("S2", 0, "name", "string", "what it is called", 0, 0),
     ]
+
+
+def test_endings_are_renamed(spark, tmp_path):
+    from strandline.sources.storage import rename_endings
+
+    for i in range(25):
+        (tmp_path / f"part-{i}.txt").write_text(str(i))
+    (tmp_path / "_SUCCESS").write_text("")
+    assert rename_endings(spark, f"file://{tmp_path}", ".txt", ".rows", at_once=10) == 25
+    assert {f.name: f.read_text() for f in tmp_path.iterdir()} == {f"part-{i}.rows": str(i) for i in range(25)} | {"_SUCCESS": ""}
+    assert rename_endings(spark, f"file://{tmp_path}", ".txt", ".rows") == 0
