@@ -3,6 +3,9 @@
 An archive is a folder of two parts. ``records`` holds WARC files: a response record with its payload, or a revisit record
 that refers to the response with the same payload. ``headers`` holds, as Parquet, the exact header of every original response
 record and the SHA-256 of its payload. Joining both restores the original records.
+
+A file is named ``.warc.gz``, begins with a warcinfo record and has a gzip member for each record, so that tools can seek to
+any of them. Spark's text writer stores the files, so that tasks that fail or run twice leave none behind.
 """
 
 from __future__ import annotations
@@ -10,12 +13,15 @@ from __future__ import annotations
 import hashlib
 import zlib
 from collections.abc import Iterator
+from urllib.parse import quote
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandline.llm.common import materialize
+from strandline.sources.storage import rename_endings
 
 CRLF = "\r\n"
 #: Payloads below this size are stored again: a revisit would not be smaller.
@@ -24,7 +30,7 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "1970-01-01T00:00:00Z"
 #: Characters a header line can't hold, and their escapes.
 UNSAFE = {"\r": "%0D", "\n": "%0A", "\t": "%09", " ": "%20"}
-#: Bytes of records in a file, on average; bytes that are unpacked at a time.
+#: Bytes of records in a file, before they are zipped, but for a larger record that has a file alone; bytes that are unpacked at a time.
 FILE_BYTES, STEP = 64 << 20, 1 << 14
 
 
@@ -36,7 +42,7 @@ def _header(kind: str, row: dict[str, Column], more: list[Column], block_bytes:
     line = lambda name, value: F.concat(F.lit(f"{name}: "), value, F.lit(CRLF))
     return F.concat(
         F.lit(f"WARC/1.1{CRLF}WARC-Type: {kind}{CRLF}"),
-        line("WARC-Record-ID", _urn(row["id"])),
+        line("WARC-Record-ID", _urn(row["id"], row["url"], row["sha256"])),
         line("WARC-Date", F.lit(DATE)),
         line("WARC-Target-URI", row["url"]),
         line("WARC-Payload-Digest", F.concat(F.lit("sha256:"), row["sha256"])),
@@ -47,18 +53,55 @@ def _header(kind: str, row: dict[str, Column], more: list[Column], block_bytes:
     )
 
 
-def _urn(record: Column) -> Column:
-    return F.concat(F.lit("<urn:page:"), F.coalesce(record.cast("string"), F.lit("null")), F.lit(">"))
+def _urn(record: Column, url: Column, sha256: Column) -> Column:
+    """An id that different rows never share, also where they share their key."""
+    key = F.coalesce(record.cast("string"), F.lit("null"))
+    for char, code in UNSAFE.items():
+        key = F.replace(key, F.lit(char), F.lit(code))
+    return F.concat(F.lit("<urn:page:"), key, F.lit(":"), F.substring(F.sha2(F.concat(sha256, url), 256), 1, 32), F.lit(">"))
+
+
+def _member(record: bytes) -> bytes:
+    zipped = zlib.compressobj(wbits=31)
+    return zipped.compress(record) + zipped.flush()
+
+
+def _about(name: str) -> bytes:
+    """The warcinfo record that a file begins with."""
+    text = f"software: strandline{CRLF}format: WARC File Format 1.1{CRLF}"
+    lines = ["WARC/1.1", "WARC-Type: warcinfo", f"WARC-Record-ID: <urn:archive:{name}>", f"WARC-Date: {DATE}"]
+    lines += ["Content-Type: application/warc-fields", f"Content-Length: {len(text)}", "", text]
+    return (CRLF.join(lines) + CRLF + CRLF).encode()
 
 
-def write_archive(pages: DataFrame, path: str, key: str = "page_id", url: str = "url", payload: str = "html", least_bytes: int = LEAST_BYTES) -> None:
+def _files(records: Iterator[bytes], name: str, file_bytes: int) -> Iterator[bytes]:
+    """Whole files of gzip members, but for a last byte that is 0 and that the writer adds as the end of its line."""
+    members, size, number = [], 0, 0
+
+    def file() -> bytes:
+        # a member ends with its length, lowest byte first: from 16 MiB on the last byte may not be 0, and an empty member ends the file
+        return b"".join(members if members[-1][-1] == 0 else [*members, _member(b"")])[:-1]
+
+    for record in records:
+        if size and size + len(record) > file_bytes:
+            yield file()
+            members, size, number = [], 0, number + 1
+        if not members:
+            members.append(_member(_about(f"{name}:{number}")))
+        members.append(_member(record))
+        size += len(record)
+    if members:
+        yield file()
+
+
+def write_archive(pages: DataFrame, path: str, key: str = "page_id", url: str = "url", payload: str = "html", least_bytes: int = LEAST_BYTES, file_bytes: int = FILE_BYTES) -> None:
     """Writes an archive of all rows.
 
     Among rows with equal payloads (by SHA-256 and length) of at least ``least_bytes``, the largest key is the response and the
     others are revisits of it; smaller payloads are responses all. A null payload is empty, a null url too; rows with null keys
-    refer to others but are not referred to; repeated rows give repeated records; other columns are ignored; an empty table
-    gives an archive without records. Payloads are shuffled once, by key; what is grouped by payload are digests, which Spark
-    can split where many rows share one. A file holds so many records that it has about FILE_BYTES of them.
+    refer to others but are not referred to; rows that are equal in all three columns are one record, written as often; other
+    columns are ignored; an empty table gives an archive without records. Payloads are shuffled once, by key; what is grouped by
+    payload are digests, which Spark can split where many rows share one. A task cuts its files by their records' bytes.
     """
     safe = F.coalesce(F.col(url), F.lit(""))
     for char, code in UNSAFE.items():
@@ -67,7 +110,10 @@ def write_archive(pages: DataFrame, path: str, key: str = "page_id", url: str =
     rows = pages.select(F.col(key).alias("record_id"), safe.alias("url"), body.alias("payload"))
     rows = rows.withColumn("sha256", F.sha2("payload", 256))
     facts = materialize(rows.select("record_id", "url", "sha256", F.octet_length("payload").cast("long").alias("bytes")), "digests")
-    first = facts.filter(F.col("bytes") >= least_bytes).groupBy("sha256", "bytes").agg(F.max("record_id").alias("first_id"))
+    first = facts.filter(F.col("bytes") >= least_bytes).groupBy("sha256", "bytes").agg(
+        F.max(F.when(F.col("record_id").isNotNull(), F.struct("record_id", "url"))).alias("first")
+    )
+    first = first.select("sha256", "bytes", F.col("first.record_id").alias("first_id"), F.col("first.url").alias("first_url"))
     known = facts.join(first, ["sha256", "bytes"], "left")
     revisit = F.col("first_id").isNotNull() & ~F.col("record_id").eqNullSafe(F.col("first_id"))
     row = {"id": F.col("record_id"), "url": F.col("url"), "sha256": F.col("sha256")}
@@ -76,6 +122,7 @@ def write_archive(pages: DataFrame, path: str, key: str = "page_id", url: str =
         "record_id", "url", "sha256", "bytes",
         F.when(revisit, "revisit").otherwise("response").alias("record_type"),
         F.when(revisit, F.col("first_id")).alias("refers_to"),
+        F.when(revisit, _urn(F.col("first_id"), F.col("first_url"), F.col("sha256"))).alias("refers_to_record"),
         F.concat(_header("response", row, [], F.octet_length(http) + F.col("bytes")), http).alias("header"),
     )
     known.write.parquet(f"{path}/headers")
@@ -83,12 +130,20 @@ def write_archive(pages: DataFrame, path: str, key: str = "page_id", url: str =
     responses = headers.filter("record_type = 'response'").select("record_id", "url", "sha256", "header").dropDuplicates(["record_id", "url", "sha256"])
     same = [rows[c].eqNullSafe(responses[c]) for c in ("record_id", "url")] + [rows["sha256"] == responses["sha256"]]
     full = rows.join(responses, same).select(F.concat("header", "payload").alias("value"))
-    more = [F.lit(f"WARC-Profile: {PROFILE}{CRLF}WARC-Refers-To: "), _urn(F.col("refers_to")), F.lit(CRLF)]
+    more = [F.lit(f"WARC-Profile: {PROFILE}{CRLF}WARC-Refers-To: "), F.col("refers_to_record"), F.lit(CRLF)]
     short = headers.filter("record_type = 'revisit'").select(F.concat(_header("revisit", row, more, F.octet_length(http)), http).alias("value"))
-    # a WARC record ends with two line ends: the text writer's separator
-    mean = facts.agg(F.avg("bytes")).first()[0] or 0.0
-    each = max(1, int(FILE_BYTES / (mean + 500)))
-    full.unionByName(short).write.option("lineSep", CRLF + CRLF).option("compression", "gzip").option("maxRecordsPerFile", each).text(f"{path}/records")
+    records = full.unionByName(short).select(F.concat("value", F.lit(CRLF + CRLF)).cast("binary").alias("value"))
+    name = quote(path.rstrip("/").rsplit("/", 1)[-1])
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        values = (value.as_py() for batch in batches for value in batch.column(0))
+        for file in _files(values, f"{name}:{TaskContext.get().partitionId()}", file_bytes):
+            yield pa.RecordBatch.from_arrays([pa.array([file], pa.binary())], names=["value"])
+
+    # a row is a file; Spark keeps the bytes of a string as they are
+    files = records.mapInArrow(pack, "value binary").select(F.col("value").cast("string").alias("value"))
+    files.write.option("lineSep", "\0").option("maxRecordsPerFile", 1).text(f"{path}/records")
+    rename_endings(pages.sparkSession, f"{path}/records", ".txt", ".warc.gz")
 
 
 def _records(chunks: Iterator[bytes]) -> Iterator[tuple[bytes, bytes]]:

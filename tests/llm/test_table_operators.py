@@ -87,8 +87,10 @@ def test_archive(spark, sf_dir, tmp_path):
     path = scratch(spark, "archive-test")
     warc.write_archive(pages, path)
     records = warc.read_warc(spark, f"{path}/records").collect()
-    assert Counter(r.record_type for r in records) == {"response": 6, "revisit": 1}
-    assert [(r.record_id, r.refers_to) for r in records if r.record_type == "revisit"] == [("<urn:page:1>", "<urn:page:3>")]
+    kinds = Counter(r.record_type for r in records)
+    assert kinds.pop("warcinfo") >= 1 and kinds == {"response": 6, "revisit": 1}
+    by_page = {int(r.record_id.split(":")[2]): r for r in records if r.record_type != "warcinfo"}
+    assert by_page[1].record_type == "revisit" and by_page[1].refers_to == by_page[3].record_id and len({r.record_id for r in records}) == len(records)
     for r in warc.restore(spark, path).collect():
         payload = (rows[r.record_id].html or "").encode()
         assert bytes(r.payload) == payload and r.payload_bytes == len(payload) and r.payload_sha1 == hashlib.sha1(payload).hexdigest()
@@ -106,6 +108,43 @@ def test_archive(spark, sf_dir, tmp_path):
     assert warc.restore(spark, path).count() == 0
 
 
+def test_archive_files(spark):
+    """Every file has the standard's name, begins with a warcinfo record, and holds a gzip member for each record; files are cut by bytes; a key that repeats has different ids."""
+    import gzip
+    import random
+    import zlib
+    from pathlib import Path
+
+    draw = random.Random(3)
+    long = "".join(draw.choices("abcdefghij ", k=1 << 20)) * 17
+    rows = [(i % 30, f"http://host/{i}", "small" if i % 3 else f"{i} page " * 9000) for i in range(60)] + [(100, "http://long", long), (101, "http://long", long)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    path = scratch(spark, "archive-files")
+    warc.write_archive(pages, path, file_bytes=200_000)
+    files = sorted(Path(path.removeprefix("file://"), "records").glob("part-*"))
+    assert len(files) > 8 and all(f.name.endswith(".warc.gz") for f in files)
+    ids, sizes = [], []
+    for file in files:
+        left, records = file.read_bytes(), []
+        assert gzip.decompress(left) == b"".join(warc._unzipped(left))
+        while left:
+            unzip = zlib.decompressobj(31)
+            record = unzip.decompress(left)
+            assert unzip.eof
+            left = unzip.unused_data
+            if record:
+                assert record.startswith(b"WARC/1.1\r\n") and record.endswith(b"\r\n\r\n") and len(list(warc._records(iter([record])))) == 1
+                records.append(record)
+        assert b"WARC-Type: warcinfo\r\n" in records[0] and not any(b"WARC-Type: warcinfo" in r for r in records[1:])
+        ids += [r.split(b"WARC-Record-ID: ")[1].split(b"\r\n")[0] for r in records]
+        sizes.append((sum(map(len, records[1:])), len(records) - 1))
+    assert len(set(ids)) == len(ids) == len(rows) + len(files)
+    assert all(size <= 200_000 or number == 1 for size, number in sizes)
+    assert max(size for size, _ in sizes) > 1 << 24
+    want = sorted((i, hashlib.sha256(html.encode()).hexdigest(), len(html)) for i, _, html in rows)
+    assert sorted((r.record_id, r.sha256, r.payload_bytes) for r in warc.restore(spark, path).select("record_id", "sha256", "payload_bytes").collect()) == want
+
+
 def test_archive_reads_gzip_members():
     import gzip
 
