@@ -70,6 +70,23 @@ def most_complete(df: DataFrame, key: str, tie: list[str]) -> DataFrame:
     return ranked.filter("_rank = 1").drop("_filled", "_rank")
 
 
+def best_rows(df: DataFrame, key: str, tie: str) -> DataFrame:
+    """Of each key of one source the row with most values; ties by the column given, nulls last."""
+    data = [c for c in df.columns if c != key]
+    order = F.struct((-completeness(data)).alias("n"), F.col(tie).isNull().alias("none"), F.col(tie).alias("tie"))
+    return df.groupBy(key).agg(F.min_by(F.struct(*data), order).alias("_row")).select(key, *(F.col(f"_row.`{c}`").alias(c) for c in data))
+
+
+def most_complete_merge(sources: dict[str, DataFrame], tie: str, key: str = "sequence") -> DataFrame:
+    """What :func:`most_complete` keeps of a merge, ties by the sources' columns in turn, without the combinations.
+
+    A combination has as many values as its rows together, so that a key's best one is made of each source's best row: at most one row of a key
+    and source is merged. Rows with a null key are not combined; of each source's best one of them the best is kept.
+    """
+    merged = merge_sources({name: best_rows(df, key, tie) for name, df in sources.items()}, key)
+    return most_complete(merged, key, [f"{name}_{tie}" for name in sources])
+
+
 def unified(df: DataFrame, patterns: dict[str, str]) -> DataFrame:
     """For each new name the first non-null of the columns whose name matches the pattern, left to right."""
     return df.withColumns({new: first_of([c for c in df.columns if re.search(p, c, re.IGNORECASE)]) for new, p in patterns.items()})

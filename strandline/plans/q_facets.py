@@ -143,7 +143,7 @@ def _(a, b, c):
     sql=f"WITH {MERGED} SELECT sequence, a_row_id, b_row_id, c_row_id FROM merged QUALIFY row_number() OVER (PARTITION BY sequence ORDER BY {FILLED} DESC, a_row_id NULLS LAST, b_row_id NULLS LAST, c_row_id NULLS LAST) = 1",
 )
 def _(a, b, c):
-    return merging.most_complete(merged(a, b, c), "sequence", TIE).select("sequence", *TIE)
+    return merging.most_complete_merge({"a": a, "b": b, "c": c}, "row_id").select("sequence", *TIE)
 
 
 @book.query("scl13_unified_columns", "v_src_a", "v_src_b", "v_src_c", sql=f"WITH {MERGED} SELECT a_row_id, b_row_id, c_row_id, coalesce(a_database, b_database) AS database FROM merged")
