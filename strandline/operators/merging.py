@@ -40,18 +40,21 @@ def merge_sources(sources: dict[str, DataFrame], key: str = "sequence", null_saf
     """Full outer merge of all sources: their columns prefixed by name, and a flag ``<name>_present`` for each.
 
     A key that several rows of several sources have gives all their combinations. Null keys meet each other only if ``null_safe``.
-    All different keys are the spine that each source joins: its partitioning lasts through the joins, so that a source is shuffled once and the
-    growing table never is.
+    All different keys are the spine. The first source joins it, and all others join it one after another; the combinations of both are made last,
+    by :func:`spread_join`, so that they are never shuffled and no task makes those of a common key alone.
     """
     parts = []
     for name, df in sources.items():
         prefix = re.sub(r"[()]", "", name.replace(" ", "_")).replace("+", "_")
         parts.append(df.select(F.col(key), *(F.col(f"`{c}`").alias(f"{prefix}_{c}") for c in df.columns if c != key), F.lit(True).alias(f"{prefix}_present")))
-    spine = reduce(DataFrame.unionByName, (p.select(key) for p in parts)).distinct()
-    out = spine if null_safe else spine.filter(F.col(key).isNotNull())
-    for p in parts:
-        other = p.withColumnRenamed(key, "_key")
-        out = out.join(other, out[key].eqNullSafe(other["_key"]) if null_safe else out[key] == other["_key"], "left").drop("_key")
+    at = F.struct(key) if null_safe else F.col(key)  # structs of a null are equal
+    keyed = [(p if null_safe else p.filter(F.col(key).isNotNull())).select(at.alias("_key"), *(F.col(f"`{c}`") for c in p.columns if c != key)) for p in parts]
+    spine = reduce(DataFrame.unionByName, (p.select("_key") for p in keyed)).distinct()
+    sides = [spine.join(p, "_key", "left") for p in keyed[:2]]
+    out = reduce(lambda x, y: spread_join(x, y, "_key", "left"), [sides[-1], *keyed[2:]])
+    if len(keyed) > 1:
+        out = spread_join(sides[0], out, "_key")
+    out = out.select((F.col("_key")[key] if null_safe else F.col("_key")).alias(key), *(F.col(f"`{c}`") for c in out.columns if c != "_key"))
     if not null_safe:
         out = reduce(lambda a, p: a.unionByName(p.filter(F.col(key).isNull()), allowMissingColumns=True), parts, out)
     return out.fillna(False, subset=[c for c in out.columns if c.endswith("_present")])

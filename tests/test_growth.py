@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from strandline.functions import lists
 from strandline.operators import cohorts, merging, peptides
 
 
@@ -69,3 +70,23 @@ def test_best_of_a_merge_without_combinations(spark):
         want = merging.most_complete(merging.merge_sources(sources), "sequence", tie)
         got = merging.most_complete_merge(sources, "row_id")
         assert plain(got) == plain(want) and most_rows(got) <= 300
+
+
+def test_merge_of_common_keys_is_dealt(spark, monkeypatch):
+    monkeypatch.setattr(merging.spread_join, "__defaults__", ("inner", 20, 10))
+    source = lambda n, step: spark.range(n).select(F.when(F.col("id") % step > 0, F.lit("k")).otherwise(F.col("id").cast("string")).alias("sequence"), F.col("id").alias("v"))
+    a, b, c = source(100, 5), source(60, 4), source(6, 3)
+    got = merging.merge_sources({"a": a, "b": b, "c": c})
+    named = [x.withColumnRenamed("v", f"{n}_v") for n, x in (("a", a), ("b", b), ("c", c))]
+    want = named[0].join(named[1], "sequence", "full_outer").join(named[2], "sequence", "full_outer")
+    plain = lambda df: sorted(map(str, df.select("sequence", "a_v", "b_v", "c_v").collect()))
+    assert plain(got) == plain(want)
+    tasks = got.filter("sequence = 'k'").groupBy(F.spark_partition_id()).count().collect()
+    assert len(tasks) == 4  # one key's combinations, in all of the session's partitions
+
+
+def test_two_labels_are_joined_as_many(spark):
+    values = [None, "", " ", "none", "None ", "B", " A", "A", "b"]
+    rows = spark.createDataFrame([(x, y) for x in values for y in values], "x string, y string")
+    got = rows.select(lists.joined_labels(F.col("x"), F.col("y")).alias("two"), lists.joined_labels(F.col("x"), F.col("y"), F.lit(None)).alias("many")).collect()
+    assert all(r.two == r.many for r in got) and {"", "A", "A|B", "A|b"} < {r.two for r in got}
