@@ -31,6 +31,8 @@ def display_list(values: Column) -> Column:
 
 def joined_labels(*columns: Column) -> Column:
     """The different labels of a row, sorted and joined by ``|``; blanks and ``none`` are no labels."""
-    trimmed = F.transform(F.array(*columns), lambda v: F.trim(v))
-    kept = F.filter(trimmed, lambda v: v.isNotNull() & (v != "") & (F.lower(v) != "none"))
-    return F.array_join(F.array_sort(F.array_distinct(kept)), "|")
+    known = [F.when((F.trim(c) != "") & (F.lower(F.trim(c)) != "none"), F.trim(c)) for c in columns]
+    if len(known) == 2:  # without arrays, for tables with a row for each pair of rows
+        one, two = known
+        return F.concat_ws("|", F.least(one, two), F.when(one != two, F.greatest(one, two)))
+    return F.array_join(F.array_sort(F.array_distinct(F.filter(F.array(*known), lambda v: v.isNotNull()))), "|")
