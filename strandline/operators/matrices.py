@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandline.operators.ranks import medians
-from strandline.sources.storage import materialize
+from strandline.sources.storage import Latest, materialize
 
 
 def to_long(df: DataFrame, ids: list[str], columns: list[str], name: str = "sample", value: str = "value") -> DataFrame:
@@ -111,19 +111,38 @@ def median_polish(df: DataFrame, batches: DataFrame, reference: Column, most_pas
     """Two-way median polish across batches: ``feature``, ``sample``, ``value`` (log2, normalised) without the reference samples.
 
     Values become log2 ratios to the median of their batch's reference samples; then, in turn, the median of each feature in each batch and
-    the median of each sample are taken out, until no median moves by more than ``close``. Each pass is stored, so that lost executors cost one pass.
+    the median of each sample are taken out, until no median moves by more than ``close``. A sample is one row of its features' numbers and values, so
+    that its median needs no shuffle; a batch's medians are one array by number, which all its samples meet. Each pass shuffles the values once, and is
+    stored in place of the one before, so that lost executors cost one pass.
     """
-    rows = df.join(batches, "sample").filter(F.col("value") > 0).select("feature", "sample", "batch", F.log2("value").alias("value"), reference.alias("is_reference"))
-    level = rows.filter("is_reference").groupBy("feature", "batch").agg(F.median("value").alias("_level"))
-    rows = materialize(rows.join(level, ["feature", "batch"]).withColumn("value", F.col("value") - F.col("_level")).drop("_level"), "polish")
+    names = df.select("feature").distinct().agg(F.array_sort(F.collect_set("feature")).alias("_names"))  # one row
+    numbers = materialize(names.select(F.posexplode("_names").alias("_at", "feature")), "features")
+    cells = df.filter(F.col("value") > 0).join(F.broadcast(numbers), "feature").groupBy("sample").agg(F.collect_list(F.struct("_at", F.log2("value").alias("value"))).alias("_cells"))
+    rows = cells.join(batches.select("sample", "batch", reference.alias("is_reference")).filter("batch is not null"), "sample")
+    stored, levels = Latest("polish"), Latest("levels")
+    rows = stored.put(rows)
+
+    def by_feature(rows: DataFrame) -> DataFrame:
+        """For each batch the medians of all features, by number; null for those without values."""
+        found = rows.select("batch", F.inline("_cells")).groupBy("batch", "_at").agg(F.median("value").alias("_m"))
+        grid = rows.select("batch").distinct().join(F.broadcast(numbers.select("_at")))
+        listed = grid.join(found, ["batch", "_at"], "left").groupBy("batch").agg(F.array_sort(F.collect_list(F.struct("_at", "_m"))).alias("_f"))
+        return levels.put(listed.select("batch", F.transform("_f", lambda f: f["_m"]).alias("_f")))
+
+    less = lambda c, m: F.struct(c["_at"].alias("_at"), (c["value"] - m).alias("value"))
+    without = rows.join(F.broadcast(by_feature(rows.filter("is_reference"))), "batch").withColumn("_cells", F.transform("_cells", lambda c: less(c, F.get("_f", c["_at"]))))
+    rows = stored.put(without.withColumn("_cells", F.filter("_cells", lambda c: c["value"].isNotNull())).filter(F.size("_cells") > 0).drop("_f"))
+    middle = lambda i: F.get("_sorted", F.floor(i).cast("int"))
     for _ in range(most_passes):
-        by_feature = rows.groupBy("feature", "batch").agg(F.median("value").alias("_f"))
-        step = rows.join(by_feature, ["feature", "batch"]).withColumn("value", F.col("value") - F.col("_f"))
-        by_sample = step.groupBy("sample").agg(F.median("value").alias("_s"))
-        step = step.join(by_sample, "sample").withColumn("value", F.col("value") - F.col("_s"))
-        rows = materialize(step.select("feature", "sample", "batch", "value", "is_reference", F.greatest(F.abs("_f"), F.abs("_s")).alias("_moved")), "polish")
+        step = rows.join(F.broadcast(by_feature(rows)), "batch").withColumn("_cells", F.transform("_cells", lambda c: less(c, F.get("_f", c["_at"]))))
+        step = step.withColumn("_sorted", F.array_sort(F.transform("_cells", lambda c: c["value"])))
+        low, high = middle((F.size("_sorted") - 1) / 2), middle(F.size("_sorted") / 2)
+        step = step.withColumn("_s", low + (high - low) / 2).withColumn("_cells", F.transform("_cells", lambda c: less(c, F.col("_s"))))
+        moved = F.greatest(F.array_max(F.transform("_f", F.abs)), F.abs("_s")).alias("_moved")
+        rows = stored.put(step.select("sample", "batch", "is_reference", "_cells", moved))
         moved = rows.agg(F.max("_moved")).first()[0]
         rows = rows.drop("_moved")
         if moved is None or moved <= close:
             break
-    return rows.filter(~F.col("is_reference")).select("feature", "sample", "value")
+    named = rows.filter(~F.col("is_reference")).select("sample", F.inline("_cells")).join(F.broadcast(numbers), "_at")
+    return named.select("feature", "sample", "value")

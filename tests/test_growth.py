@@ -1,9 +1,12 @@
 """Rows that plans make on common keys: they follow the input, not the square of a key's rows."""
 
+from pathlib import Path
+
 from pyspark.sql import functions as F
 
 from strandline.functions import lists
-from strandline.operators import cohorts, merging, peptides
+from strandline.operators import cohorts, matrices, merging, peptides
+from strandline.sources.storage import shared_dir
 
 
 def most_rows(df):
@@ -90,3 +93,13 @@ def test_two_labels_are_joined_as_many(spark):
     rows = spark.createDataFrame([(x, y) for x in values for y in values], "x string, y string")
     got = rows.select(lists.joined_labels(F.col("x"), F.col("y")).alias("two"), lists.joined_labels(F.col("x"), F.col("y"), F.lit(None)).alias("many")).collect()
     assert all(r.two == r.many for r in got) and {"", "A", "A|B", "A|b"} < {r.two for r in got}
+
+
+def test_polish_keeps_one_pass(spark):
+    rows = spark.range(240).select(F.concat(F.lit("f"), (F.col("id") % 20).cast("string")).alias("feature"), F.concat(F.lit("s"), F.floor(F.col("id") / 20).cast("string")).alias("sample"), (1 + F.col("id") * 7 % 31).cast("double").alias("value"))
+    samples = rows.select("sample").distinct().select("sample", F.lit("b").alias("batch"), (F.col("sample") < "s3").alias("ref"))
+    folder = shared_dir(spark).removeprefix("file://")
+    kept = lambda: len([p for p in Path(folder).glob("strandline/polish-*")])
+    before = kept()
+    out = matrices.median_polish(rows, samples, F.col("ref"), most_passes=3)
+    assert out.filter("sample >= 's3'").count() == out.count() > 0 and kept() == before + 1
