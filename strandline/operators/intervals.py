@@ -18,6 +18,8 @@ from strandline.sources.storage import materialize
 
 #: Bins of level k have 2**(FINEST + 2 * k) positions; COARSEST is the last k.
 FINEST, COARSEST = 9, 16
+#: Most unions of intervals that every task may hold (some 10 MB).
+MOST_UNIONS = 100_000
 # Labels from the strongest on, biotypes, and what two labels make together.
 PRIORITY = ("psORF", "uoORF", "uaoORF", "doORF", "daoORF", "iORF", "dORF", "daORF", "uORF", "uaORF", "lncRNA", "riORF", "aORF", "eORF", "udORF")
 PSEUDOGENES = (
@@ -50,18 +52,28 @@ def _listed(df: DataFrame, levels: DataFrame) -> DataFrame:
     return by_level.withColumn("_bin", F.explode(F.sequence(_bin("start_pos"), F.greatest(_bin("start_pos"), _bin("end_pos")))))
 
 
-def overlaps(a: DataFrame, b: DataFrame, on: tuple[str, ...] = ("chrom", "strand")) -> DataFrame:
-    """All pairs of overlapping rows, b's columns prefixed ``ref_``, with ``overlap`` in positions. Rows with a null position, or a null in ``on``, are in none."""
+def _levels(a: DataFrame, b: DataFrame) -> DataFrame:
+    """The levels that occur: at most COARSEST + 1 rows."""
     level = _own_level(F.col("start_pos"), F.col("end_pos")).alias("_level")
-    levels = a.select(level).unionByName(b.select(level)).distinct()  # at most COARSEST + 1 rows
+    return a.select(level).unionByName(b.select(level)).distinct()
+
+
+def overlaps(a: DataFrame, b: DataFrame, on: tuple[str, ...] = ("chrom", "strand"), levels: DataFrame | None = None, how: str = "inner") -> DataFrame:
+    """All pairs of overlapping rows, b's columns prefixed ``ref_``, with ``overlap`` in positions. Rows with a null position, or a null in ``on``, are in none.
+
+    ``levels`` are those that occur, if they are to be found in tables that are cheaper to read than a and b. With ``how`` left, each bin of a row of a with a
+    start in which it meets nothing gives a row without b, even if another of its bins gives pairs.
+    """
+    levels = _levels(a, b) if levels is None else levels
     keys = (*on, "_level", "_bin")
     right = _listed(b, levels)
-    right = right.select(*(F.col(c).alias(c if c in keys else f"ref_{c}") for c in right.columns))
-    pairs = _listed(a, levels).join(right, [*keys])
+    right = right.select(*(F.col(c).alias(f"ref_{c}") for c in right.columns))
+    same = reduce(lambda x, y: x & y, (F.col(c) == F.col(f"ref_{c}") for c in keys))
     meet = (F.col("start_pos") <= F.col("ref_end_pos")) & (F.col("ref_start_pos") <= F.col("end_pos"))
     once = (F.greatest("_own", "ref__own") == F.col("_level")) & (F.greatest(_bin("start_pos"), _bin("ref_start_pos")) == F.col("_bin"))
     overlap = F.least("end_pos", "ref_end_pos") - F.greatest("start_pos", "ref_start_pos") + 1
-    return pairs.filter(meet & once).drop("_level", "_bin", "_own", "ref__own").withColumn("overlap", overlap)
+    pairs = _listed(a, levels).join(right, same & meet & once, how)
+    return pairs.drop("_level", "_bin", "_own", "ref__own", *(f"ref_{c}" for c in keys)).withColumn("overlap", overlap)
 
 
 def not_overlapping(a: DataFrame, b: DataFrame, row_id: list[str]) -> DataFrame:
@@ -130,6 +142,26 @@ def inside(points: DataFrame, position: str, ranges: DataFrame, name: str) -> Da
     return reached.withColumn(name, F.coalesce((F.col("_reach") >= F.col("_at")) & F.col("chrom").isNotNull(), F.lit(False))).drop("_at", "_point", "_hi", "_reach")
 
 
+def in_unions(points: DataFrame, position: str, unions: DataFrame, name: str, most: int = MOST_UNIONS) -> DataFrame:
+    """What :func:`inside` marks, for ranges without overlaps, as :func:`merged` gives them: up to ``most`` of them are sent to the points, which stay where they are.
+
+    A union is listed in the one or two bins of its own level, and a point looks into its bin of each level that occurs: at most one union holds it.
+    """
+    unions = materialize(unions.select("chrom", "lo", "hi"), "unions")
+    if unions.count() > most:
+        return inside(points, position, unions, name)
+    unions = unions.withColumn("_level", _own_level(F.col("lo"), F.col("hi")))
+    found = []
+    for level in sorted(r[0] for r in unions.select("_level").dropna().distinct().collect()):  # at most COARSEST + 1
+        binned = lambda c: F.shiftright(F.col(c), FINEST + 2 * level)  # noqa: B023, E731
+        own = unions.filter(F.col("_level") == level).withColumn("_bin", F.explode(F.sequence(binned("lo"), binned("hi"))))
+        own = own.select(F.col("chrom").alias("_chrom"), "_bin", F.col("lo").alias("_lo"), F.col("hi").alias("_hi"), F.lit(True).alias(f"_in{level}"))
+        meets = (F.col("chrom") == F.col("_chrom")) & (binned(position) == F.col("_bin")) & F.col(position).between(F.col("_lo"), F.col("_hi"))
+        points = points.join(F.broadcast(own), meets, "left").drop("_chrom", "_bin", "_lo", "_hi")  # at most ``most`` unions
+        found.append(f"_in{level}")
+    return points.withColumn(name, F.coalesce(*found, F.lit(False))).drop(*found)
+
+
 def label(pairs: DataFrame) -> Column:
     """The label of one overlap row, from the columns that :func:`annotated_pairs` prepares."""
     c = F.col
@@ -150,18 +182,22 @@ def label(pairs: DataFrame) -> Column:
     )
 
 
-def _labelled(orfs: DataFrame, reference: DataFrame) -> DataFrame:
-    """All overlap rows with ``annotation``, ``gene_name`` and ``gene_id``. What depends on the ORF row alone is found before the join."""
+def _labelled(orfs: DataFrame, reference: DataFrame, how: str = "inner") -> DataFrame:
+    """All overlap rows (of :func:`overlaps`, ``how`` as there) with ``annotation``, ``gene_name`` and ``gene_id``. What depends on the ORF row alone is found before the join.
+
+    Genes are stored, so that Spark knows how few they are and need not shuffle the overlap rows to them.
+    """
     coding = reference.filter((F.col("feature") == "CDS") & F.col("transcript_id").isNotNull())
     genes = extents(coding, "gene_id").select(F.col("gene_id").alias("_gene"), F.col("chrom").alias("_chrom"), "upstream", "downstream")
+    genes = materialize(genes, "genes")
     spans = merged(genes.select(F.col("_chrom").alias("chrom"), F.least("upstream", "downstream").alias("lo"), F.greatest("upstream", "downstream").alias("hi")))
     starts = coding_starts(coding).select(F.col("chrom").alias("_chrom"), F.col("bio_start").alias("_start"), F.lit(True).alias("_shared"))
     at = coordinates(F.col("id"))
     rows = orfs.withColumns({"orf_start": F.coalesce(at["start"], "start_pos"), "orf_end": F.coalesce(at["end"], "end_pos")})
     rows = rows.withColumn("bio_start", biological_start(F.col("strand"), F.col("orf_start"), F.col("orf_end")))
     rows = rows.join(starts, (rows["chrom"] == starts["_chrom"]) & (rows["bio_start"] == starts["_start"]), "left").drop("_chrom", "_start")
-    rows = inside(rows.withColumn("shares_start", F.coalesce("_shared", F.lit(False))).drop("_shared"), "bio_start", spans, "in_any_cds")
-    pairs = overlaps(rows, reference)
+    rows = in_unions(rows.withColumn("shares_start", F.coalesce("_shared", F.lit(False))).drop("_shared"), "bio_start", spans, "in_any_cds")
+    pairs = overlaps(rows, reference, levels=_levels(orfs, reference), how=how)
     pairs = pairs.join(genes.drop("_chrom"), pairs["ref_gene_id"] == genes["_gene"], "left").drop("_gene")
     named = F.coalesce("ref_gene_name", F.lit("Unnamed"))
     return pairs.withColumnsRenamed({"ref_ref_pos": "ref_pos"}).withColumns({"annotation": label(pairs), "gene_name": named, "gene_id": F.coalesce("ref_gene_id", F.lit("Unknown"))})
@@ -203,14 +239,17 @@ def resolved(pairs: DataFrame) -> DataFrame:
 def classified(orfs: DataFrame, reference: DataFrame, row_id: list[str]) -> DataFrame:
     """The classification of all ids: overlapping ones by their rows, the others ``intergenic``. Ids that overlap with other than coding rows only are left out.
 
-    Both come from one overlap join: its pairs and the rows themselves meet by id, and a row without a pair is one that overlaps nothing.
+    Both come from one overlap join: a row overlaps nothing if it only has rows without a partner there. Which row of an id that is matters only to ids
+    without coding pairs, so that the others' pairs go without the row's key.
     """
-    key = F.struct(*(c for c in row_id if c != "id")).alias("_key")
-    pairs = _labelled(orfs, reference)
-    pairs = pairs.select("id", key, F.lit(True).alias("_met"), F.when(F.col("feature") == "CDS", F.struct(*_ROW)).alias("_row"))
-    both = pairs.unionByName(orfs.select("id", key, F.lit(False).alias("_met")), allowMissingColumns=True)
-    met, rows = F.collect_set(F.when(F.col("_met"), F.col("_key"))), F.collect_list("_row")
-    ids = both.groupBy("id").agg(F.array_sort(rows).alias("_rows"), F.array_except(F.collect_set("_key"), met).alias("_alone"))
+    key = F.struct(*(c for c in row_id if c != "id"))
+    pairs = _labelled(orfs, reference.withColumn("_met", F.lit(True)), "left")
+    met = F.coalesce("ref__met", F.lit(False))
+    row = F.when(met & (F.col("feature") == "CDS"), F.struct(*_ROW)).alias("_row")
+    both = pairs.select("id", F.when(~met, key).alias("_none"), row, F.when(met, key).alias("_some"))
+    both = both.withColumn("_some", F.when(F.col("_row").isNull(), F.col("_some")))
+    placeless = orfs.filter(F.col("start_pos").isNull()).select("id", key.alias("_none"))  # has no bin
+    ids = both.unionByName(placeless, allowMissingColumns=True).groupBy("id").agg(F.array_sort(F.collect_list("_row")).alias("_rows"), F.array_except(F.collect_set("_none"), F.collect_set("_some")).alias("_alone"))
     none = F.struct(F.lit("intergenic").alias("annotation"), F.lit("None").alias("gene_name"), F.lit("None").alias("gene_id"))
     one = F.when(F.size("_rows") > 0, _folded(F.col("_rows"))).when(F.size("_alone") > 0, none)
     return ids.select("id", F.explode(F.array(one)).alias("r")).filter("r IS NOT NULL").select("id", "r.annotation", "r.gene_name", "r.gene_id")

@@ -64,7 +64,7 @@ def _(b):
 
 @book.query("jn3_inside_merged", "v_interval_a", "v_interval_b", sql=f"WITH {CDS}, {EXT}, {MERGED} SELECT id, pos, EXISTS (SELECT 1 FROM merged m WHERE m.chrom = a.chrom AND a.start_pos BETWEEN m.lo AND m.hi) AS in_cds FROM v_interval_a a")
 def _(a, b):
-    return iv.inside(a, "start_pos", iv.merged(spans(b)), "in_cds").select("id", "pos", "in_cds")
+    return iv.in_unions(a, "start_pos", iv.merged(spans(b)), "in_cds").select("id", "pos", "in_cds")
 
 
 @book.query("jn4_shared_starts", "v_interval_a", "v_interval_b", sql=f"WITH {CDS}, {STARTS} SELECT id, pos FROM v_interval_a a WHERE EXISTS (SELECT 1 FROM starts s WHERE s.chrom = a.chrom AND s.bio_start = CASE WHEN a.strand = '+' THEN a.start_pos ELSE a.end_pos END)")
