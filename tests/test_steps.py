@@ -1,11 +1,12 @@
 """Steps that decide how an operator grows: results against brute force, and the plans that keep them small."""
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
-from strandline.operators import intervals
+from strandline.operators import intervals, peptides
 
 
 def plan_of(df):
@@ -48,3 +49,19 @@ def test_labels_shuffle_rows_for_starts_and_bins_alone(spark):
     got = intervals.annotated_pairs(orfs, reference)
     assert got.count() > 0
     assert "_part" not in plan_of(got) and "Window" not in plan_of(got)
+
+
+@pytest.mark.parametrize(("alternatives", "most"), [(256, 50_000), (0, 50_000), (0, 0)])
+def test_mentioned_ids_by_number(spark, alternatives, most):
+    """Few ids are one pattern, more are sent to the texts, and many are joined: all find what an escaped alternation does; few or some shuffle no places."""
+    rng = random.Random(3)
+    word = lambda n: "".join(rng.choice("ab.|\\Eé") for _ in range(n))
+    ids = sorted({word(rng.choice([1, 2, 4, 5, 7])) for _ in range(40)} - {"a"})
+    texts = [word(rng.choice([0, 3, 30])) for _ in range(60)] + [None]
+    ranked = [(i, rng.randrange(10**6)) for i in ids]
+    pattern = "|".join(re.escape(i) for i, _ in sorted(ranked, key=lambda x: x[1]))
+    df = spark.createDataFrame([*enumerate(texts)], "k long, t string")
+    got = peptides.mentioned(df, "t", spark.createDataFrame([*ranked, (None, 1), ("", 2)], "gene_id string, place long"), ["k"], alternatives, most)
+    assert sorted((r.k, r.gene_id) for r in got.collect()) == sorted((k, i) for k, t in enumerate(texts) if t for i in set(re.findall(pattern, t)))
+    if most:
+        assert not re.search(r"hashpartitioning\(_(gram|number)", plan_of(got))
