@@ -39,10 +39,15 @@ def solved(ridge: float = 0.0):
     return solve
 
 
-def poisson_weight(*parts: Column) -> Column:
-    """How often a row is drawn in a Poisson bootstrap: it depends on what identifies row and draw alone, so that any partitioning gives the same."""
-    u = F.conv(F.substring(F.md5(F.concat_ws("|", *(p.cast("string") for p in parts))), 1, 8), 16, 10).cast("double") / 2.0**32
-    return sum(((u >= t).cast("double") for t in POISSON), F.lit(0.0))
+def poisson_hash(*parts: Column) -> Column:
+    """What a draw depends on: the first 32 bits, in hexadecimal digits, of a digest of what identifies row and draw."""
+    return F.substring(F.md5(F.concat_ws("|", *(p.cast("string") for p in parts))), 1, 8)
+
+
+def poisson_weight(drawn: Column) -> Column:
+    """How often a row is drawn in a Poisson bootstrap, from :func:`poisson_hash`: any partitioning gives the same. Digits of one length compare as numbers do."""
+    least = [int(np.ceil(t * 2.0**32)) for t in POISSON]
+    return sum(((drawn >= f"{n:08x}").cast("double") for n in least if n < 2**32), F.lit(0.0))
 
 
 def negative_binomial(rows: DataFrame, features: DataFrame, x: list[str], steps: int) -> DataFrame:

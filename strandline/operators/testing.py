@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandline.functions.distributions import p_from_f, p_from_range, p_from_t, p_from_z, range_critical
+from strandline.functions.predicates import pinned
 from strandline.operators import fits
 from strandline.sources.storage import materialize
 
@@ -213,18 +214,20 @@ def regressed(df: DataFrame, covariates: list[str], group: str, remove: list[str
 
     df has ``feature``, ``sample``, ``value``, the covariates and the group. How often a row is drawn is a hash of seed, feature, sample and draw, so
     that all draws of all features are one aggregation and the same for any partitioning. Rows with a null in value or a covariate enter
-    no fit; a null group is none of the levels.
+    no fit; a null group is none of the levels. The effects are stored, a row for each feature.
     """
     levels = [r[0] for r in df.select(group).dropna().distinct().orderBy(group).limit(MOST_LEVELS + 1).collect()]
     if len(levels) > MOST_LEVELS:
         raise ValueError(f"{group} has more than {MOST_LEVELS} levels")
     x = [F.lit(1.0), *(F.col(c).cast("double") for c in covariates), *(F.coalesce((F.col(group) == g).cast("double"), F.lit(0.0)) for g in levels[1:])]
     known = df.dropna(subset=["value", *covariates]).withColumn("_draw", F.explode(F.sequence(F.lit(1), F.lit(boots))))
-    drawn = known.withColumn("_weight", fits.poisson_weight(F.lit(seed), F.col("feature"), F.col("sample"), F.col("_draw"))).filter("_weight > 0")
+    drawn = pinned(known, {"_hash": fits.poisson_hash(F.lit(seed), F.col("feature"), F.col("sample"), F.col("_draw"))})  # one digest for each row and draw
+    drawn = drawn.withColumn("_weight", fits.poisson_weight(F.col("_hash"))).filter("_weight > 0")
     sums = drawn.groupBy("feature", "_draw").agg(*fits.cross_products(x, F.col("value"), F.col("_weight")))
     effects = sums.select("feature", fits.solved()("_gram", "_side").alias("_beta"))
     at = {c: 1 + covariates.index(c) for c in remove}
     effects = effects.groupBy("feature").agg(*(F.median(F.get("_beta", F.lit(i))).alias(f"_e_{c}") for c, i in at.items()))  # a row for each draw
+    effects = materialize(effects, "effects")
     out = df.join(effects, "feature", "left")
     return out.select("feature", "sample", (F.col("value") - sum((F.col(c) * F.col(f"_e_{c}") for c in remove), F.lit(0.0))).alias("value"))
 

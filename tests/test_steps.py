@@ -6,7 +6,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from strandline.operators import intervals, peptides
+from strandline.operators import fits, intervals, peptides, testing
 
 
 def plan_of(df):
@@ -65,3 +65,22 @@ def test_mentioned_ids_by_number(spark, alternatives, most):
     assert sorted((r.k, r.gene_id) for r in got.collect()) == sorted((k, i) for k, t in enumerate(texts) if t for i in set(re.findall(pattern, t)))
     if most:
         assert not re.search(r"hashpartitioning\(_(gram|number)", plan_of(got))
+
+
+def test_poisson_weights_of_one_digest(spark):
+    """Digits compare as the numbers did; a row and draw has one digest, filter included."""
+    rows = spark.range(20_000).withColumn("h", fits.poisson_hash(F.lit(1), F.col("id")))
+    u = F.conv("h", 16, 10).cast("double") / 2.0**32
+    before = sum(((u >= t).cast("double") for t in fits.POISSON), F.lit(0.0))
+    assert rows.select(fits.poisson_weight(F.col("h")).alias("w"), before.alias("b")).filter("w <> b").isEmpty()
+    ends = spark.createDataFrame([(f"{int(t * 2**32) + d:08x}",) for t in fits.POISSON for d in (-1, 0, 1) if int(t * 2**32) + d < 2**32], "h string")
+    assert ends.select(fits.poisson_weight(F.col("h")).alias("w"), before.alias("b")).filter("w <> b").isEmpty()
+    df = rows.select((F.col("id") % 3).cast("string").alias("feature"), F.col("id").cast("string").alias("sample"), F.lit("g").alias("grp"), (F.col("id") % 7).cast("double").alias("value"), (F.col("id") % 5).alias("age"))
+    seen = []
+    kept = fits.cross_products
+    try:
+        fits.cross_products = lambda x, y, w: seen.append(1) or kept(x, y, w)
+        out = testing.regressed(df, ["age"], "grp", ["age"])
+    finally:
+        fits.cross_products = kept
+    assert seen and out.count() == 20_000 and "md5" not in plan_of(out)  # effects are stored
