@@ -16,6 +16,8 @@ REPORTER_WINDOW = (125.5, 131.5)
 ANGLE_LIMITS = ((20.0, "High"), (45.0, "Moderate"), (70.0, "Poor"))
 COVERAGE_LIMITS = ((25.0, "Sparse"), (50.0, "Partial"))
 LONGEST_PEPTIDE = 30
+#: Peaks of predicted and observed spectra, about, that are matched at once (some 30 MB of working arrays).
+MATCH_PEAKS = 100_000
 ION = r"^([by])(\d+)\+(\d+)"
 
 
@@ -52,10 +54,10 @@ def matched(predicted: Column, observed: Column, ppm: float) -> Column:
     """For each predicted peak its place ``i``, the place ``j`` of the nearest observed peak (the first of equals), and both peaks' figures, if within tolerance.
 
     Of matches to one observed peak only the first predicted one counts; the others have no second choice. Peaks without an m/z match nothing; the
-    matches of a null spectrum are null. A batch is sorted by spectrum and m/z, and each predicted peak looks at its two neighbours.
+    matches of a null spectrum are null. Some spectra of a batch at a time are sorted by spectrum and m/z, and each predicted peak looks at its two neighbours.
     """
 
-    def run(predicted: pa.Array, observed: pa.Array) -> pa.Array:
+    def some_matched(predicted: pa.Array, observed: pa.Array) -> pa.Array:
         (row, i, p), (o_row, j, o) = _peaks(predicted), _peaks(observed)
         mz, o_mz = _figures(p, "mz"), _figures(o, "mz")
         some = np.flatnonzero(~np.isnan(mz))
@@ -88,6 +90,12 @@ def matched(predicted: Column, observed: Column, ppm: float) -> Column:
         unknown = pc.or_(predicted.is_null(), observed.is_null())
         return pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays(list(columns.values()), list(columns)), mask=unknown)
 
+    def run(predicted: pa.Array, observed: pa.Array) -> pa.Array:
+        count = sum(x.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64) for x in (predicted, observed))
+        piece = np.cumsum(count) // MATCH_PEAKS if len(count) else np.zeros(0, np.int64)
+        cuts = [0, *(np.flatnonzero(np.diff(piece)) + 1).tolist(), len(count)]
+        return pa.concat_arrays([some_matched(predicted.slice(a, b - a), observed.slice(a, b - a)) for a, b in zip(cuts, cuts[1:])])
+
     return F.arrow_udf(run, MATCH)(predicted, observed)
 
 
