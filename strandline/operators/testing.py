@@ -13,8 +13,8 @@ from strandline.sources.storage import materialize
 
 #: Most features whose covariance (32 MB) the driver may hold; the products that replace it cost a job each.
 COVARIANCE_FEATURES = 2000
-#: Most levels of a factor, and most samples of a count test, whose design is one row for every task (some 10 MB).
-MOST_LEVELS, MOST_SAMPLES = 100, 100_000
+#: Most levels of a factor, and the features of a count test that one row names.
+MOST_LEVELS, LISTED_FEATURES = 100, 1000
 
 
 def _moments(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -301,12 +301,12 @@ def count_tests(df: DataFrame, factors: DataFrame, samples: DataFrame, covariate
     scaled = {c: (F.col(c) - F.col(f"_m_{c}")) / F.when(F.col(f"_s_{c}") > 0, F.col(f"_s_{c}")).otherwise(1.0) for c in covariates}
     design = chosen.join(F.broadcast(spread)).withColumns({**scaled, "_one": F.lit(1.0), "_second": (F.col(group) == second).cast("double")})  # one row
     x = ["_one", *covariates, "_second"]
-    n = chosen.count()
-    if n > MOST_SAMPLES:
-        raise ValueError(f"more than {MOST_SAMPLES} samples in a count test")
-    listed = design.agg(F.collect_list(F.struct("sample", F.col("size_factor").alias("size"), *x)).alias("_samples"))  # one row of at most MOST_SAMPLES
-    tested = features.filter((F.col("base_mean") > 0) & F.lit(n > len(x)))
-    grid = tested.select("feature").join(F.broadcast(listed)).select("feature", F.inline("_samples"))
+    tested = features.filter((F.col("base_mean") > 0) & F.lit(chosen.count() > len(x)))
+    # every feature meets every sample: lists of features are stored, so that Spark sends them to the samples if they are small, and makes a product of both if not
+    piece = F.pmod(F.xxhash64("feature"), F.lit(-(-tested.count() // LISTED_FEATURES) or 1))
+    listed = materialize(tested.groupBy(piece.alias("_piece")).agg(F.collect_list("feature").alias("_features")).select("_features"), "listed")
+    dealt = design.select("sample", F.col("size_factor").alias("size"), *x).repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    grid = dealt.crossJoin(listed).withColumn("feature", F.explode("_features")).drop("_features")
     rows = grid.join(df.select("feature", "sample", "value"), ["feature", "sample"], "left").withColumn("y", F.coalesce("value", F.lit(0.0)))
     fitted = fits.negative_binomial(rows, tested.withColumnRenamed("base_mean", "mean"), x, steps)
     figures = fitted.select("feature", "converged", *(c.alias(k) for k, c in fits.wald(F.get("beta", F.lit(len(x) - 1)), F.col("factor")).items()))

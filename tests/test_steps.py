@@ -3,9 +3,12 @@
 import random
 import re
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from strandline.functions import spectra
 from strandline.operators import fits, intervals, peptides, testing
 
 
@@ -84,3 +87,32 @@ def test_poisson_weights_of_one_digest(spark):
     finally:
         fits.cross_products = kept
     assert seen and out.count() == 20_000 and "md5" not in plan_of(out)  # effects are stored
+
+
+def test_spectra_are_matched_some_at_a_time(monkeypatch):
+    """Of a batch no more peaks than the limit and a spectrum's are in work at once, and matches are the same; null and empty spectra stay in place."""
+    monkeypatch.setattr(spectra.F, "arrow_udf", lambda run, _: lambda *columns: run)
+    rng = np.random.default_rng(2)
+    peaks = lambda n: [{"mz": float(m), "intensity": float(m % 5), "annotation": "b1+1"} for m in rng.integers(100, 112, n)]
+    kind = pa.list_(pa.struct([("mz", pa.float64()), ("intensity", pa.float64()), ("annotation", pa.string())]))
+    predicted, observed = (pa.array([None if i % 9 == k else peaks(i % 7) for i in range(60)], kind) for k in (0, 4))
+    whole, seen = spectra.matched(None, None, 20.0)(predicted, observed), []
+    kept = spectra._peaks
+    monkeypatch.setattr(spectra, "MATCH_PEAKS", 20)
+    monkeypatch.setattr(spectra, "_peaks", lambda x: seen.append(len(x.flatten())) or kept(x))
+    assert spectra.matched(None, None, 20.0)(predicted, observed).equals(whole) and len(whole.flatten()) > 20
+    assert max(seen) <= 20 + 12 and len(spectra.matched(None, None, 20.0)(predicted[:0], observed[:0])) == 0
+
+
+def test_count_tests_of_many_samples(spark, monkeypatch):
+    """Samples are in no task's list: the design isn't collected, lists name a few features each, and figures don't depend on them."""
+    monkeypatch.setattr(testing, "LISTED_FEATURES", 2)
+    rng = np.random.default_rng(8)
+    samples = spark.createDataFrame([(f"s{k}", "ab"[k % 2], 1.0) for k in range(20)], "sample string, g string, size_factor double")
+    df = spark.createDataFrame([(f"f{i}", f"s{k}", float(rng.poisson(20 * (4 if i == 0 and k % 2 else 1)))) for i in range(5) for k in range(20)], "feature string, sample string, value double")
+    seen = []
+    fit = fits.negative_binomial
+    monkeypatch.setattr(fits, "negative_binomial", lambda rows, *a: seen.append(rows) or fit(rows, *a))
+    got = {r.feature: r for r in testing.count_tests(df, samples.select("sample", "size_factor"), samples.select("sample", "g"), [], "g", "a", "b").collect()}
+    assert len(got) == 5 and abs(got["f0"].log2fc - 2) < 0.4 and got["f0"].converged
+    assert seen[0].count() == 100 and "collect_list" not in plan_of(seen[0])
