@@ -65,6 +65,17 @@ def completeness(columns: list[str]) -> Column:
     return reduce(lambda a, b: a + b, (F.col(f"`{c}`").isNotNull().cast("int") for c in columns), F.lit(0))
 
 
+def completeness_merge(sources: dict[str, DataFrame], keep: list[str], name: str = "filled", key: str = "sequence") -> DataFrame:
+    """The columns ``keep`` of each source's rows in a merge, and :func:`completeness` of all columns but key and flags: each source's rows are counted before they are combined."""
+    taken = {}
+    for source, df in sources.items():
+        count = completeness([c for c in df.columns if c != key])
+        taken[source] = df.select(key, *keep, count.alias("_filled"))
+    merged = merge_sources(taken, key)
+    total = reduce(lambda a, b: a + b, (F.coalesce(f"{source}__filled", F.lit(0)) for source in sources))
+    return merged.select(key, *(f"{source}_{c}" for source in sources for c in keep), total.alias(name))
+
+
 def most_complete(df: DataFrame, key: str, tie: list[str]) -> DataFrame:
     """Of each key the row with most values outside the key and the presence flags; ties by the columns given."""
     data = [c for c in df.columns if c != key and not c.endswith("_present")]

@@ -133,9 +133,7 @@ FILLED = "+".join(f"(CASE WHEN {c} IS NOT NULL THEN 1 ELSE 0 END)" for c in ("a_
 
 @book.query("agg17_completeness", "v_src_a", "v_src_b", "v_src_c", sql=f"WITH {MERGED} SELECT sequence, a_row_id, b_row_id, c_row_id, {FILLED} AS filled FROM merged")
 def _(a, b, c):
-    m = merged(a, b, c)
-    data = [x for x in m.columns if x != "sequence" and not x.endswith("_present")]
-    return m.select("sequence", *TIE, merging.completeness(data).alias("filled"))
+    return merging.completeness_merge({"a": a, "b": b, "c": c}, ["row_id"])
 
 
 @book.query(

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from strandline.functions import spectra
-from strandline.operators import fits, intervals, peptides, testing
+from strandline.operators import fits, intervals, merging, peptides, testing
 
 
 def plan_of(df):
@@ -116,3 +116,15 @@ def test_count_tests_of_many_samples(spark, monkeypatch):
     got = {r.feature: r for r in testing.count_tests(df, samples.select("sample", "size_factor"), samples.select("sample", "g"), [], "g", "a", "b").collect()}
     assert len(got) == 5 and abs(got["f0"].log2fc - 2) < 0.4 and got["f0"].converged
     assert seen[0].count() == 100 and "collect_list" not in plan_of(seen[0])
+
+
+def test_completeness_is_counted_before_rows_are_combined(spark):
+    """Columns of the sources don't go through the join: a source's key and row, its count and its flag do; figures are those of the whole merge."""
+    a = spark.createDataFrame([("k", 1, "x", None), ("k", 2, None, None), (None, 3, "y", 1.0)], "sequence string, row_id long, wide string, v double")
+    b = spark.createDataFrame([("k", 4, 5), ("z", None, None)], "sequence string, row_id long, n int")
+    whole = merging.merge_sources({"a": a, "b": b})
+    want = whole.select("sequence", "a_row_id", "b_row_id", merging.completeness(["a_row_id", "a_wide", "a_v", "b_row_id", "b_n"]).alias("filled"))
+    got = merging.completeness_merge({"a": a, "b": b}, ["row_id"])
+    assert got.columns == want.columns and sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    joined = [line for line in plan_of(got).split("\n") if "Join" in line]
+    assert joined and "a_wide" not in plan_of(got)
