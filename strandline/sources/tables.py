@@ -27,9 +27,9 @@ def write_csv(df: DataFrame, path: str, separator: str = ",") -> None:
 def read_batches(spark: SparkSession, root: str, file_name: str, schema: StructType | str, kept: DataFrame | None = None, key: str = "peptide") -> DataFrame:
     """The same tab-separated file of all batch folders below a root, with ``batch`` and ``round`` from the path; folders without it are skipped.
 
-    A folder is ``b<number>`` or ``round2/b<number>``; it may be a partition folder (``name=b1``), and files may lie one folder below it. Each
-    folder is a partition of the scan: the files are listed once, as Spark's reader does, and an external table of the session's catalog
-    (``strandline_batches_...``, which ``drop_batches`` removes) knows them by ``batch``.
+    A folder is ``b<number>`` or ``round2/b<number>``; it may be a partition folder (``name=b1``), and files may lie one folder below it. The root's own
+    name and those above it say nothing. Each folder is a partition of the scan: the files are listed once, as Spark's reader does, and an external table
+    of the session's catalog (``strandline_batches_...``, which ``drop_batches`` removes) knows them by ``batch``.
 
     With ``kept`` only rows whose key it has are read on, by a semi join. If it has a column ``batch`` too, only the batches it names are opened:
     Spark prunes the other partitions when the query runs. Its batches are broadcast, of which there are at most as many as folders.
@@ -37,7 +37,9 @@ def read_batches(spark: SparkSession, root: str, file_name: str, schema: StructT
     """
     kind = spark.createDataFrame([], schema).schema
     folder = F.regexp_extract("path", r"^(.*/)[^/]*$", 1)
-    inside = F.regexp_extract("path", r"((?:round2/)?(?:\w+=)?b\d+)/(?:[^/]*/)?[^/]*$", 1)
+    at = spark._jvm.org.apache.hadoop.fs.Path(root)
+    above = len(at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(at).toString())  # as the listing's paths begin
+    inside = F.regexp_extract(F.expr(f"substring(path, {above + 1})"), r"(?:^|/)((?:round2/)?(?:\w+=)?b\d+)/(?:[^/]*/)?[^/]*$", 1)
     folders = listing(spark, root, file_name).select(folder.alias("folder"), F.regexp_replace(inside, r"\w+=", "").alias("batch")).filter("batch <> ''").distinct()
     found: dict[str, list[str]] = {}
     for row in folders.orderBy("batch", "folder").collect():  # no more than the scan's own list of files

@@ -48,6 +48,17 @@ def test_only_wanted_batches_are_opened(spark, batches, tmp_path):
     tables.drop_batches(spark)
 
 
+@pytest.mark.parametrize("root", ["batches-3cb9", "b7", "round2", "a b $1/name=b8"])
+def test_the_root_is_no_batch(spark, tmp_path, root):
+    for i, at in enumerate(["b1", "name=b2/results", "round2/b3", "deep/b4", "lib5"]):
+        lines(tmp_path / root / at, [(i, "AK")])
+    for path in (f"{tmp_path}/{root}", f"file://{tmp_path}/{root}/"):
+        rows = tables.read_batches(spark, path, "psm.tsv", SCHEMA)
+        # a folder whose name only ends as a batch's is none
+        assert sorted(map(tuple, rows.select("psm_id", "batch", "round").collect())) == [(0, "b1", 1), (1, "b2", 1), (2, "round2/b3", 2), (3, "b4", 1)]
+    tables.drop_batches(spark)
+
+
 def test_no_batches(spark, tmp_path):
     (tmp_path / "b1").mkdir()
     assert tables.read_batches(spark, str(tmp_path), "psm.tsv", SCHEMA).collect() == []
