@@ -36,12 +36,18 @@ def spread_join(a: DataFrame, b: DataFrame, key: str, how: str = "inner", left_r
     return out.filter(~F.col("_cut") | F.col("_met").isNotNull()).drop("_a_at", "_b_at", "_cut", "_met")
 
 
-def merge_sources(sources: dict[str, DataFrame], key: str = "sequence", null_safe: bool = False) -> DataFrame:
+def merge_keys(sources: dict[str, DataFrame], key: str = "sequence", null_safe: bool = False) -> DataFrame:
+    """All different keys of the sources, null among them only if ``null_safe``."""
+    keys = reduce(DataFrame.unionByName, (df.select(key) for df in sources.values())).distinct()
+    return keys if null_safe else keys.filter(F.col(key).isNotNull())
+
+
+def merge_sources(sources: dict[str, DataFrame], key: str = "sequence", null_safe: bool = False, keys: DataFrame | None = None) -> DataFrame:
     """Full outer merge of all sources: their columns prefixed by name, and a flag ``<name>_present`` for each.
 
     A key that several rows of several sources have gives all their combinations. Null keys meet each other only if ``null_safe``.
-    All different keys are the spine. The first source joins it, and all others join it one after another; the combinations of both are made last,
-    by :func:`spread_join`, so that they are never shuffled and no task makes those of a common key alone.
+    All different keys are the spine (:func:`merge_keys`; ``keys``, where they are known). The first source joins it, and all others join it one after
+    another; the combinations of both are made last, by :func:`spread_join`, so that they are never shuffled and no task makes those of a common key alone.
     """
     parts = []
     for name, df in sources.items():
@@ -49,7 +55,7 @@ def merge_sources(sources: dict[str, DataFrame], key: str = "sequence", null_saf
         parts.append(df.select(F.col(key), *(F.col(f"`{c}`").alias(f"{prefix}_{c}") for c in df.columns if c != key), F.lit(True).alias(f"{prefix}_present")))
     at = F.struct(key) if null_safe else F.col(key)  # structs of a null are equal
     keyed = [(p if null_safe else p.filter(F.col(key).isNotNull())).select(at.alias("_key"), *(F.col(f"`{c}`") for c in p.columns if c != key)) for p in parts]
-    spine = reduce(DataFrame.unionByName, (p.select("_key") for p in keyed)).distinct()
+    spine = (merge_keys(sources, key, null_safe) if keys is None else keys).select(at.alias("_key"))
     sides = [spine.join(p, "_key", "left") for p in keyed[:2]]
     out = reduce(lambda x, y: spread_join(x, y, "_key", "left"), [sides[-1], *keyed[2:]])
     if len(keyed) > 1:

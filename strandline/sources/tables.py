@@ -90,8 +90,9 @@ def manifest(spark: SparkSession, path: str) -> DataFrame:
 
 
 def refreshed(
-    spark: SparkSession, path: str, sources: dict[str, list[str]], load: Callable[[str], DataFrame], merge: Callable[[dict[str, DataFrame]], DataFrame], keep: int = 2
-) -> DataFrame:
+    spark: SparkSession, path: str, sources: dict[str, list[str]], load: Callable[[str], DataFrame], merge: Callable[[dict[str, DataFrame]], DataFrame], keep: int = 2,
+    combine: Callable[[dict[str, DataFrame], DataFrame], DataFrame] | None = None,
+) -> DataFrame:
     """The table merged from several sources, stored below a path and refreshed by source.
 
     sources: the paths of each source's files. ``load`` gives a source's part of the table, which is stored under the files' fingerprint; ``merge``
@@ -100,12 +101,20 @@ def refreshed(
     file, which appears as a whole when Spark commits it: readers have the old version until then, and a build that fails or loses the driver changes
     nothing for them. Two builders never write one folder; of versions with one number the one written last counts. The ``keep`` newest versions stay, so
     that readers of the one before can end; older ones, and parts that no kept version has, are deleted.
+
+    A table that has far more rows than its parts is better not stored: with ``combine``, a version is only what ``merge`` makes, and the table is
+    what ``combine`` makes of the parts and the version whenever it is read. All calls for one path must give the same functions.
     """
+
+    def table(parts: dict[str, str], merged: str) -> DataFrame:
+        stored = spark.read.parquet(merged)
+        return stored if combine is None else combine({name: spark.read.parquet(parts[name]) for name in sources}, stored)
+
     now = {name: fingerprint(spark, paths) for name, paths in sources.items()}
     known = [r.asDict() for r in manifest(spark, path).orderBy("version", "written", "merged").collect()]  # a row for each kept version and source
     newest = [r for r in known if known and r["merged"] == known[-1]["merged"]]
     if newest and {r["source"]: r["fingerprint"] for r in newest} == now:
-        return spark.read.parquet(newest[0]["merged"])
+        return table({r["source"]: r["part"] for r in newest}, newest[0]["merged"])
     stored = {(r["source"], r["fingerprint"]): r["part"] for r in known}
     parts = {}
     for name, mark in now.items():
@@ -126,7 +135,7 @@ def refreshed(
         delete(spark, gone)
     for part in {r["part"] for r in known} - used:
         delete(spark, part)
-    return spark.read.parquet(merged)
+    return table(parts, merged)
 
 
 def export_tables(tables: dict[str, tuple[DataFrame, str]], path: str, descriptions: dict[str, str] | None = None) -> tuple[DataFrame, DataFrame]:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from strandline.functions import lists
 from strandline.operators import cohorts, matrices, merging, peptides
+from strandline.plans import q_sources
 from strandline.sources.storage import shared_dir
 
 
@@ -88,6 +89,20 @@ def test_merge_of_common_keys_is_dealt(spark, monkeypatch):
     assert len(tasks) == 4  # one key's combinations, in all of the session's partitions
 
 
+def test_a_cached_merge_stores_no_combinations(spark, tmp_path):
+    rows = spark.range(900).select((F.col("id") * 1200).alias("doc_id"), (F.col("id") % 2).cast("int").alias("quality"), (F.col("id") % 3).cast("int").alias("toxic"))
+    rows.select("doc_id", F.lit("en").alias("lang"), F.lit("web").alias("source"), F.lit(5).cast("long").alias("n_chars")).write.parquet(f"{tmp_path}/documents.parquet")
+    rows.filter("doc_id % 3600 > 0").withColumn("doc_id", F.col("doc_id") + 400 * F.col("toxic")).write.parquet(f"{tmp_path}/labels.parquet")
+    rows.select(F.col("doc_id").alias("page_id"), F.lit("u").alias("url")).write.parquet(f"{tmp_path}/pages.parquet")
+    folder = Path(shared_dir(spark).removeprefix("file://")) / "strandline"
+    before = set(folder.glob("cache-*"))
+    out = q_sources.QUERIES["src16_cached_merge"](spark, str(tmp_path))
+    (made,) = set(folder.glob("cache-*")) - before
+    stored = [spark.read.parquet(f"file://{p}").count() for kind in ("versions", "parts") for p in (made / kind).iterdir()]
+    assert out.count() == 900 * 600 + 899  # key D0 of documents, labels and one page; all other pages have a key of their own
+    assert sum(stored) < 10_000  # two versions and the parts of both, as the input
+
+
 def test_two_labels_are_joined_as_many(spark):
     values = [None, "", " ", "none", "None ", "B", " A", "A", "b"]
     rows = spark.createDataFrame([(x, y) for x in values for y in values], "x string, y string")

@@ -4,7 +4,7 @@ import hashlib
 
 import pytest
 
-from strandline.operators.merging import merge_sources
+from strandline.operators.merging import merge_keys, merge_sources
 from strandline.sources import tables
 
 
@@ -105,6 +105,30 @@ def test_a_changed_source_rebuilds_its_part_only(spark, tmp_path):
     assert sorted(map(tuple, third.select("sequence", "b_v").filter("b_v = 4").collect())) == [("y", 4)]
 
 
+def test_a_table_combined_when_it_is_read(spark, tmp_path):
+    path, made = f"file://{tmp_path}/cache", []
+    sources = {name: [f"file://{tmp_path}/{name}"] for name in "ab"}
+    put = lambda name, rows: spark.createDataFrame(rows, "sequence string, v int").write.mode("append").parquet(sources[name][0])
+    load = lambda name: spark.read.parquet(*sources[name])
+    plain = lambda df: sorted(map(str, df.collect()))
+
+    def keys(parts):
+        made.append(sorted(parts))
+        return merge_keys(parts)
+
+    build = lambda: tables.refreshed(spark, path, sources, load, keys, combine=lambda parts, k: merge_sources(parts, keys=k))
+    whole = lambda: plain(merge_sources({name: load(name) for name in "ab"}))
+    put("a", [("x", 1), ("x", 2), ("y", 3), (None, 4)])
+    put("b", [("x", 5), ("x", 6), ("z", 7), (None, 8)])
+    first, want = build(), whole()
+    assert plain(first) == want == plain(build()) and len(want) == 8 and len(made) == 1  # nothing changed: nothing was made
+    put("b", [("y", 9), ("w", 10)])
+    second = build()
+    assert plain(second) == whole() and second.count() == 9 and plain(first) == want  # the version before stays readable
+    put("a", [("w", 11)])
+    assert plain(build()) == whole() and second.count() == 9 and len(made) == 3
+
+
 def test_the_export_describes_what_was_written(spark, tmp_path):
     df = spark.createDataFrame([("x", 1), ("y", None), (None, 3)], "name string, `a b` int")
     none = spark.createDataFrame([], "name string")
