@@ -2,11 +2,12 @@
 
 from pathlib import Path
 
+import pytest
 from pyspark.sql import functions as F
 
 from strandline.functions import lists
 from strandline.operators import cohorts, matrices, merging, peptides
-from strandline.plans import q_sources
+from strandline.plans import q_facets, q_sources, q_statistics
 from strandline.sources.storage import shared_dir
 
 
@@ -54,6 +55,40 @@ def test_spread_join_cuts_common_keys(spark):
     assert len(tasks) == 4  # one key, all of the session's partitions
 
 
+def test_list_join_is_a_join(spark):
+    """Keys of one row, of many and of none on either side, null keys, equal rows, lists that aren't full."""
+    a = spark.range(3000).select(F.when(F.col("id") % 9 > 0, F.least("id", F.lit(20))).alias("k"), F.col("id").alias("x")).unionByName(spark.range(40).select(F.lit(20).cast("long").alias("k"), F.lit(7).cast("long").alias("x")))
+    b = spark.range(500).select(F.when(F.col("id") % 7 > 0, F.greatest("id", F.lit(20))).alias("k"), F.when(F.col("id") % 5 > 0, F.col("id")).alias("y"), F.concat(F.lit("s"), (F.col("id") % 3).cast("string")).alias("z"))
+    b = b.unionByName(spark.range(30).select(F.lit(20).cast("long").alias("k"), F.lit(4).cast("long").alias("y"), F.lit("s").alias("z")))
+    plain = lambda out: sorted(map(str, out.select("k", "x", "y", "z").collect()))
+    for df, other, how, rows in ((a, b, "left", (8, 24, 10)), (a, b, "inner", (7, 7, 100_000)), (b, a, "left", (100, 300, 50)), (a, b.filter("k < 0"), "left", (8, 24, 10))):
+        assert plain(merging.list_join(df, other, "k", how, *rows)) == plain(df.join(other, "k", how))
+
+
+def stored_bytes(df, path):
+    df.coalesce(1).write.parquet(str(path))
+    return sum(p.stat().st_size for p in path.glob("*.parquet")) / df.count()
+
+
+def tables_of_one_gene(spark, path):
+    """1200 orders of a gene, whose rows pass the gate."""
+    ids = spark.range(1200).select((F.col("id") * 60 + 1).alias("key"), F.col("id"))
+    # no order number that a rule of the fixture drops or empties, so that all rows are alike
+    good = spark.range(400_000).filter("id % 41 > 0 and id % 43 > 0 and id % 5 < 4 and id % 7 > 0 and id % 8 > 0 and id % 53 < 18").select(F.col("id").alias("o_orderkey")).limit(1200)
+    good = good.coalesce(1).select("o_orderkey", F.monotonically_increasing_id().alias("id"))
+    ids.join(good, "id").select("o_orderkey", F.col("key").alias("o_custkey")).write.parquet(f"{path}/orders.parquet")
+    ids.select(F.col("key").alias("c_custkey"), F.lit("HOUSEHOLD").alias("c_mktsegment")).write.parquet(f"{path}/customer.parquet")
+
+
+@pytest.mark.parametrize(("name", "most"), [("flt38_significant_rows", 0.2)])
+def test_rows_of_a_gene_are_stored_small(spark, tmp_path, name, most):
+    """Rows out grow with the square of a gene's rows: they come in runs and patterns that Parquet keeps in a fraction of a byte for each."""
+    tables_of_one_gene(spark, tmp_path)
+    out = (q_facets.QUERIES | q_statistics.QUERIES)[name](spark, str(tmp_path))
+    assert out.count() > 1_000_000
+    assert stored_bytes(out, tmp_path / "out") < most
+
+
 def test_assets_are_not_repeated_for_each_list(spark):
     lists = spark.range(600).select(F.col("id").alias("k"), F.when(F.col("id") % 3 > 0, F.when(F.col("id") % 3 > 1, "['P1', ' P1', 'P3']").otherwise("[]")).alias("t"))
     assets = spark.range(900).select(F.concat(F.lit("P"), (F.col("id") % 2).cast("string")).alias("peptide"), F.when(F.col("id") == 5, "Moderate").otherwise("Weak").alias("quality"), F.col("id").cast("string").alias("path"))
