@@ -80,7 +80,7 @@ def tables_of_one_gene(spark, path):
     ids.select(F.col("key").alias("c_custkey"), F.lit("HOUSEHOLD").alias("c_mktsegment")).write.parquet(f"{path}/customer.parquet")
 
 
-@pytest.mark.parametrize(("name", "most"), [("flt38_significant_rows", 0.2), ("flt39_family_volcano", 0.2)])
+@pytest.mark.parametrize(("name", "most"), [("flt38_significant_rows", 0.2), ("flt39_family_volcano", 0.2), ("jn11_celltype_to_master", 0.4)])
 def test_rows_of_a_gene_are_stored_small(spark, tmp_path, name, most):
     """Rows out grow with the square of a gene's rows: they come in runs and patterns that Parquet keeps in a fraction of a byte for each."""
     tables_of_one_gene(spark, tmp_path)
